@@ -29,42 +29,59 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keeps} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-class ChunkTokenizer:
-    """Ids of texts.  The memo holds ``limit`` chunks of at most 64 bytes and starts anew when full."""
+class ChunkTokenizer(dict):
+    """Ids of texts; as a dict, it is the memo from chunk to row of ``spans``.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    The memo holds ``limit`` chunks of at most 64 bytes (some 150 bytes each) and
+    starts anew, between texts, when full.
+    """
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model, self.table, self.limit = self.whole.model, byte_letters(), limit
-        self._clear()
+        self._start()
 
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+    def _start(self) -> None:
+        self.clear()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.spans = np.zeros((1 << 12, 2), np.int64)  # start in flat, length
         self.count = self.used = 0
 
+    def _known(self, chunk: bytes) -> list[int]:
+        row = self[chunk]  # may replace spans
+        start, length = self.spans[row]
+        return self.flat[start : start + length].tolist()
+
     def _ids(self, chunk: bytes) -> list[int]:
+        """A word is cut by the model alone, a word with marks behind or capitals from its parts, all else by the whole tokenizer."""
+        if chunk.isalpha() and chunk.islower():
+            return [t.id for t in self.model.tokenize(chunk.decode())]
         text = chunk.decode("utf-8", "replace")
         plain = PLAIN.fullmatch(text)
         if plain is None:
             return self.whole.encode(text, add_special_tokens=False).ids
-        return [t.id for part in plain.groups() if part for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(self.table))]
+        word, marks = plain.groups()
+        low = word.lower().encode()
+        if low != chunk:
+            return [*(self._known(low) if low else ()), *(self._known(marks.encode()) if marks and word else [t.id for t in self.model.tokenize(marks)] if marks else ())]
+        return [t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.table))]
 
-    def _add(self, chunk: bytes) -> int:
+    def __missing__(self, chunk: bytes) -> int:
         ids = self._ids(chunk)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
         if self.count == len(self.spans):
             self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        self.flat[self.used : self.used + len(ids)] = ids
         at = self.count
         self.spans[at] = self.used, len(ids)
         self.used += len(ids)
         self.count += 1
         if len(chunk) <= 64:
-            self.index[chunk] = at
+            self[chunk] = at
         return at
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -72,16 +89,9 @@ class ChunkTokenizer:
         if not chunks:
             return np.zeros(0, np.uint32)
         if self.count > self.limit:
-            self._clear()
-        get = self.index.get
-        at = [get(c) for c in chunks]
-        if None in at:
-            for i, found in enumerate(at):
-                if found is None:
-                    at[i] = get(chunks[i])
-                    if at[i] is None:
-                        at[i] = self._add(chunks[i])
-        starts, lengths = self.spans[at].T
+            self._start()
+        rows = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))  # may replace spans
+        starts, lengths = self.spans[rows].T
         ends = np.cumsum(lengths)
         return self.flat[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
 
