@@ -316,3 +316,6 @@ def renamed_lock(spark, d):
 @query("SELECT * FROM newlock WHERE id <> 'REQ-9' UNION ALL SELECT * REPLACE ('REQ-' || s AS id, '' AS content_hash) FROM newlock, (VALUES ('9A'), ('9B')) v(s) WHERE id = 'REQ-9'".replace("SELECT * REPLACE ('REQ-' || s AS id, '' AS content_hash)", "SELECT 'REQ-' || s AS id, spec_file, '' AS content_hash, impl, tests, exercises, depends_on"), LOCKED)
 def split_lock(spark, d):
     return lock_rows(snapshot.split_key(snapshot.build_lock(P.graph(spark, d), "now"), "REQ-9", ["REQ-9A", "REQ-9B"]))
+
+
+from . import texts  # noqa: E402, F401  registers its queries here
