@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, widened
+from .tokenizer import release
 
 #: Code points fill 21 bits, so three of them fit a signed 64-bit n-gram exactly.
 BITS = 21
@@ -79,6 +80,7 @@ def fit_profiles(docs: DataFrame, top: int = 300, longest: int = 3, per_language
     sample = labelled.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < per_language).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 total: Counter = Counter()
@@ -121,6 +123,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = 300, lo
         sets.append((lang, keys[order], order))
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             langs, scores = [], []
             for text in batch["__text"]:

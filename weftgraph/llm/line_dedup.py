@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, checkpoint, next_power_of_two, small_batches, widened
+from .tokenizer import release
 
 HASHES = 4
 PIECE = 1 << 16  # bytes of a filter that travel together
@@ -69,6 +70,7 @@ def build_filter(docs: DataFrame, bits: int, least: int = 1, builders: int = 204
     """
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen = Seen(bits)
         for batch in batches:
             keys = [k for text in batch["text"] for k in {*line_keys(text, least)[1]} - {None}]
@@ -111,6 +113,7 @@ def repeated_keys(docs: DataFrame, twice: np.ndarray, documents: int, least: int
     bits = len(twice) * 8
 
     def suspected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen = Seen(8)
         seen.bits, seen.twice = bits, shared.value
         for batch in batches:
@@ -237,6 +240,7 @@ def _dedup_by_join(docs: DataFrame, kept: list[str], schema, twice: np.ndarray,
     bits = len(twice) * 8
 
     def suspected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen = Seen(8)
         seen.bits, seen.twice = bits, shared.value
         for batch in batches:

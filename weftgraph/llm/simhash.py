@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches
 from .links import block_pairs, components, forest
+from .tokenizer import release
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -39,6 +40,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, words) for t in batch["text"]]})
 

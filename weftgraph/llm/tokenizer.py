@@ -104,3 +104,8 @@ def tokenizer(path: str) -> ChunkTokenizer:
     if path not in _made:
         _made[path] = ChunkTokenizer(path)
     return _made[path]
+
+
+def release() -> None:
+    """Drop this worker's tokenizers and memos: operators that cut no tokens call it, as Spark reuses workers between jobs."""
+    _made.clear()
