@@ -15,7 +15,8 @@ from ..graph import short_hash
 
 ANNOTATION = r"\((depends_on|derives_from):\s*([^()]*?)\)"
 FENCE = r"^\s*(?:```|~~~)"
-BLANK = r"[^\S\n]"
+# White space inside a line, Unicode blanks and the BOM included.
+BLANK = r"[ \t\x0B\f\r\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]"
 
 
 def lines_of(files: DataFrame) -> DataFrame:
