@@ -358,9 +358,9 @@ def test_embedding_recall(spark):
     assert sum(got.values()) >= 0.97 * sum(truth.values())
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
+@pytest.mark.parametrize("hot", [0, 50, 10**6])
 @pytest.mark.parametrize("order", [2, 3])
-def test_lm_score(spark, docs, rows, none, limit, order):
+def test_lm_score(spark, docs, rows, none, hot, order):
     made = ChunkTokenizer(default_path())
     ids = [(i, [lm_score.START] * (order - 1) + made.ids(t).tolist()) for i, t, _, _ in rows]
     grams = [Counter() for _ in range(order + 1)]
@@ -382,8 +382,8 @@ def test_lm_score(spark, docs, rows, none, limit, order):
                     total += round(math.log(grams[k][g] / context[k][g[:-1]]) * 1e6) + (order - k) * round(math.log(0.4) * 1e6)
                     break
         want[(i, len(x) - order + 1, total)] += 1
-    out = lm_score.score_documents(docs, order=order, broadcast_limit=limit).collect()
+    out = lm_score.score_documents(docs, order=order, hot_share=hot).collect()
     got = Counter((r.doc_id, r.n_tokens, round(r.log_score * 1e6)) for r in out)
     assert got == want
     assert all((r.mean_score is None) == (r.n_tokens == 0) for r in out)
-    assert lm_score.score_documents(none, order=order, broadcast_limit=limit).count() == 0
+    assert lm_score.score_documents(none, order=order, hot_share=hot).count() == 0
