@@ -40,11 +40,11 @@ def pieces(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path
                 start = 0
                 for n in binary_lengths(len(ids), longest):
                     own = ids[start : start + n]
-                    rows.append((doc_id, start, n, zlib.crc32(own.tobytes()), len(ids), *([own.tolist()] if with_ids else [])))
+                    rows.append((doc_id, start, n, zlib.crc32(own.tobytes()), len(ids), *([own.view("<i4")] if with_ids else [])))
                     start += n
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
-    schema = PIECES + (", ids array<long>" if with_ids else "")
+    schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
@@ -55,10 +55,14 @@ def pack(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path:
     length and none is padded.  Sequences are numbered gapless from 0, equal
     lengths next to each other and the longest first: ``bucket`` is log2 of the
     length, and any run of ids inside a bucket is a batch without padding.  The
-    same piece of the same document gets the same number in a rerun.
+    same piece of the same document gets the same number in a rerun.  ``with_ids``
+    adds the ids: pieces are numbered without them, and they are joined behind.
     """
-    cut = checkpoint(pieces(docs, longest, end_id, tokenizer_path, with_ids))
-    bucketed = cut.withColumn("bucket", (F.length(F.bin("length")) - 1).cast("int"))
+    cut = pieces(docs, longest, end_id, tokenizer_path, with_ids)
+    if with_ids:
+        cut = cut.withColumn("__piece", F.monotonically_increasing_id())
+    cut = checkpoint(cut)
+    bucketed = cut.drop("ids").withColumn("bucket", (F.length(F.bin("length")) - 1).cast("int"))
     ranked = number_rows(bucketed, ["bucket"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "__rank")
     sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     # At most log2(longest) + 1 rows: what lies before each bucket.
@@ -73,10 +77,14 @@ def pack(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path:
     )
     out = ranked.join(F.broadcast(before), "bucket")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return out.select(
+    numbered = out.select(
         *names,
         (F.col("__before") + F.col("__rank")).cast("long").alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         "bucket",
-        *(["ids"] if with_ids else []),
+        *(["__piece"] if with_ids else []),
     )
+    if not with_ids:
+        return numbered
+    # The slim side is hashed, so that the ids are shuffled but not sorted.
+    return cut.select("__piece", "ids").join(numbered.hint("shuffle_hash"), "__piece").select(*[c for c in numbered.columns if c != "__piece"], "ids")
