@@ -50,7 +50,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), order=2, least=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
