@@ -382,8 +382,8 @@ def test_lm_score(spark, docs, rows, none, hot, order):
                     total += round(math.log(grams[k][g] / context[k][g[:-1]]) * 1e6) + (order - k) * round(math.log(0.4) * 1e6)
                     break
         want[(i, len(x) - order + 1, total)] += 1
-    out = lm_score.score_documents(docs, order=order, hot_share=hot).collect()
+    out = lm_score.score_documents(docs, order=order, least=2, hot_share=hot).collect()
     got = Counter((r.doc_id, r.n_tokens, round(r.log_score * 1e6)) for r in out)
     assert got == want
     assert all((r.mean_score is None) == (r.n_tokens == 0) for r in out)
-    assert lm_score.score_documents(none, order=order, hot_share=hot).count() == 0
+    assert lm_score.score_documents(none, order=order, least=2, hot_share=hot).count() == 0

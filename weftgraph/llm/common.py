@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,16 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``, or one made here where the session has none, as in tests."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``.
+
+    A session that has none gets one in the temporary folder if it is local;
+    on a cluster that would be one machine's disk, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -34,6 +43,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read again: for what is too large for a checkpoint's plain rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(taken: Iterable[str], name: str) -> str:
+    """``name`` with underscores before it until no column of ``taken`` is called so."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int = 256) -> DataFrame:
     """Gapless numbers from 0 within each group, without a task that holds a whole group.
 
