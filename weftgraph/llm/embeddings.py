@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, small_batches
 from .links import block_pairs, components, forest
@@ -79,20 +80,28 @@ def valid(vector: str = "embedding"):
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def filter_links(distinct: DataFrame, count: int, least_cosine: float, caps: float = 12.0, least: int = 8, bucket: int = 16, tile: int = 256) -> DataFrame:
+def caps_for(count: int) -> float:
+    """How many caps a vector should lie in: 12 up to 50,000 vectors, 1.5 more for each doubling, as more filters make caps smaller and shared ones rarer."""
+    return 12.0 + 1.5 * max(0.0, math.log2(max(1, count) / 50_000))
+
+
+def filter_links(distinct: DataFrame, count: int, least_cosine: float, caps: float | None = None, least: int | None = None, bucket: int = 16, tile: int = 256) -> DataFrame:
     """node, n (vectors linked to it, copies included) and root (a spanning link, or null), a row per node and tile.
 
     ``distinct`` has node, copies and embedding.  Vectors of one dimension meet
     in the caps that they share, are verified in double precision, and a link is
     counted in the first cap that both lie in, so no pair is ever emitted.
     """
+    caps = caps_for(count) if caps is None else caps
+    least = math.ceil(caps * 2 / 3) if least is None else least
+    kind = np.float64 if isinstance(distinct.schema["embedding"].dataType.elementType, T.DoubleType) else np.float32
     codes = max(4, math.ceil((count * caps / bucket) ** 0.25))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             dims = batch["embedding"].map(len)
             for dim, rows in batch.groupby(dims):
-                vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
+                vectors = np.stack(rows["embedding"].to_numpy()).astype(kind)
                 caps_in = caps_of(int(dim), codes, caps, least).decode(unit_rows(vectors))
                 nodes, copies = rows["node"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
                 items = [nodes[i].tobytes() + copies[i].tobytes() + vectors[i].tobytes() for i in range(len(rows))]
@@ -104,7 +113,7 @@ def filter_links(distinct: DataFrame, count: int, least_cosine: float, caps: flo
         width = len(items[0])
         table = np.frombuffer(b"".join(items), np.uint8).reshape(-1, width)
         head = np.ascontiguousarray(table[:, :16]).view(np.int64)
-        return head[:, 0], head[:, 1], np.ascontiguousarray(table[:, 16:]).view(np.float32)
+        return head[:, 0], head[:, 1], np.ascontiguousarray(table[:, 16:]).view(kind)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -156,16 +165,22 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95, **options) -
 
     Vectors that are null, empty, zero, or hold a null or non-finite component
     link with nothing and stay.  Copies of a vector are one node and count each
-    other as links.  Links found have a cosine of ``least_cosine`` or more;
-    filters may miss a few (recall is measured in the tests).  A component with
-    null ids only has a null component_id and its rows stay.
+    other as links; they are told by two 64-bit hashes of all components.  Links
+    found have a cosine of ``least_cosine`` or more; filters may miss a few (recall
+    is measured in the tests).  A component with null ids only has a null
+    component_id and its rows stay; rows that repeat a vec_id each have a row in
+    the result, and all of those with the component's id are kept; other columns
+    are not looked at; an empty table gives an empty one.
     """
     small_batches(embeddings.sparkSession, rows=2048)
-    rows = embeddings.select("vec_id", "embedding").withColumn("node", F.when(valid(), F.xxhash64("embedding")))
-    slim = checkpoint(rows.select("vec_id", "node"))
-    distinct = checkpoint(
-        rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))
-    )
+    hashes = [F.when(valid(), F.xxhash64("embedding")).alias("h1"), F.when(valid(), F.xxhash64(F.lit(29), "embedding")).alias("h2")]
+    rows = embeddings.select("vec_id", "embedding", *hashes)
+    hashed = checkpoint(rows.select("vec_id", "h1", "h2"))
+    once = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))
+    numbered = checkpoint(once.withColumn("node", F.monotonically_increasing_id()))
+    distinct = numbered.select("node", "copies", "first", "embedding")
+    own = numbered.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "node")
+    slim = checkpoint(hashed.join(own, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left").select("vec_id", "node"))
     parts = checkpoint(filter_links(distinct, distinct.count(), least_cosine, **options))
     counts = parts.groupBy("node").agg(F.sum("n").alias("n")).withColumnRenamed("node", "linked")
     found = components(parts.filter(F.col("root").isNotNull()).select(F.col("node").alias("a"), F.col("root").alias("b")))

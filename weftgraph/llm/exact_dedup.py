@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, row (unique), message (sender's chunk of rows), h (64-bit hash), digest and length of the text's bytes."""
     body = text_of().cast("binary")
     return docs.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("message"),
         F.xxhash64(text_of()).alias("h"),
@@ -104,19 +105,19 @@ def suspects(prints: DataFrame, owner_bits: int) -> DataFrame:
         bitmaps = [np.packbits(np.isin(g, twice, assume_unique=True)).tobytes() for g in got]
         return pd.DataFrame({"message": frame["message"], "owner": frame["owner"], "bitmap": bitmaps})
 
-    def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    def mark(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes = rows.column("h").to_numpy().astype(np.int64).view(np.uint64)
         own, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         flags = counts > 1
         owners = (own >> shift).astype(np.int64)
-        for owner, bitmap in zip(answers["owner"], answers["bitmap"], strict=True):
+        for owner, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
             lo, hi = np.searchsorted(owners, [owner, owner + 1])
             flags[lo:hi] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=hi - lo).astype(bool)
-        return rows.assign(suspect=flags[at])
+        return rows.append_column("suspect", pa.array(flags[at]))
 
     messages = prints.select("message", "h").mapInPandas(send, "message long, owner long, payload binary")
     answers = messages.groupBy("owner").applyInPandas(answer, "message long, owner long, bitmap binary")
-    return prints.groupBy("message").cogroup(answers.groupBy("message")).applyInPandas(mark, widened(prints.schema, suspect="boolean"))
+    return prints.groupBy("message").cogroup(answers.groupBy("message")).applyInArrow(mark, widened(prints.schema, suspect="boolean"))
 
 
 def exact_groups(docs: DataFrame, rows_per_owner: int = 250_000) -> DataFrame:
@@ -124,7 +125,9 @@ def exact_groups(docs: DataFrame, rows_per_owner: int = 250_000) -> DataFrame:
 
     Equal means identical bytes; null counts as empty.  Of equal texts the row
     with the largest doc_id stays (null ids are smallest; of rows that repeat an
-    id, one).  Suspects alone are shuffled by content; the SHA-256 and length of
+    id, one: ties are broken by place in the table).  A group whose ids are all null
+    has a null keep_id.  Other columns are not looked at; an empty table gives an
+    empty one.  Suspects alone are shuffled by content; the SHA-256 and length of
     all their bytes, taken in the one scan, stand for the bytes there, so text
     itself is never moved.  Owners hold about ``rows_per_owner`` hashes each.
     """

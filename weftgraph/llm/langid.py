@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,31 +65,35 @@ def in_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit_profiles(docs: DataFrame, top: int = 300, longest: int = 3, per_language: int = 5000) -> dict[str, np.ndarray]:
+def fit_profiles(docs: DataFrame, top: int = 300, longest: int = 3, per_language: int = 5000, languages: int = 1000) -> dict[str, np.ndarray]:
     """Each language's ``top`` n-grams in rank order, from labelled rows outside the held-out fold.
 
+    The ``languages`` labels with the most rows are learned (ties by code point).
     A language with more than ``per_language`` labelled rows learns from a hash
     sample of about that many, whole texts; a rarer one from all of its rows.
-    Rows with null text, lang or doc_id teach nothing.  The result holds
-    languages x ``top`` numbers and is all that reaches the driver.
+    Rows with null text, lang or doc_id teach nothing; repeated rows teach again;
+    an empty table gives no profile.  Of n-grams of one count the smaller key ranks
+    first.  At most ``languages`` x ``top`` x 32 rows reach the driver.
     """
     small_batches(docs.sparkSession)
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_fold(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    slim = docs.select("doc_id", "lang", "text")
+    labelled = slim.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_fold(F.col("doc_id")))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < per_language).select("lang", "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for lang, texts in batch.groupby("lang")["text"]:
-                total: Counter = Counter()
-                for text in texts:
-                    keys, counts = grams(text, longest)
-                    total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-                yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
-
-    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            totals: dict[str, Counter] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                keys, counts = grams(text, longest)
+                totals.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+            for lang, total in totals.items():
+                arrays = [pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
+
+    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Two steps, so that a language's n-grams never meet in one task.
     salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(32)))
     near = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
@@ -108,43 +112,58 @@ def distance(own: np.ndarray, keys: np.ndarray, ranks: np.ndarray, top: int) ->
     return float(places.sum()) / (top * len(own))
 
 
+def guesser(profiles: dict[str, np.ndarray], top: int, longest: int) -> Callable[[list[str | None]], tuple[list[str], list[float]]]:
+    """A function from texts to languages and scores."""
+    sets = []
+    for lang, keys in sorted(profiles.items()):
+        order = np.argsort(keys)
+        sets.append((lang, keys[order], order))
+
+    def guess(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
+        for text in texts:
+            own = ranked(*grams(text or "", longest), top)
+            if not len(own) or not sets:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            far = [distance(own, keys, ranks, top) for _, keys, ranks in sets]
+            best = int(np.argmin(far))
+            langs.append(sets[best][0])
+            scores.append(1.0 - far[best])
+        return langs, scores
+
+    return guess
+
+
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = 300, longest: int = 3) -> DataFrame:
     """``docs`` with lang_pred and score.
 
     score is 1 minus the best language's normalised out-of-place distance.  Null
     texts, texts without letters, and any text if no language was learned get
     ``und`` and 0.  Ties go to the first language by code point.  Only the text
-    is looked at, and all of it; the other columns pass through.
+    is looked at, and all of it; the other columns pass through untouched, but
+    for columns of the two output names, which are replaced.  Repeated rows are
+    predicted alike; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    sets = []
-    for lang, keys in sorted(profiles.items()):
-        order = np.argsort(keys)
-        sets.append((lang, keys[order], order))
+    guess, kept = guesser(profiles, top, longest), docs.drop("lang_pred", "score")
 
-    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            langs, scores = [], []
-            for text in batch["__text"]:
-                own = ranked(*grams(text or "", longest), top)
-                if not len(own) or not sets:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                far = [distance(own, keys, ranks, top) for _, keys, ranks in sets]
-                best = int(np.argmin(far))
-                langs.append(sets[best][0])
-                scores.append(1.0 - far[best])
-            yield batch.drop(columns="__text").assign(lang_pred=langs, score=scores)
-
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = widened(docs.select(*kept).schema, lang_pred="string", score="double")
-    return docs.select(*kept, F.col("text").alias("__text")).mapInPandas(guess, schema)
+            langs, scores = guess(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+
+    return kept.mapInArrow(label, widened(kept.schema, lang_pred="string", score="double"))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred and score.  A null doc_id is held out of learning and false in held_out."""
+    """One row per document: doc_id, held_out, lang_pred and score.
+
+    A null doc_id is held out of learning and false in held_out.  Texts, ties,
+    repeated rows and empty tables: see ``fit_profiles`` and ``predict``.
+    """
     profiles = fit_profiles(docs, **options)
     held_out = F.coalesce(~in_fold(F.col("doc_id")), F.lit(False))
     said = predict(docs.select("doc_id", "text"), profiles, options.get("top", 300), options.get("longest", 3))
@@ -152,6 +171,17 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
-    """The documents whose language is recognised: not ``und`` and a score above ``least``.  Columns as in ``docs``."""
-    said = predict(docs, fit_profiles(docs, **options), options.get("top", 300), options.get("longest", 3))
-    return said.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least)).select(*docs.columns)
+    """The documents whose language is recognised: not ``und`` and a score above ``least``.
+
+    Rows and columns are as in ``docs``, whatever the columns are called; null
+    texts and texts without letters go; an empty table gives an empty one.
+    """
+    guess = guesser(fit_profiles(docs, **options), options.get("top", 300), options.get("longest", 3))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            said = zip(*guess(batch.column("text").to_pylist()), strict=True)
+            yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)

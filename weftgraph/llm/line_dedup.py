@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, checkpoint, next_power_of_two, small_batches, widened
+from .common import WHITE, checkpoint, next_power_of_two, small_batches, unused, widened
 from .tokenizer import release
 
 HASHES = 4
@@ -112,13 +113,13 @@ def repeated_keys(docs: DataFrame, twice: np.ndarray, documents: int, least: int
     shared = docs.sparkSession.sparkContext.broadcast(twice)
     bits = len(twice) * 8
 
-    def suspected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         seen = Seen(8)
         seen.bits, seen.twice = bits, shared.value
         for batch in batches:
             found: dict[bytes, list] = {}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 first: dict[bytes, int] = {}
                 for i, k in enumerate(line_keys(text, least)[1]):
                     if k is not None:
@@ -126,29 +127,29 @@ def repeated_keys(docs: DataFrame, twice: np.ndarray, documents: int, least: int
                 if not first:
                     continue
                 keys = list(first)
-                order = (1, 0) if pd.isna(doc_id) else (0, int(doc_id))
+                order = (1, 0) if doc_id is None else (0, doc_id)
                 for k, hit in zip(keys, seen.repeated(hashes_of(keys)), strict=True):
                     if hit:
                         mine = found.setdefault(k, [0, (*order, first[k])])
                         mine[0] += 1
                         mine[1] = min(mine[1], (*order, first[k]))
             if found:
-                firsts = [v[1] for v in found.values()]
-                yield pd.DataFrame(
-                    {
-                        "key": list(found),
-                        "n": [v[0] for v in found.values()],
-                        "no_id": [f[0] for f in firsts],
-                        "first_doc": [f[1] for f in firsts],
-                        "first_line": [f[2] for f in firsts],
-                    }
-                )
-
-    rows = docs.select("doc_id", "text").mapInPandas(suspected, "key binary, n long, no_id int, first_doc long, first_line long")
-    exact = rows.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("no_id", "first_doc", "first_line")).alias("first"))
-    as_digest = F.udf(lambda k: digest(bytes(k)), "binary")
+                firsts = np.array([v[1] for v in found.values()], np.int64)
+                arrays = [
+                    pa.array(list(found), pa.binary()),
+                    pa.array([digest(k) for k in found], pa.binary()),
+                    pa.array([v[0] for v in found.values()], pa.int64()),
+                    pa.array(firsts[:, 0].astype(np.int32)),
+                    pa.array(firsts[:, 1]),
+                    pa.array(firsts[:, 2]),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "n", "no_id", "first_doc", "first_line"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = slim.mapInArrow(suspected, "key binary, digest binary, n long, no_id int, first_doc long, first_line long")
+    exact = rows.groupBy("key", "digest").agg(F.sum("n").alias("n_docs"), F.min(F.struct("no_id", "first_doc", "first_line")).alias("first"))
     return exact.filter(F.col("n_docs") >= documents).select(
-        as_digest("key").alias("digest"),
+        "digest",
         "n_docs",
         F.when(F.col("first.no_id") == 0, F.col("first.first_doc")).alias("first_doc"),
         F.col("first.first_line").alias("first_line"),
@@ -189,7 +190,7 @@ def strip_lines(doc_id, text: str | None, table: Table | None, keep_first: bool,
     at = table.find([digest(k if k is not None else b"") for k in keys])
     drop = (at >= 0) & np.array([k is not None for k in keys])
     if keep_first:
-        missing = pd.isna(doc_id)
+        missing = doc_id is None
         for i in np.flatnonzero(drop):
             j = at[i]
             if table.lines[j] == i and bool(table.none[j]) == missing and (missing or table.docs[j] == doc_id):
@@ -199,18 +200,44 @@ def strip_lines(doc_id, text: str | None, table: Table | None, keep_first: bool,
     return b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode("utf-8", "replace"), len(lines), int(drop.sum())
 
 
+def stripper(keep_first: bool, least: int, counts: bool):
+    """A function from a batch and its texts' tables to the batch with text replaced, and with ``counts`` the two counts behind."""
+
+    def strip(batch: pa.RecordBatch, tables: list[Table | None]) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        out = [strip_lines(d, t, own, keep_first, least) for d, t, own in zip(batch.column("doc_id").to_pylist(), texts, tables, strict=True)]
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, batch.schema.field(at), pa.array([o[0] for o in out], batch.schema.field(at).type))
+        if not counts:
+            return batch
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], [*batch.schema.names, "n_lines", "n_dropped"])
+
+    return strip
+
+
 def dedup_lines(
-    docs: DataFrame, documents: int = 10, least: int = 1, keep_first: bool = False, bits: int | None = None, broadcast_limit: int = 1_000_000
+    docs: DataFrame,
+    documents: int = 10,
+    least: int = 1,
+    keep_first: bool = False,
+    bits: int | None = None,
+    broadcast_limit: int = 1_000_000,
+    counts: bool = True,
 ) -> DataFrame:
-    """``docs`` with repeated lines gone from text, and n_lines and n_dropped.
+    """``docs`` with repeated lines gone from text, and with ``counts`` n_lines and n_dropped.
 
     A key of at least ``least`` code points that is in ``documents`` or more
-    documents (rows) loses all of its lines; with ``keep_first`` the first line
-    of the smallest doc_id that has it stays.  Null and empty texts are one empty
-    line.  Other columns pass through; an empty table gives an empty one.
+    documents (rows, so repeated rows count each) loses all of its lines; with
+    ``keep_first`` the first line of the smallest doc_id that has it stays (null
+    ids are last; of rows that share that doc_id each keeps it).  Null and empty
+    texts are one empty line; a null text comes back empty.  Other columns pass
+    through untouched; only with ``counts`` are columns of the two output names
+    replaced.  An empty table gives an empty one.
 
     The filter has ``bits`` bits: 64 a document by default, 2**20 to 2**28 (32
-    MB).  Up to ``broadcast_limit`` repeated keys (32 bytes each) are sent to all
+    MB).  Beyond some 50 million distinct lines it marks ever more single lines
+    as suspects; these are shuffled and counted exactly, so results hold at any
+    size.  Up to ``broadcast_limit`` repeated keys (32 bytes each) are sent to all
     tasks; beyond it the texts' suspected lines join them by shuffle.
     """
     spark = docs.sparkSession
@@ -219,59 +246,52 @@ def dedup_lines(
         bits = min(1 << 28, max(1 << 20, next_power_of_two(64 * docs.count())))
     twice = build_filter(docs, bits, least)
     found = checkpoint(repeated_keys(docs, twice, documents, least))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__keys", "__own")]
-    schema = widened(docs.select(*kept).schema, n_lines="long", n_dropped="long")
+    kept = docs.drop("n_lines", "n_dropped") if counts else docs
+    schema = widened(kept.schema, n_lines="long", n_dropped="long") if counts else kept.schema
+    strip = stripper(keep_first, least, counts)
     if found.count() <= broadcast_limit:
         rows = found.collect()
         shared = spark.sparkContext.broadcast(Table([bytes(r[0]) for r in rows], [r[2] for r in rows], [r[3] for r in rows]))
 
-        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
-                out = [strip_lines(d, t, shared.value, keep_first, least) for d, t in zip(batch["__id"], batch["text"], strict=True)]
-                yield batch.drop(columns="__id").assign(text=[o[0] for o in out], n_lines=[o[1] for o in out], n_dropped=[o[2] for o in out])
+                yield strip(batch, [shared.value] * batch.num_rows)
 
-        return docs.select(*kept, F.col("doc_id").alias("__id")).mapInPandas(apply, schema)
-    return _dedup_by_join(docs, kept, schema, twice, found, keep_first, least)
+        return kept.mapInArrow(apply, schema)
+    return _dedup_by_join(kept, schema, twice, found, strip, least)
 
 
-def _dedup_by_join(docs: DataFrame, kept: list[str], schema, twice: np.ndarray, found: DataFrame, keep_first: bool, least: int) -> DataFrame:
+def _dedup_by_join(docs: DataFrame, schema, twice: np.ndarray, found: DataFrame, strip, least: int) -> DataFrame:
     """The way beyond the broadcast limit: each text's suspected keys, joined by digest, come back as one array per text."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
     bits = len(twice) * 8
 
-    def suspected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         seen = Seen(8)
         seen.bits, seen.twice = bits, shared.value
         for batch in batches:
             rows = []
-            for own, text in zip(batch["__own"], batch["text"], strict=True):
+            for own, text in zip(batch.column("own").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 keys = list({*line_keys(text, least)[1]} - {None})
                 if keys:
                     rows += [(own, digest(k)) for k, hit in zip(keys, seen.repeated(hashes_of(keys)), strict=True) if hit]
-            yield pd.DataFrame(rows, columns=["__own", "digest"])
-
-    own = docs.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    wanted = own.select("__own", "text").mapInPandas(suspected, "__own string, digest binary").distinct()
-    per_text = (
-        wanted.join(found, "digest")
-        .groupBy("__own")
-        .agg(F.collect_list(F.struct("digest", "first_doc", "first_line")).alias("__keys"))
-    )
-    joined = own.join(per_text, "__own", "left").select(*kept, F.col("doc_id").alias("__id"), "__keys")
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["own", "digest"])
+
+    text_hash = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    wanted = docs.select(text_hash.alias("own"), "text").mapInArrow(suspected, "own string, digest binary").distinct()
+    by_text, keys_name = unused(docs.columns, "own"), unused(docs.columns, "keys")
+    per_text = wanted.join(found, "digest").groupBy(F.col("own").alias(by_text)).agg(F.collect_list(F.struct("digest", "first_doc", "first_line")).alias(keys_name))
+    joined = docs.join(per_text, text_hash == F.col(by_text), "left").select(*[docs[c] for c in docs.columns], keys_name)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            out = []
-            for d, t, keys in zip(batch["__id"], batch["text"], batch["__keys"], strict=True):
-                table = None
-                if keys is not None and len(keys):
-                    firsts = [None if pd.isna(k["first_doc"]) else int(k["first_doc"]) for k in keys]
-                    table = Table([bytes(k["digest"]) for k in keys], firsts, [k["first_line"] for k in keys])
-                out.append(strip_lines(d, t, table, keep_first, least))
-            yield batch.drop(columns=["__id", "__keys"]).assign(text=[o[0] for o in out], n_lines=[o[1] for o in out], n_dropped=[o[2] for o in out])
-
-    return joined.mapInPandas(apply, schema)
+            tables = [Table([k["digest"] for k in keys], [k["first_doc"] for k in keys], [k["first_line"] for k in keys]) if keys else None for keys in batch.column(keys_name).to_pylist()]
+            yield strip(batch.drop_columns([keys_name]), tables)
+
+    return joined.mapInArrow(apply, schema)
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

@@ -6,12 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, widened
+from .common import checkpoint, unused, widened
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,75 +70,121 @@ def pair(p: np.ndarray, mass: np.ndarray, ids: Sequence[int], seed: int) -> tupl
     return p, held
 
 
-def copies(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, share: float = 1.0, most: float = 3.0, seed: int = 17, group: int = 1000, fanout: int = 1000
-) -> DataFrame:
-    """How often each document is taken: doc_id, source, size, n (rows alike), source_size, target and copies.
-
-    Rows that agree in doc_id, source and size are one unit and share its
-    copies.  A source's rate is target over size; a unit takes the whole part and
-    the fraction is rounded dependently so that the source's words stay at its
-    target: hash groups of about ``group`` units round among themselves, each
-    leaves at most one fraction, and the leftovers meet again by ``fanout``,
-    level by level, until a source has one, which is rounded at random.  Units go
-    largest first, so that small ones settle what is left.
+def settle_with(seed: int):
+    """A function that rounds the fractions p of one group of units and marks in open the one left over; a source's last one is drawn."""
 
-    Only one row per source reaches the driver.  Sizes count words; null texts
-    and null sources are a text without words and a source of their own.
-    """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    units = checkpoint(docs.select("doc_id", "source", size).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
-    totals = {r["source"]: (r["words"], r["units"]) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("units")).collect()}
-    aims = targets({s: w for s, (w, _) in totals.items()}, weights, share, most)
-    plan = [(s, w, float(aims[s]), min(most, aims[s] / w) if w else 0.0, max(1, math.ceil(u / group))) for s, (w, u) in totals.items()]
-    table = spark.createDataFrame(plan, "from_source string, source_size long, target double, rate double, groups int")
-    rated = (
-        units.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("from_source")))
-        .drop("from_source")
-        .withColumn("id", F.xxhash64("doc_id", "size", F.lit(seed)))
-        .withColumns({"whole": F.floor("rate").cast("int"), "p": F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)})
-        .withColumn("part", F.pmod("id", "groups").cast("int"))
-        .drop("rate")
-    )
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "id", "doc_id", "n"], ascending=[False, True, True, True], kind="stable")
-        p, held = pair(frame["p"].to_numpy(), (frame["size"] * frame["n"]).to_numpy(float), frame["id"].to_numpy(), seed)
+    def settle(group: pa.Table) -> pa.Table:
+        column = {c: group.column(c).to_numpy() for c in ("p", "size", "n", "id", "groups")}
+        ids = group.column("doc_id")
+        order = np.lexsort((column["n"], ids.fill_null(0).to_numpy(), column["id"], -column["size"]))
+        p, held = pair(column["p"][order], (column["size"] * column["n"])[order].astype(float), column["id"][order], seed)
         open_ = np.zeros(len(p), bool)
         if held is not None:
             open_[held] = True
-            if (frame["groups"].iloc[0]) == 1:
-                u = xxhash.xxh64_intdigest(int(frame["id"].iloc[held]).to_bytes(8, "little", signed=True), seed + 1) / 2.0**64
+            if column["groups"][0] == 1:
+                u = xxhash.xxh64_intdigest(int(column["id"][order][held]).to_bytes(8, "little", signed=True), seed + 1) / 2.0**64
                 p[held], open_[held] = float(u < p[held]), False
-        return frame.assign(p=p, open=open_)
+        group = group.take(pa.array(order))
+        at = group.schema.get_field_index("p")
+        return group.set_column(at, group.schema.field(at), pa.array(p)).append_column("open", pa.array(open_))
+
+    return settle
 
-    done, level, most_groups = [], rated, max((r[4] for r in plan), default=1)
+
+def rounded(units: DataFrame, most_groups: int, fanout: int, seed: int) -> list[DataFrame]:
+    """The units with p rounded, as parts: groups round among themselves, and their leftovers meet again by ``fanout``, level by level."""
+    done, level = [], units
     while True:
-        out = checkpoint(level.groupBy("source", "part").applyInPandas(settle, widened(level.schema, open="boolean")))
+        out = checkpoint(level.groupBy("source", "part").applyInArrow(settle_with(seed), widened(level.schema, open="boolean")))
         done.append(out.filter("not open").drop("open"))
         if most_groups <= 1:
-            break
+            return done
         most_groups = math.ceil(most_groups / fanout)
         level = out.filter("open").drop("open").withColumns({"groups": F.ceil(F.col("groups") / fanout).cast("int"), "part": F.floor(F.col("part") / fanout).cast("int")})
+
+
+def copies(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, share: float = 1.0, most: float = 3.0, seed: int = 17, group: int = 1000, fanout: int = 1000
+) -> DataFrame:
+    """How often each document is taken: doc_id, source, size, n (rows alike), source_size, target and copies.
+
+    Rows that agree in doc_id, source and size are one unit and share its
+    copies.  A source's rate is target over size; a unit takes the whole part and
+    the fraction is rounded dependently so that the source's words stay at its
+    target.  Units of like size are rounded together, the largest sizes first:
+    hash groups of about ``group`` units among themselves, then what each leaves,
+    ``fanout`` by ``fanout``, until a source has one fraction left, which is drawn.
+    What that draw takes too much or too little is spread over the rates of all
+    smaller units, so a source ends about one of its smallest units away from its
+    target, and each unit keeps its expected copies.
+
+    Only one row per source and size class (powers of four) reaches the driver.
+    Sizes count words; null and empty texts have none and take part with 0 words.
+    Null sources are a source of their own, null ids a unit per size.  An empty
+    table gives an empty one.
+    """
+    spark = docs.sparkSession
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    mass = F.col("size") * F.col("n")
+    units = checkpoint(cells.withColumn("id", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("like", F.when(mass > 0, F.floor(F.log2(mass) / 2)).otherwise(-1).cast("int")))
+    held = {(r["source"], r["like"]): (r["words"], r["units"]) for r in units.groupBy("source", "like").agg(F.sum(mass).alias("words"), F.count("*").alias("units")).collect()}
+    words: dict[str | None, int] = {}
+    for (source, _), (n, _) in held.items():
+        words[source] = words.get(source, 0) + n
+    aims = targets(words, weights, share, most)
+    done, ahead, left = [], dict.fromkeys(words, 0.0), dict(words)
+    for like in sorted({k for _, k in held}, reverse=True):
+        plan = []
+        for (source, own), (n, count) in held.items():
+            if own == like:
+                even = min(most, aims[source] / words[source]) if words[source] else 0.0
+                rate = min(most, max(0.0, even - ahead[source] / left[source])) if left[source] else 0.0
+                plan.append((source, words[source], float(aims[source]), rate, max(1, math.ceil(count / group))))
+                ahead[source] -= even * n
+                left[source] -= n
+        table = spark.createDataFrame(plan, "from_source string, source_size long, target double, rate double, groups int")
+        rated = (
+            units.filter(F.col("like") == like)
+            .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("from_source")))
+            .withColumns({"whole": F.floor("rate").cast("int"), "p": F.col("rate") - F.floor("rate"), "part": F.pmod("id", "groups").cast("int")})
+            .drop("from_source", "rate", "like")
+        )
+        parts = rounded(rated, max(r[4] for r in plan), fanout, seed)
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        done.append(every.withColumn("copies", (F.col("whole") + F.col("p")).cast("int")))
+        for source, taken in done[-1].groupBy("source").agg(F.sum(F.col("copies") * mass)).collect():
+            ahead[source] += taken
+    if not done:
+        return units.select("doc_id", "source", "size", "n", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"))
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    return every.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
+    return every.select("doc_id", "source", "size", "n", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
+    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+
+    Nulls, repeated rows, ties and empty tables: see ``copies``.
+    """
     rows = copies(docs, **options).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it.  Documents without words are kept once."""
-    taken = copies(docs, **options).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("__copies")
-    )
+    """``docs`` with every row repeated as often as the mix takes it.
+
+    Documents without words are kept once; columns are as in ``docs``, whatever
+    they are called.  Nulls, repeated rows and empty tables: see ``copies``.
+    """
+    names = [unused(docs.columns, c) for c in ("own_id", "own_source", "own_size", "own_copies", "own_copy")]
+    own_id, own_source, own_size, own_copies, own_copy = names
+    often = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    taken = copies(docs, **options).select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), often.alias(own_copies))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    joined = docs.join(taken.filter("__copies > 0"), on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (size == F.col(own_size))
+    joined = docs.join(taken.filter(F.col(own_copies) > 0), on)
+    return joined.withColumn(own_copy, F.explode(F.sequence(F.lit(1), F.col(own_copies)))).select(*docs.columns)

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +26,35 @@ def pieces(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path
     """One row per piece of each document's ids, closed by ``end_id``.
 
     A piece never crosses documents.  Null and empty texts have the one id
-    ``end_id``.  Repeated rows are cut alike.  ``with_ids`` adds the ids.
+    ``end_id``.  Repeated rows are cut alike, each into pieces of its own; a null
+    doc_id stays null; other columns are not looked at; an empty table gives an
+    empty one.  ``with_ids`` adds the ids.
     """
     path = tokenizer_path or default_path()
     small_batches(docs.sparkSession)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, every = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(made.ids(text), np.uint32(end_id)).astype("<u4")
                 start = 0
                 for n in binary_lengths(len(ids), longest):
-                    own = ids[start : start + n]
-                    rows.append((doc_id, start, n, zlib.crc32(own.tobytes()), len(ids), *([own.view("<i4")] if with_ids else [])))
+                    rows.append((at, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)))
                     start += n
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                every.append(ids)
+            if rows:
+                at, *numbers = np.array(rows, np.int64).T
+                arrays = [batch.column("doc_id").take(pa.array(at)), *map(pa.array, numbers)]
+                if with_ids:  # pieces follow each other as their ids do
+                    ends = np.concatenate([[0], np.cumsum(numbers[1])])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every).view("<i4"))))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -55,7 +64,9 @@ def pack(docs: DataFrame, longest: int = 4096, end_id: int = 2, tokenizer_path:
     length and none is padded.  Sequences are numbered gapless from 0, equal
     lengths next to each other and the longest first: ``bucket`` is log2 of the
     length, and any run of ids inside a bucket is a batch without padding.  The
-    same piece of the same document gets the same number in a rerun.  ``with_ids``
+    same piece of the same document gets the same number in a rerun, but for rows
+    that agree in doc_id and ids, which are interchangeable.  Nulls, repeated rows
+    and empty tables: see ``pieces``.  ``with_ids``
     adds the ids: pieces are numbered without them, and they are joined behind.
     """
     cut = pieces(docs, longest, end_id, tokenizer_path, with_ids)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows
+from .common import number_rows, unused
 
 
 @dataclass(frozen=True)
@@ -82,11 +82,12 @@ def shard_rows(df: DataFrame, tree: Node, grown: Node | None = None, key: str =
     shard.  An empty table gives an empty one.  Existing columns of the output
     names are replaced.
     """
-    out = df.withColumn("__path", descend(F.col(key), tree))
-    out = out.withColumns({name: F.col("__path")[name] for name in ("region", "rack", "shard")})
+    path = unused(df.columns, "path")
+    out = df.withColumn(path, descend(F.col(key), tree))
+    out = out.withColumns({name: F.col(path)[name] for name in ("region", "rack", "shard")})
     if grown is not None:
         out = out.withColumn("grown_shard", descend(F.col(key), grown)["shard"])
-    return out.drop("__path")
+    return out.drop(path)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, small_batches, unused
 from .links import block_pairs, components, forest
 from .tokenizer import release
 
@@ -39,12 +40,13 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp."""
     small_batches(docs.sparkSession)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, words) for t in batch["text"]]})
+            prints = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -150,8 +152,10 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     component_id is the smallest doc_id reachable over links of ``radius`` or
     fewer differing bits.  Null, empty and blank texts have fingerprint zero and
     link like others.  Null doc_ids never are a component_id unless all of a
-    component are null.  Copies meet by their fingerprint before anything is
-    compared.
+    component are null.  Repeated rows each have a row in the result; ties cannot
+    arise, as a component's smallest id is one number; other columns are not looked
+    at; an empty table gives an empty one.  Copies meet by their fingerprint before
+    anything is compared.
     """
     prints = checkpoint(fingerprints(docs, words))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -168,12 +172,14 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id.
 
     Rows that repeat a kept doc_id are one document and stay once.  Rows without
-    a doc_id cannot be told from each other and all stay.
+    a doc_id cannot be told from each other and all stay.  Columns are as in
+    ``docs``, whatever they are called.
     """
+    own = unused(docs.columns, "own_id")
     groups = checkpoint(near_groups(docs, words, radius))
     stay = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = checkpoint(stay)
-    kept = docs.join(stay.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    kept = docs.join(stay.select(F.col("doc_id").alias(own)), docs["doc_id"].eqNullSafe(F.col(own))).drop(own)
     if stay.filter(F.col("doc_id").isNotNull() & (F.col("n") > 1)).limit(1).count():
         alone, named = kept.filter("doc_id is null"), kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
         kept = alone.unionByName(named)

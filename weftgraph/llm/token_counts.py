@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,19 +87,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, memo: int =
 
     Words lie between ASCII white space, with A-Z lowered; each is cut greedily
     into the longest vocabulary pieces of its bytes.  Null and empty texts have
-    none.  The automaton grows with the vocabulary only; each worker memoises the
+    none.  Repeated rows are counted alike, each in a row of its own; a null doc_id
+    stays null; other columns are not looked at; an empty table gives an empty
+    one.  The automaton grows with the vocabulary only; each worker memoises the
     counts of up to ``memo`` words of at most 64 bytes.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(tokenizer_path or default_path()))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         automaton = LongestMatch(shared.value)
         for batch in batches:
             words_out, tokens_out = [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 total = 0
                 for w in words:
@@ -113,9 +115,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, memo: int =
                     total += n
                 words_out.append(len(words))
                 tokens_out.append(total)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": words_out, "n_tokens": tokens_out})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words_out, pa.int64()), pa.array(tokens_out, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(count, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long")
 
 
 def brute_force(word: bytes, pieces: set[bytes]) -> int:
