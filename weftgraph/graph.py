@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODE_SCHEMA = "id string, kind string, file_path string, label string, content_hash string, metadata map<string,string>"
 EDGE_SCHEMA = "source string, target string, kind string, provenances array<string>, target_space string"
@@ -26,6 +29,10 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
+    def stored(self) -> Graph:
+        """The graph as two tables of the shared folder, for queries that read it more than once."""
+        return Graph(stored(self.nodes), stored(self.edges))
+
     def kinds(self, *kinds: str) -> DataFrame:
         return self.nodes.filter(F.col("kind").isin(*kinds))
 
@@ -47,14 +54,52 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut lineage through the shared folder; the partitioning stays known."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again, so that later reads take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Levels:
+    """What the rounds of a loop have found: a Parquet folder a round, read one by one or as one table."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType):
+        self.spark, self.schema = spark, schema
+        self.folder, self.rounds = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> int:
+        """Write one more round; the number of its rows is counted as they are written."""
+        seen = Observation()
+        df.select(self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.folder}/{self.rounds}")
+        self.rounds += 1
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.rounds - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{i}" for i in range(self.rounds)])
+
+
 def owner_path(node_id: Column) -> Column:
     """Path that owns a file or symbol id (the last # splits a symbol), else null."""
     file = F.regexp_extract(node_id, r"^file:(.*)$", 1)

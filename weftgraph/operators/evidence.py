@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, checkpoint, owner_path
+from ..graph import Graph, Levels, checkpoint, owner_path
 from .findings import claimed, exclusive
 
 
@@ -53,15 +53,32 @@ def evidence_edges(graph: Graph, evidence: DataFrame) -> DataFrame:
     )
 
 
-def containment(graph: Graph) -> DataFrame:
-    """ancestor and descendant over contains edges, at least one step; cycles end."""
-    steps = checkpoint(graph.edges_of("contains").select(F.col("source").alias("ancestor"), F.col("target").alias("descendant")).distinct())
-    closed = frontier = steps
-    while frontier.limit(1).count():
-        onward = frontier.withColumnRenamed("descendant", "middle").join(steps.withColumnRenamed("ancestor", "middle"), "middle").select("ancestor", "descendant").distinct()
-        frontier = checkpoint(onward.join(closed, ["ancestor", "descendant"], "anti"))
-        closed = checkpoint(closed.union(frontier))
-    return closed
+def containment(graph: Graph, ends: DataFrame | None = None) -> DataFrame:
+    """ancestor and descendant over contains edges, at least one step; cycles end.
+
+    With ``ends(id)`` only pairs that descend from one of them or lead up to one:
+    the walk starts there, down and up, so the rest of the graph is never closed.
+    """
+    spark = graph.nodes.sparkSession
+    steps = graph.edges_of("contains").select(F.col("source").alias("ancestor"), F.col("target").alias("descendant")).distinct()
+    steps = checkpoint(steps)
+
+    def walk(first: DataFrame, near: str, far: str) -> DataFrame:
+        """Pairs of a fixed end ``far`` and what further steps lead to at ``near``."""
+        levels = Levels(spark, first.schema)
+        found = levels.add(first)
+        onward = steps.select(F.col(far).alias("middle"), F.col(near).alias("next"))
+        while found:
+            last = levels.last().withColumnRenamed(near, "middle").join(onward, "middle").select(far, F.col("next").alias(near)).distinct()
+            found = levels.add(last.join(levels.all(), [near, far], "anti"))
+        return levels.all()
+
+    if ends is None:
+        return walk(steps, "descendant", "ancestor")
+    own = ends.select("id").distinct()
+    down = walk(steps.join(own.withColumnRenamed("id", "ancestor"), "ancestor", "semi"), "descendant", "ancestor")
+    up = walk(steps.join(own.withColumnRenamed("id", "descendant"), "descendant", "semi"), "ancestor", "descendant")
+    return down.unionByName(up).distinct()
 
 
 def classify(graph: Graph, evidence: DataFrame, shared_threshold: int = 5) -> DataFrame:
@@ -74,8 +91,8 @@ def classify(graph: Graph, evidence: DataFrame, shared_threshold: int = 5) -> Da
     one unclaimed requirement with no claim of it above or below.
     """
     pairs = evidence.select("req_id", "node_id").distinct()
-    inside = containment(graph)
     claims = graph.edges_of("implements").select(F.col("target").alias("req_id"), F.col("source").alias("node_id")).distinct()
+    inside = containment(graph, claims.select(F.col("node_id").alias("id")).union(pairs.select("node_id")))
     below = claims.join(inside.select(F.col("ancestor").alias("node_id"), "descendant"), "node_id").join(pairs.withColumnRenamed("node_id", "descendant"), ["req_id", "descendant"], "semi").select("req_id", "node_id")
     direct = graph.edges_of("contains").select(F.col("source").alias("parent"), F.col("target").alias("node_id"))
     built = claims.filter(F.col("node_id").startswith("symbol:") & F.col("node_id").endswith(".constructor"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import NAMESPACED, TOKEN, plain_path
 from ..graph import short_hash
 
-ANNOTATION = r"\((depends_on|derives_from):\s*([^()]*?)\)"
+ANNOTATION = r"\(\s*(depends_on|derives_from)\s*:\s*([^()]*?)\)"
+# Code spans and comments: what they hold is no markup.
+MASKED = r"(`+)(?:(?!`).)+?\1(?!`)|<!--.*?-->"
 FENCE = r"^\s*(?:```|~~~)"
 # White space inside a line, Unicode blanks and the BOM included.
 BLANK = r"[ \t\x0B\f\r\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]"
@@ -35,6 +37,16 @@ def stripped(text):
     return F.regexp_replace(F.regexp_replace(edge, ANNOTATION, " "), r"[ \t]+$", "")
 
 
+def unchecked(text):
+    """A document's text as it is hashed: line ends normalised and every checked box of a list item unchecked."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)\[[xX]\](?=\s|$)", "$1[ ]")
+
+
+def unmasked(line):
+    """A line without its code spans and comments."""
+    return F.regexp_replace(line, MASKED, "")
+
+
 def list_items(lines: DataFrame) -> DataFrame:
     """List items outside fences, with their text."""
     item = F.regexp_extract("line", r"^\s*[-*+]\s+(.*)$", 1)
@@ -49,14 +61,18 @@ def headings(lines: DataFrame) -> DataFrame:
     ends = [F.min(F.when((level > 0) & (level <= k), F.col("n"))).over(after) for k in range(1, 7)]
     end = F.element_at(F.array(*ends), F.greatest(level, F.lit(1)))
     total = F.max("n").over(Window.partitionBy("path"))
-    text = F.regexp_replace(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), r"(?:^|[ \t])[ \t]*#+[ \t]*$", "")
+    # A closing run of # counts only where a blank or nothing stands before it.
+    text = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)), r"(?<![^ \t])#+$", ""))
     return marked.withColumn("last", F.coalesce(end - 1, total)).filter(level > 0).select("path", "n", level.alias("level"), text.alias("text"), "last")
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    """id, file_path, line, label and content_hash of requirements in list items and ``Requirement N`` headings."""
+def requirements(files: DataFrame, token: str = TOKEN) -> DataFrame:
+    """id, file_path, line, label and content_hash of requirements in list items and ``Requirement N`` headings.
+
+    ``token`` is the id grammar of list items.
+    """
     lines = lines_of(files)
-    item = list_items(lines).withColumn("id", F.regexp_extract("item", rf"^(?:\*\*)?({TOKEN})(?:\*\*)?[:\s]", 1)).filter("id <> ''")
+    item = list_items(lines).withColumn("id", F.regexp_extract("item", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)).filter("id <> ''")
     items = item.select("id", F.col("path").alias("file_path"), F.col("n").alias("line"), F.col("item").alias("label"), short_hash(stripped(F.col("item"))).alias("content_hash"))
     number = F.regexp_extract("text", r"^Requirement\s+(\d+)\s*(?::|$)", 1)
     head = headings(lines).withColumn("number", number).filter("number <> ''")
@@ -70,14 +86,17 @@ def requirements(files: DataFrame) -> DataFrame:
     return items.unionByName(sections)
 
 
-def annotations(files: DataFrame) -> DataFrame:
-    """source, kind, target, file_path and status (valid, invalid or empty) of ``(depends_on: A, B)`` on requirement items."""
-    item = list_items(lines_of(files)).withColumn("source", F.regexp_extract("item", rf"^(?:\*\*)?({TOKEN})(?:\*\*)?[:\s]", 1)).filter("source <> ''")
-    found = item.select("source", F.col("path").alias("file_path"), F.explode(F.regexp_extract_all("item", F.lit(ANNOTATION), F.lit(0))).alias("a"))
+def annotations(files: DataFrame, token: str = TOKEN) -> DataFrame:
+    """source, kind, target, file_path and status (valid, invalid or empty) of ``(depends_on: A, B)`` on requirement items.
+
+    Annotations inside code spans and comments are none.
+    """
+    item = list_items(lines_of(files)).withColumn("source", F.regexp_extract("item", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)).filter("source <> ''")
+    found = item.withColumn("item", unmasked(F.col("item"))).select("source", F.col("path").alias("file_path"), F.explode(F.regexp_extract_all("item", F.lit(ANNOTATION), F.lit(0))).alias("a"))
     named = F.filter(F.transform(F.split(F.regexp_extract("a", ANNOTATION, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
     bare = F.transform(named, lambda x: F.trim(F.regexp_replace(x, r"^\*\*(.+)\*\*$", "$1")))
     rows = found.select("source", F.regexp_extract("a", ANNOTATION, 1).alias("kind"), F.explode_outer(bare).alias("target"), "file_path")
-    status = F.when(F.col("target").isNull(), "empty").when(F.col("target").rlike(rf"^{TOKEN}$"), "valid").otherwise("invalid")
+    status = F.when(F.col("target").isNull(), "empty").when(F.col("target").rlike(rf"^(?:[\w-]+/)?(?:{token})$"), "valid").otherwise("invalid")
     return rows.withColumn("status", status)
 
 
@@ -101,6 +120,14 @@ def front_matter(files: DataFrame, key: str = "graph") -> DataFrame:
     return out.select("path", scalar(F.col("b"), "node_id").alias("node_id"), *own, listed(F.col("b"), "derives_from").alias("derives_from"), listed(F.col("b"), "depends_on").alias("depends_on"))
 
 
+def unknown_relations(files: DataFrame, key: str = "graph") -> DataFrame:
+    """path and key of entries below ``key`` in the front matter that are no relation and no id."""
+    block = F.regexp_extract("text", r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]+.*(?:\r?\n|\z))*)", 1)
+    keys = F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]+([A-Za-z_][\w-]*):"), F.lit(1))
+    return files.select("path", F.explode(keys).alias("key")).filter(~F.col("key").isin("node_id", "derives_from", "depends_on"))
+
+
 # Task conventions as name, file stems, task id, implements tag, verifies tag and the space of its targets.
 CONVENTIONS = [
     ("spec-kit", ["plan", "tasks"], r"^(?:\[[xX ]\][\s\u00A0]+)?(T\d+)\b", r"@impl\(([^)\n]+)\)", rf"\[((?:REQ-[\w/-]+)|(?:{NAMESPACED}))\]", None),
@@ -151,17 +178,19 @@ def inline_links(files: DataFrame) -> DataFrame:
     return rows.select(F.col("path").alias("file_path"), target.alias("target")).filter("target is not null").distinct()
 
 
-def implementation_tags(files: DataFrame) -> DataFrame:
+def implementation_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
     """path, line and req_id of ``// @impl A, B``, where the tag opens the line's comment."""
-    tag = rf"//{BLANK}*@impl{BLANK}+((?:(?:{NAMESPACED})(?:{BLANK}|,)*)+)"
+    named = rf"(?:[\w-]+/)?(?:{token})"
+    tag = rf"//{BLANK}*@impl{BLANK}+((?:{named}(?:{BLANK}|,)*)+)"
     bare = F.regexp_replace("line", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`", "''")
     rows = lines_of(files).select("path", F.col("n").alias("line"), F.regexp_extract(bare, rf"^(?:(?!//).)*?{tag}", 1).alias("ids")).filter("ids <> ''")
-    return rows.select("path", "line", F.explode(F.regexp_extract_all("ids", F.lit(NAMESPACED), F.lit(0))).alias("req_id")).distinct()
+    return rows.select("path", "line", F.explode(F.regexp_extract_all("ids", F.lit(named), F.lit(0))).alias("req_id")).distinct()
 
 
-def test_tags(files: DataFrame) -> DataFrame:
+def test_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
     """path and req_id of ``[ID]`` and ``req: "ID"`` anywhere in a test file."""
-    both = F.concat(F.regexp_extract_all("text", F.lit(rf"\[({NAMESPACED})\]"), F.lit(1)), F.regexp_extract_all("text", F.lit(rf"req:\s*[\"']?({NAMESPACED})[\"']?"), F.lit(1)))
+    named = rf"(?:[\w-]+/)?(?:{token})"
+    both = F.concat(F.regexp_extract_all("text", F.lit(rf"\[({named})\]"), F.lit(1)), F.regexp_extract_all("text", F.lit(rf"req:\s*[\"']?({named})[\"']?"), F.lit(1)))
     return files.select("path", F.explode(F.array_distinct(both)).alias("req_id"))
 
 
@@ -176,22 +205,106 @@ def exported_symbols(files: DataFrame) -> DataFrame:
     return ends.select("path", name.alias("name"), F.concat(F.lit("symbol:"), "path", F.lit("#"), name).alias("id"), F.col("n").alias("start"), "end", F.col("n").alias("seq"))
 
 
+def listed_exports(files: DataFrame) -> DataFrame:
+    """path, name (as exported) and line of ``export { a, b as c }`` without a source."""
+    rows = lines_of(files).select("path", "n", F.regexp_extract("line", r"^export\s*\{([^}]*)\}\s*;?\s*$", 1).alias("list")).filter("list <> ''")
+    each = rows.select("path", "n", F.explode(F.split("list", ",")).alias("e"))
+    name = F.regexp_extract("e", r"(?:\bas\s+)?([A-Za-z_$][\w$]*)\s*$", 1)
+    return each.select("path", name.alias("name"), "n").filter("name <> ''")
+
+
+def class_members(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """path, owner (id), name (``Class.member``), start and end of methods one level inside the exported classes of ``declared``."""
+    lines = lines_of(files)
+    classes = declared.join(lines.filter(F.col("line").rlike(r"\bclass\b")).select("path", F.col("n").alias("start")), ["path", "start"], "semi")
+    method = r"^(?: {2}| {4}|\t)(?:(?:public|protected|static|async|override|get|set)\s+|\*\s*)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\("
+    found = lines.select("path", "n", F.regexp_extract("line", method, 1).alias("member")).filter("member <> '' and member not in ('if', 'for', 'while', 'switch', 'return', 'catch', 'function')")
+    inside = found.join(classes.select("path", "id", "name", "start", "end"), "path").filter("n > start and n <= end")
+    near = Window.partitionBy("path", "id").orderBy("n")
+    last = F.least(F.coalesce(F.lead("n").over(near) - 1, F.col("end")), F.col("end"))
+    return inside.select("path", F.col("id").alias("owner"), F.concat_ws(".", "name", "member").alias("name"), F.col("n").alias("start"), last.alias("end"))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """path, name, id, start, end, seq, owner (a member's class) and content_hash of exported declarations, export lists and class members.
+
+    The hash is of the declaration's lines; of an export list, of its name.
+    """
+    declared = exported_symbols(files)
+    total = lines_of(files).groupBy("path").agg(F.max("n").alias("total"))
+    declared = declared.join(total, "path").withColumn("end", F.least("end", "total")).drop("total")
+    named = listed_exports(files).select("path", "name", F.concat(F.lit("symbol:"), "path", F.lit("#"), "name").alias("id"), F.col("n").alias("start"), F.col("n").alias("end"))
+    members = class_members(files, declared).withColumn("id", F.concat(F.lit("symbol:"), "path", F.lit("#"), "name"))
+    every = declared.drop("seq").unionByName(named).withColumn("owner", F.lit(None).cast("string")).unionByName(members).withColumn("seq", F.col("start"))
+    body = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), F.col("start"), F.col("end") - F.col("start") + 1), "\n")
+    return every.join(files.select("path", "text"), "path").withColumn("content_hash", short_hash(body)).drop("text")
+
+
 # What a relative specifier may stand for, best first.
 CANDIDATES = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """source and target file ids of relative imports and re-exports that lead to a known file.
+def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """``specs(path, spec)`` with target: the best known file that a relative specifier may stand for.
 
     A specifier's candidates are exploded with a rank and joined to the files, so
     nothing is probed one by one.
     """
-    spec = F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:import|export)\b[^'\";]*?(?:from\s*)?['\"](\.{1,2}/[^'\"]*|\.{1,2})['\"]"), F.lit(1))
-    rows = files.select("path", F.explode(F.array_distinct(spec)).alias("spec"))
     full = plain_path(F.concat(F.regexp_extract("path", r"^(.*?)[^/]*$", 1), "spec"))
     tries = [F.struct(F.lit(i).alias("rank"), F.concat(full, F.lit(c)).alias("target")) for i, c in enumerate(CANDIDATES)]
     swapped = [F.struct(F.lit(len(CANDIDATES) + i).alias("rank"), F.regexp_replace(full, r"\.m?jsx?$", c).alias("target")) for i, c in enumerate((".ts", ".tsx"))]
-    ranked = rows.select("path", "spec", F.inline(F.array(*tries, *swapped)))
+    ranked = specs.select("path", "spec").distinct().select("path", "spec", F.inline(F.array(*tries, *swapped)))
     known = ranked.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    best = known.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
+    return known.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
+
+
+def specifiers(files: DataFrame) -> DataFrame:
+    """path, clause and spec of every import or re-export from a relative path."""
+    pattern = r"(?m)^\s*(?:import|export)\b([^'\";]*?)(?:from\s*)?['\"](\.{1,2}/[^'\"]*|\.{1,2})['\"]"
+    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    rows = files.select("path", F.explode(F.array_distinct(whole)).alias("s"))
+    return rows.select("path", "s", F.regexp_extract("s", pattern, 1).alias("clause"), F.regexp_extract("s", pattern, 2).alias("spec"))
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """source and target file ids of relative imports and re-exports that lead to a known file."""
+    best = resolved(specifiers(files), files)
     return best.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
+
+
+def named_imports(files: DataFrame) -> DataFrame:
+    """source and target ids of imports at symbol grain.
+
+    Named and default imports lead to symbols, namespace, bare and star forms to
+    the file.  A re-exported name leads from the symbol that it makes here.
+    """
+    rows = specifiers(files)
+    rows = rows.join(resolved(rows, files), ["path", "spec"])
+    braces = F.regexp_extract("clause", r"\{([^}]*)\}", 1)
+    each = F.filter(F.transform(F.split(braces, ","), lambda e: F.trim(F.regexp_replace(e, r"^\s*type\s+", ""))), lambda e: e != "")
+    first = F.regexp_extract("clause", r"^\s*(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|$|\s+from)", 1)
+    onward = F.col("s").rlike(r"^\s*export\b")
+    default = F.when(~onward & (first != "") & ~first.isin("type"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(each, default)
+    parts = rows.select("path", "target", onward.alias("onward"), F.explode_outer(F.when(F.size(names) > 0, names)).alias("e"))
+    name, given = F.regexp_extract("e", r"^([A-Za-z_$][\w$]*)", 1), F.regexp_extract("e", r"([A-Za-z_$][\w$]*)$", 1)
+    here, there = F.concat(F.lit("file:"), "path"), F.concat(F.lit("file:"), "target")
+    source = F.when(F.col("onward") & F.col("e").isNotNull(), F.concat(F.lit("symbol:"), "path", F.lit("#"), given)).otherwise(here)
+    target = F.when(F.col("e").isNotNull(), F.concat(F.lit("symbol:"), "target", F.lit("#"), name)).otherwise(there)
+    return parts.select(source.alias("source"), target.alias("target")).distinct()
+
+
+def reexports(files: DataFrame) -> DataFrame:
+    """path, name, id and content_hash of the symbols that ``export { a as b } from`` makes: the hash is of target, origin and name."""
+    rows = specifiers(files).filter(F.col("s").rlike(r"^\s*export\b"))
+    rows = rows.join(resolved(rows, files), ["path", "spec"])
+    each = rows.select("path", "target", F.explode(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")).alias("e")).withColumn("e", F.trim(F.regexp_replace("e", r"^\s*type\s+", "")))
+    origin, name = F.regexp_extract("e", r"^([A-Za-z_$][\w$]*)", 1), F.regexp_extract("e", r"([A-Za-z_$][\w$]*)$", 1)
+    id_ = F.concat(F.lit("symbol:"), "path", F.lit("#"), name)
+    return each.filter("e <> ''").select("path", name.alias("name"), id_.alias("id"), short_hash(F.concat_ws("\0", "target", origin, name)).alias("content_hash")).distinct()
+
+
+def star_exports(files: DataFrame) -> DataFrame:
+    """path and target of ``export * from``."""
+    rows = specifiers(files).filter(F.col("s").rlike(r"^\s*export\s*\*\s*from\b"))
+    return resolved(rows, files).select("path", "target")

@@ -85,7 +85,7 @@ def issues(graph: Graph, lock: DataFrame, scope: DataFrame | None = None, result
         return df if scope is None else df.join(scope.select(F.col("id").alias(column)), column, "semi")
 
     moved = within(drift(graph, lock), "node_id")
-    drifted = moved.select(F.lit("drift").alias("category"), F.col("node_id").alias("id"), F.concat(F.lit('drift:["'), "node_id", F.lit('","'), "current_hash", F.lit('"]')).alias("key"))
+    drifted = moved.select(F.lit("drift").alias("category"), F.col("node_id").alias("id"), F.concat(F.lit("drift:"), F.to_json(F.array("node_id", "current_hash"))).alias("key"))
     lost = within(orphans(graph), "source")
     if renames is not None:
         lost = renamed_sources(lost, renames)
@@ -134,3 +134,22 @@ def orphan_docs(graph: Graph) -> DataFrame:
     """Documents that no edge touches."""
     touched = graph.edges.select(F.col("source").alias("id")).union(graph.edges.select("target")).distinct()
     return graph.kinds("doc").select("id").join(touched, "id", "anti")
+
+
+def would_be_exercised(graph: Graph, results: DataFrame | None, evidence: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Uncovered requirements that evidence would cover if it were accepted."""
+    bare = uncovered(graph) if scope is None else uncovered(graph).join(scope.select(F.col("id").alias("req_id")), "req_id", "semi")
+    return coverage(graph, results, evidence).filter("status = 'exercised'").select("req_id").join(bare, "req_id", "semi")
+
+
+def without_ignored(checked: DataFrame, ignored: DataFrame) -> DataFrame:
+    """``checked`` with the new uncovered requirements of ``ignored(id)`` no longer new."""
+    mark = ignored.select("id", F.lit(True).alias("skip")).distinct()
+    skip = (F.col("category") == "uncovered") & F.coalesce("skip", F.lit(False))
+    return checked.join(mark, "id", "left").withColumn("is_new", F.col("is_new") & ~skip).select(checked.columns)
+
+
+def dangling_code_tags(graph: Graph) -> DataFrame:
+    """Code tags whose requirement is no node; their being there is the flag."""
+    tags = graph.edges_of("implements", "verifies").filter(F.array_contains("provenances", "code-tag"))
+    return tags.join(graph.nodes.select(F.col("id").alias("target")), "target", "anti").select("source", "target", "kind")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import mentions, plain_path
-from ..graph import Graph
+from ..graph import Graph, stored
+from . import traverse
 
+# The input format's section header, checklist item and path with symbol.
 HEADER = r"^Files:[ \t]*(.*)$"
 CHECKBOX = r"^\s*[-*]\s+\[[ xX]\]"
 PATH_SYMBOL = r"^([^:\s]+\.\w+):([^\s,()]+)$"
@@ -32,9 +34,9 @@ def section_entries(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries (plan, path, symbol, line) of ``Files:`` sections of ``plans(plan, text)``, and paths that are absolute or leave the root."""
     lines = _lines(plans).filter("scope is not null")
     tail = F.regexp_replace(F.trim(F.regexp_extract("line", HEADER, 1)), r"[.;]\s*$", "")
-    bullet = F.array(F.regexp_extract("line", r"^\s*[-*]\s+(.+?)\s*$", 1))
+    bullet = F.array(F.when(F.ltrim("line").rlike("^[-*][ \t]"), F.trim(F.substring(F.ltrim("line"), 2, 1_000_000))).otherwise(""))
     pieces = F.when(F.col("n") == F.col("scope"), F.split(tail, ",")).otherwise(bullet)
-    raw = F.explode(F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.trim(p), r"\s*\([^)]*\)\s*$", ""))))
+    raw = F.explode(F.transform(pieces, lambda p: F.when(F.trim(p).endswith(")"), F.trim(F.regexp_extract(F.trim(p), "^([^(]*)", 1))).otherwise(F.trim(p))))
     found = lines.select("plan", F.col("n").alias("line"), raw.alias("raw")).filter("raw <> ''")
     symbol = F.nullif(F.regexp_extract("raw", PATH_SYMBOL, 2), F.lit(""))
     named = found.withColumn("symbol", symbol).withColumn("given", F.when(F.col("symbol").isNotNull(), F.regexp_extract("raw", PATH_SYMBOL, 1)).otherwise(F.col("raw")))
@@ -45,8 +47,8 @@ def section_entries(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def loose_entries(plans: DataFrame, known: DataFrame) -> DataFrame:
     """Path-shaped tokens anywhere in the text that are ``known(path)``: the fallback of plans without section entries."""
-    token = F.lit(r"(?<![\w./-])[\w./-]+\.\w+(?![\w./-])")
-    rows = plans.select("plan", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("plan", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("line", token, F.lit(0))).alias("path"))
+    words = F.filter(F.split("line", r"[^A-Za-z0-9_./-]+"), lambda w: w.rlike(r"\.[A-Za-z0-9_]+$"))
+    rows = plans.select("plan", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("plan", (F.col("i") + 1).alias("line"), F.explode(words).alias("path"))
     first = rows.groupBy("plan", "path").agg(F.min("line").alias("line"))
     return first.join(known.select("path").distinct(), "path", "semi").select("plan", "path", F.lit(None).cast("string").alias("symbol"), "line")
 
@@ -62,7 +64,11 @@ def entries(plans: DataFrame, graph: Graph) -> DataFrame:
 def task_blocks(plans: DataFrame) -> DataFrame:
     """plan, task_id, line and has_files of task headings and checklist items; a block ends at the next task or heading."""
     lines = _lines(plans)
-    task = F.regexp_extract("line", r"^(?:#+|\s*[-*]\s+\[[ xX]\])\s+(T?\d+(?:\.\d+)*)\b", 1)
+    # A heading or checklist item whose first word is a number in dots, a T before it or not.
+    opened = F.regexp_replace("line", rf"^#+|{CHECKBOX}", "")
+    word = F.regexp_extract(opened, r"^\s+(\w[\w.]*)", 1)
+    plain = F.rtrim(word, F.lit("."))
+    task = F.when((opened != F.col("line")) & F.ltrim(plain, F.lit("T")).rlike(r"^\d+(\.\d+)*$") & ~plain.startswith("TT"), plain).otherwise("")
     stop = (F.col("task") != "") | F.col("line").rlike(r"^#+\s")
     order = Window.partitionBy("plan").orderBy("n")
     held = lines.withColumn("task", task).withColumn("own", F.last(F.when(stop, F.struct("n", "task")), True).over(order)).filter("own.task <> ''")
@@ -103,3 +109,67 @@ def plan_coverage(plans: DataFrame, graph: Graph, ignored: DataFrame | None = No
     if ignored is not None:
         out = out.join(ignored.select("req_id", F.lit(True).alias("skip")), "req_id", "left").filter("skip is null or mentioned").drop("skip")
     return out.select("plan", "req_id", "mentioned", "locations")
+
+
+def entry_impact(found: DataFrame, graph: Graph, max_depth: int | None = None) -> DataFrame:
+    """plan, path, symbol, impact and origin (requirements, in order) of every entry that leads to a start.
+
+    All entries of all plans are walked together, each from its own starts;
+    ``origin`` are the requirements that the entry itself, or what it imports,
+    implements.
+    """
+    spark = graph.nodes.sparkSession
+    places = found.select("path", "symbol").distinct()
+    label = F.concat("path", F.coalesce(F.concat(F.lit(":"), "symbol"), F.lit("")))
+    places = stored(places.withColumn("origin", label))
+    starts = stored(traverse.start_ids_each(graph, places))
+    reqs = graph.kinds("req").select("id")
+    reached = traverse.reach_each(graph, starts, max_depth)
+    impact = reached.join(reqs, "id", "semi").groupBy("origin").agg(F.array_sort(F.collect_set("id")).alias("impact"))
+    # What an entry is: its symbol, or its file and the symbols in it; and the symbols that these import.
+    named = places.filter("symbol is not null").select("origin", F.concat(F.lit("symbol:"), "path", F.lit("#"), "symbol").alias("id"))
+    closed = traverse.import_closure_each(graph, named.unionByName(starts.join(named.select("origin"), "origin", "anti")))
+    claims = graph.edges_of("implements").select(F.col("source").alias("id"), F.col("target").alias("req_id"))
+    own = closed.join(claims, "id").join(reqs.withColumnRenamed("id", "req_id"), "req_id", "semi").groupBy("origin").agg(F.array_sort(F.collect_set("req_id")).alias("origin_reqs"))
+    none = F.array().cast("array<string>")
+    out = places.join(starts.select("origin").distinct(), "origin", "semi").join(impact, "origin", "left").join(own, "origin", "left")
+    out = out.select("path", "symbol", F.coalesce("impact", none).alias("impact"), F.coalesce("origin_reqs", none).alias("origin"))
+    return found.select("plan", "path", "symbol").distinct().join(out, ["path"]).filter(found["symbol"].eqNullSafe(out["symbol"])).select("plan", "path", out["symbol"], "impact", "origin")
+
+
+def implicit_impacts(plans: DataFrame, impacts: DataFrame, ignored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups by location, groups by requirement, and one row of counts for each plan.
+
+    A location's group has the requirements that it reaches and that the plan
+    neither mentions nor ignores, those that it implements, and the difference as
+    drift; empty groups go.
+    """
+    texts = plans.select("plan", "text")
+    affected = impacts.select("plan", F.explode("impact").alias("req_id")).distinct().join(texts, "plan")
+    affected = affected.select("plan", "req_id", mentions(F.col("text"), F.col("req_id")).alias("mentioned"))
+    if ignored is None:
+        affected = affected.withColumn("ignored", F.lit(False))
+    else:
+        affected = affected.join(ignored.select("req_id", F.lit(True).alias("ignored")).distinct(), "req_id", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    affected = stored(affected)
+    seen = affected.filter("not mentioned and not ignored").select("plan", "req_id")
+    shown = impacts.select("plan", "path", "symbol", "origin", F.explode("impact").alias("req_id")).join(seen, ["plan", "req_id"])
+    groups = shown.groupBy("plan", "path", "symbol", "origin").agg(F.array_sort(F.collect_set("req_id")).alias("impact"))
+    if ignored is not None:
+        skip = ignored.agg(F.collect_set("req_id").alias("skip"))  # what a user lists
+        groups = groups.join(F.broadcast(skip), F.lit(True)).withColumn("origin", F.array_except("origin", "skip")).drop("skip")
+    groups = groups.withColumn("drift", F.array_except("impact", "origin")).select("plan", "path", "symbol", "impact", "origin", "drift")
+    location = F.concat("path", F.coalesce(F.concat(F.lit(":"), "symbol"), F.lit("")))
+    by_req = groups.select("plan", F.explode("impact").alias("req_id"), location.alias("location")).groupBy("plan", "req_id").agg(F.array_sort(F.collect_set("location")).alias("locations"))
+    counts = affected.groupBy("plan").agg(
+        F.count("*").alias("total"), F.count_if(F.col("mentioned")).alias("mentioned"), F.count_if(~F.col("mentioned") & ~F.col("ignored")).alias("implicit"), F.count_if(F.col("ignored") & ~F.col("mentioned")).alias("ignored")
+    )
+    return groups, by_req, counts
+
+
+def diagnostics(plans: DataFrame, found: DataFrame, analysed: DataFrame, graph: Graph) -> DataFrame:
+    """plan, kind, detail and line: tasks without a file list, unknown paths and symbols, and plans of which nothing was analysed."""
+    bare = task_blocks(plans).filter("not has_files").select("plan", F.lit("missingFilesSection").alias("kind"), F.col("task_id").alias("detail"), F.col("line").cast("long").alias("line"))
+    lost = unresolved(found, graph).select("plan", "kind", F.concat_ws(":", "path", "symbol").alias("detail"), F.col("line").cast("long").alias("line"))
+    empty = plans.select("plan").join(analysed.select("plan").distinct(), "plan", "anti").select("plan", F.lit("emptyExtraction").alias("kind"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("long").alias("line"))
+    return bare.unionByName(lost).unionByName(empty)

@@ -4,39 +4,111 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .extract import BLANK, lines_of
 
-def bounded(id_: str) -> str:
-    """The id where no letter, digit, underscore, hyphen or slash touches it."""
-    return rf"(?<![\w/-]){re.escape(id_)}(?![\w/-])"
+
+def bounded(id_: str, free: str = "") -> str:
+    """The id where no letter, digit, underscore, hyphen, slash or colon touches it; ``free`` may follow."""
+    return rf"(?<![\w/:-]){re.escape(id_)}(?![\w/{'' if ':' in free else ':'}-])"
+
+
+def swap(text: Column, old: str, new: str, free: str = "") -> Column:
+    return F.regexp_replace(text, bounded(old, free), new.replace("\\", r"\\").replace("$", r"\$"))
+
+
+def pieces(text: Column, *kinds: str) -> Column:
+    """Text cut into the first fitting of ``kinds`` at each place, and single characters or plain runs between."""
+    return F.regexp_extract_all(text, F.lit("|".join(f"(?:{k})" for k in kinds) + r"|[^`<(/'\"\[]+|[\s\S]"), F.lit(0))
+
+
+def within(text: Column, kind: str, others: list[str], old: str, new: str) -> Column:
+    """``text`` with the id swapped in pieces of ``kind`` only; pieces of ``others`` hide what they hold."""
+    changed = F.transform(pieces(text, *others, kind), lambda p: F.when(p.rlike(rf"^(?:{kind})$"), swap(p, old, new)).otherwise(p))
+    return F.array_join(changed, "")
+
+
+QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+LISTED = r"\(\s*(?:depends_on|derives_from)\s*:[^()]*\)"
 
 
 def rename_in_text(files: DataFrame, old: str, new: str) -> DataFrame:
-    """``files(path, text)`` with text rewritten and n_changes.
+    """``files(path, text)`` with text rewritten and n_changes, the number of lines that differ.
 
-    Rewritten are list-item definitions, ``(depends_on: …)`` and ``(derives_from:
-    …)`` entries, ``// @impl`` lists, ``[ID]`` and ``req: "ID"`` tags; prose is not.
+    In Markdown: definitions in list items and ``Requirement N`` headings, entries
+    of annotations, and relations of the front matter; fenced code, block quotes,
+    code spans and comments stay.  In other files: ``// @impl`` lists outside
+    strings, ``[ID]`` and ``req: "ID"`` tags.  Prose is never touched, and every
+    entry of a list is, however long it is.
     """
+    lines = lines_of(files)
+    head = r"^---[ \t]*$"
+    order = Window.partitionBy("path").orderBy("n")
+    fences = F.sum(F.col("line").rlike(head).cast("int")).over(order)
+    opens = F.first(F.col("line").rlike(head)).over(order)
+    lines = lines.withColumn("front", opens & (fences == 1)).withColumn("markdown", F.col("path").rlike(r"(?i)\.md$"))
+    line = F.col("line")
+    item = rf"^(\s*[-*+]\s+(?:\*\*)?){bounded(old, ':')}(?=(?:\*\*)?[:\s]|$)"
     to = new.replace("\\", r"\\").replace("$", r"\$")
-    where = [
-        rf"(?m)(^\s*[-*+]\s+(?:\*\*)?){bounded(old)}(?=(?:\*\*)?[:\s])",
-        rf"(\((?:depends_on|derives_from):[^()\n]{{0,1000}}?){bounded(old)}(?=[^()\n]*\))",
-        rf"(//[^\S\n]*@impl[^\S\n][^\n]{{0,1000}}?){bounded(old)}",
-        rf"(\[){bounded(old)}(?=\])",
-        rf"(req:\s*[\"']?){bounded(old)}",
-    ]
-    out = files.withColumn("n_changes", F.lit(0))
-    for pattern in where:
-        out = out.withColumn("n_changes", F.col("n_changes") + F.regexp_count("text", F.lit(pattern))).withColumn("text", F.regexp_replace("text", pattern, f"$1{to}"))
+    own = F.regexp_replace(line, item, f"$1{to}")
+    numbers = [re.fullmatch(r"Requirement-(\d+)", x) for x in (old, new)]
+    if all(numbers):
+        own = F.regexp_replace(own, rf"^(#{{1,6}}\s+Requirement\s+){numbers[0][1]}(?=\s*(?::|$))", rf"${{1}}{numbers[1][1]}")
+    spec = within(own, LISTED, [r"(`+)(?:(?!`).)+?\1(?!`)", "<!--.*?-->"], old, new)
+    matter = F.when(line.rlike(r"^\s*(?:-\s|node_id:|derives_from:|depends_on:)"), swap(line, old, new)).otherwise(line)
+    markdown = F.when(F.col("front"), matter).when(F.col("in_fence") | line.rlike(r"^\s{0,3}>"), line).otherwise(spec)
+    tag = rf"//{BLANK}*@impl{BLANK}[^\n]*"
+    code = within(line, tag, [QUOTED], old, new)
+    code = F.regexp_replace(F.regexp_replace(code, rf"(\[){re.escape(old)}(?=\])", f"$1{to}"), rf"(req:\s*[\"']?)(?<![\w/-]){re.escape(old)}(?![\w/-])", f"$1{to}")
+    done = lines.withColumn("new", F.when(F.col("markdown"), markdown).otherwise(code))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]), "\n")
+    return done.groupBy("path").agg(body.alias("text"), F.count_if(F.col("new") != F.col("line")).alias("n_changes"))
+
+
+def expand_relations(files: DataFrame, old: str, new: list[str]) -> DataFrame:
+    """``files(path, text)`` with each entry ``old`` in the front matter's relations replaced by all of ``new``, as when an id is split."""
+    block = r"\A(---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|\z))"
+    front = F.regexp_extract("text", block, 1)
+    quoted = rf"[\"']?{re.escape(old)}[\"']?"
+    rows = F.regexp_replace(front, rf"(?m)^([ \t]*-[ \t]+){quoted}[ \t]*$", "\n".join(f"$1{n}" for n in new))
+    flow = F.regexp_replace(rows, rf"(?<=[\[,])([ \t]*){quoted}(?=[ \t]*[,\]])", ",".join(f"$1{n}" for n in new))
+    rest = F.substring(F.col("text"), F.length(front) + 1, F.length("text"))
+    return files.withColumn("text", F.concat(flow, rest))
+
+
+def split_definition(files: DataFrame, old: str, new: list[str]) -> DataFrame:
+    """``files`` with the list item that defines ``old`` repeated for each of ``new``, relations fanned out; fenced code stays."""
+    return _definitions(expand_relations(files, old, new), [old], new)
+
+
+def merge_definitions(files: DataFrame, old: list[str], new: str) -> DataFrame:
+    """``files`` with the items that define any of ``old`` gone but for the first, which defines ``new``; relations follow."""
+    out = _definitions(files, old, [new])
+    for id_ in old:
+        out = expand_relations(out, id_, [new])
     return out
 
 
+def _definitions(files: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    """The first item that defines one of ``old`` becomes an item for each of ``new``; the others go."""
+    lines = lines_of(files)
+    any_ = "|".join(map(re.escape, old))
+    item = rf"^(\s*[-*+]\s+(?:\*\*)?)(?:{any_})(?=(?:\*\*)?[:\s])"
+    hit = ~F.col("in_fence") & F.col("line").rlike(item)
+    firsts = lines.filter(hit).groupBy().agg(F.min(F.struct("path", "n")).alias("first"))
+    marked = lines.withColumn("hit", hit).join(F.broadcast(firsts), F.lit(True), "left")  # one row
+    made = F.array(*[F.regexp_replace("line", item, f"$1{n}") for n in new])
+    out = F.when(~F.col("hit"), F.array("line")).when(F.struct("path", "n") == F.col("first"), made).otherwise(F.array().cast("array<string>"))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", out.alias("new")))), lambda x: x["new"])), "\n")
+    return marked.groupBy("path").agg(body.alias("text"))
+
+
 def rename_in_titles(tests: DataFrame, old: str, new: str) -> DataFrame:
     """Trace records with ``[old]`` tags of title and suite path rewritten."""
-    swap = lambda c: F.replace(c, F.lit(f"[{old}]"), F.lit(f"[{new}]"))
-    return tests.withColumns({"test_name": swap(F.col("test_name")), "suite_path": F.transform("suite_path", swap)})
+    tag = lambda c: F.replace(c, F.lit(f"[{old}]"), F.lit(f"[{new}]"))
+    return tests.withColumns({"test_name": tag(F.col("test_name")), "suite_path": F.transform("suite_path", tag)})
 
 
 def refused_references(edges: DataFrame, old: str) -> DataFrame:

@@ -9,32 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, checkpoint
+from ..graph import Graph, Levels, checkpoint, stored
 
 
-def requirement_sets(graph: Graph, origins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requirements that anything implements, and those whose evidence hits the origins."""
+def implemented(graph: Graph) -> DataFrame:
+    """Requirements that anything implements."""
     reqs = graph.kinds("req").select("id")
-    implemented = graph.edges_of("implements").select(F.col("target").alias("id")).join(reqs, "id", "semi").distinct()
-    hitting = graph.edges_of("exercises").join(origins.select(F.col("id").alias("target")), "target", "semi").select(F.col("source").alias("id")).distinct()
-    return implemented, hitting
+    return graph.edges_of("implements").select(F.col("target").alias("id")).join(reqs, "id", "semi").distinct()
 
 
 def origin_set(graph: Graph, starts: DataFrame) -> DataFrame:
-    """The starts and the symbols of the starts that are files."""
-    files = graph.kinds("file").join(starts, "id", "semi").select("file_path")
-    return starts.select("id").union(graph.kinds("symbol").join(files, "file_path", "semi").select("id")).distinct()
+    """origin and id of ``starts(origin, id)`` and of the symbols of the starts that are files."""
+    files = graph.kinds("file").join(starts, "id").select("origin", "file_path")
+    return starts.select("origin", "id").union(files.join(graph.kinds("symbol").select("file_path", "id"), "file_path").select("origin", "id")).distinct()
 
 
-def transitions(graph: Graph, origins: DataFrame, stale: DataFrame | None = None) -> DataFrame:
-    """from_id, from_state, to_id, to_state for every step that an edge, direction and state allow."""
-    implemented, hitting = requirement_sets(graph, origins)
-    has_evidence = graph.edges_of("exercises").limit(1).count() > 0
-    flag = lambda df, name: df.select("id", F.lit(True).alias(name))
+def hits(graph: Graph, starts: DataFrame) -> DataFrame:
+    """origin and to_id: the requirements whose evidence hits the origin set."""
+    own = origin_set(graph, starts).select("origin", F.col("id").alias("target"))
+    return graph.edges_of("exercises").join(own, "target").select("origin", F.col("source").alias("to_id")).distinct()
+
+
+def transitions(graph: Graph, stale: DataFrame | None = None) -> DataFrame:
+    """from_id, from_state, to_id, to_state and needs_hit for every step that an edge, direction and state allow.
+
+    A step with needs_hit is open to an origin only if evidence of the requirement
+    that it leads to hits the origin; without any evidence it is open to all.
+    """
+    has_evidence = not graph.edges_of("exercises").isEmpty()
+    done = implemented(graph)
     edges = graph.source_kinds(graph.edges)
-    edges = edges.join(flag(implemented, "target_impl").withColumnRenamed("id", "target"), "target", "left")
-    edges = edges.join(flag(implemented, "source_impl").withColumnRenamed("id", "source"), "source", "left")
-    edges = edges.join(flag(hitting, "target_hits").withColumnRenamed("id", "target"), "target", "left")
+    for end in ("target", "source"):
+        edges = edges.join(done.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_impl")), end, "left")
     if stale is not None:
         old = stale.select(F.col("id").alias("target"), F.lit(True).alias("is_stale"))
         edges = edges.join(old, "target", "left").filter(~((F.col("kind") == "exercises") & F.coalesce("is_stale", F.lit(False))))
@@ -44,8 +50,7 @@ def transitions(graph: Graph, origins: DataFrame, stale: DataFrame | None = None
     document = F.when(weak, 0).otherwise(2)
     ahead = F.when(kind.isin("contains", "implements"), 2).when(kind == "exercises", 0).when(kind.isin("depends_on", "derives_from"), document)
     from_expandable = ahead.when(kind.isin("verifies", "imports"), 2)
-    evident = yes("target_hits") if has_evidence else F.lit(True)
-    from_restricted = ahead.when((kind == "verifies") & ~yes("target_impl") & evident, 0)
+    from_restricted = ahead.when((kind == "verifies") & ~yes("target_impl"), 0)
     back = (
         F.when(kind == "implements", 2)
         .when(kind == "verifies", F.when(test | F.col("target_space").eqNullSafe("requirement"), 1).otherwise(2))
@@ -54,37 +59,50 @@ def transitions(graph: Graph, origins: DataFrame, stale: DataFrame | None = None
         .when(kind.isin("depends_on", "derives_from"), document)
     )
 
-    def steps(start: str, end: str, state: int, to: Column) -> Column:
-        return F.struct(F.col(start).alias("from_id"), F.lit(state).alias("from_state"), F.col(end).alias("to_id"), to.cast("int").alias("to_state"))
+    def steps(start: str, end: str, state: int, to: Column, bound: Column = F.lit(False)) -> Column:
+        return F.struct(F.col(start).alias("from_id"), F.lit(state).alias("from_state"), F.col(end).alias("to_id"), to.cast("int").alias("to_state"), bound.alias("needs_hit"))
 
+    evident = (kind == "verifies") if has_evidence else F.lit(False)
     every = F.array(
-        steps("source", "target", 2, from_expandable), steps("source", "target", 1, from_restricted), steps("target", "source", 2, back), steps("target", "source", 1, back)
+        steps("source", "target", 2, from_expandable), steps("source", "target", 1, from_restricted, evident), steps("target", "source", 2, back), steps("target", "source", 1, back)
     )
     over_edges = edges.select(F.inline(every)).filter("to_state is not null")
     files = graph.kinds("file").select(F.col("id").alias("from_id"), "file_path")
     inside = files.join(graph.kinds("symbol").select(F.col("id").alias("to_id"), "file_path"), "file_path").select("from_id", "to_id")
     states = F.explode(F.array(F.lit(1), F.lit(2))).alias("from_state")
-    over_files = inside.select("from_id", states, "to_id", F.lit(2).alias("to_state"))
-    return over_edges.unionByName(over_files).groupBy("from_id", "from_state", "to_id").agg(F.max("to_state").alias("to_state"))
+    over_files = inside.select("from_id", states, "to_id", F.lit(2).alias("to_state"), F.lit(False).alias("needs_hit"))
+    return over_edges.unionByName(over_files).groupBy("from_id", "from_state", "to_id", "needs_hit").agg(F.max("to_state").alias("to_state"))
 
 
-def reach(graph: Graph, starts: DataFrame, max_depth: int | None = None, stale: DataFrame | None = None) -> DataFrame:
-    """id and state of everything reached from ``starts(id)``, dangling ids included.
+def reach_each(graph: Graph, starts: DataFrame, max_depth: int | None = None, stale: DataFrame | None = None) -> DataFrame:
+    """origin, id and state of everything that each origin of ``starts(origin, id)`` reaches, dangling ids included.
 
-    Level by level: the frontier joins the transitions, the highest state per id
-    is kept, and only ids that rise go on.  Each round is cut by a checkpoint;
-    the number of rounds is the depth of the reach, not its size.
+    All origins go level by level together: the frontier joins the transitions,
+    which stay partitioned by their start, the highest state per origin and id is
+    kept, and only ids that rise go on.  A round writes what rose, once; the
+    number of rounds is the depth of the reach, not its size.
     """
-    table = checkpoint(transitions(graph, origin_set(graph, starts), stale))
-    visited = checkpoint(starts.select("id", F.lit(2).alias("state")).distinct())
-    frontier, depth = visited, 0
-    while (max_depth is None or depth < max_depth) and frontier.limit(1).count():
-        moves = frontier.join(table, (F.col("id") == F.col("from_id")) & (F.col("state") == F.col("from_state")))
-        best = moves.groupBy(F.col("to_id").alias("id")).agg(F.max("to_state").alias("new"))
-        risen = checkpoint(best.join(visited, "id", "left").filter(F.col("new") > F.coalesce("state", F.lit(-1))).select("id", F.col("new").alias("state")))
-        visited = checkpoint(visited.union(risen).groupBy("id").agg(F.max("state").alias("state")))
-        frontier, depth = risen.filter("state > 0"), depth + 1
-    return visited
+    spark = graph.nodes.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = checkpoint(transitions(graph, stale).repartition(width, "from_id"))
+    hit = stored(hits(graph, starts))
+    first = starts.select("origin", "id", F.lit(2).alias("state")).distinct()
+    levels = Levels(spark, first.schema)
+    risen, depth = levels.add(first), 0
+    while risen and (max_depth is None or depth < max_depth):
+        seen = levels.all().select(F.col("origin").alias("o"), F.col("id").alias("i"), F.col("state").alias("s"))
+        frontier = levels.last().filter("state > 0")
+        moves = frontier.join(table, (F.col("id") == F.col("from_id")) & (F.col("state") == F.col("from_state"))).select("origin", "to_id", "to_state", "needs_hit")
+        open_ = moves.filter("not needs_hit").unionByName(moves.filter("needs_hit").join(hit, ["origin", "to_id"], "semi").select(moves.columns))
+        best = open_.groupBy("origin", F.col("to_id").alias("id")).agg(F.max("to_state").alias("state"))
+        known = F.col("origin").eqNullSafe(F.col("o")) & (F.col("id") == F.col("i")) & (F.col("s") >= F.col("state"))
+        risen, depth = levels.add(best.join(seen, known, "anti")), depth + 1
+    return levels.all().groupBy("origin", "id").agg(F.max("state").alias("state"))
+
+
+def reach(graph: Graph, starts: DataFrame, max_depth: int | None = None, stale: DataFrame | None = None) -> DataFrame:
+    """id and state of everything reached from ``starts(id)``, dangling ids included."""
+    return stored(reach_each(graph, starts.select(F.lit("").alias("origin"), "id"), max_depth, stale).select("id", "state"))
 
 
 def routed(graph: Graph, visited: DataFrame) -> DataFrame:
@@ -112,7 +130,7 @@ def impact_drift(graph: Graph, visited: DataFrame, lock: DataFrame) -> DataFrame
 
 def requirement_provenance(graph: Graph, visited: DataFrame) -> DataFrame:
     """Per reached requirement, whether static edges or evidence tie it to something reached; empty without evidence edges."""
-    if not graph.edges_of("exercises").limit(1).count():
+    if graph.edges_of("exercises").isEmpty():
         return graph.edges.select(F.col("source").alias("req_id"), F.col("provenances").alias("provenance")).limit(0)
     seen = visited.select("id").union(parents(graph, visited)).distinct()
     reqs = graph.kinds("req").select("id")
@@ -157,15 +175,35 @@ def origin_requirements(graph: Graph, starts: DataFrame) -> DataFrame:
     return graph.kinds("req").select("id").join(targets, "id", "semi")
 
 
+def import_closure_each(graph: Graph, starts: DataFrame, prefix: str = "symbol:") -> DataFrame:
+    """origin and id: the starts of ``starts(origin, id)`` and everything with ``prefix`` that imports lead to from them."""
+    spark = graph.nodes.sparkSession
+    steps = graph.edges_of("imports").filter(F.col("target").startswith(prefix)).select(F.col("source").alias("id"), "target").distinct()
+    steps = checkpoint(steps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
+    first = starts.select("origin", "id").distinct()
+    levels = Levels(spark, first.schema)
+    found = levels.add(first)
+    while found:
+        onward = levels.last().join(steps, "id").select("origin", F.col("target").alias("id")).distinct()
+        found = levels.add(onward.join(levels.all(), ["origin", "id"], "anti"))
+    return levels.all()
+
+
 def import_closure(graph: Graph, starts: DataFrame, prefix: str = "symbol:") -> DataFrame:
     """The starts and everything with ``prefix`` that imports lead to from them."""
-    steps = checkpoint(graph.edges_of("imports").filter(F.col("target").startswith(prefix)).select(F.col("source").alias("id"), "target").distinct())
-    visited = checkpoint(starts.select("id").distinct())
-    frontier = visited
-    while frontier.limit(1).count():
-        frontier = checkpoint(frontier.join(steps, "id").select(F.col("target").alias("id")).distinct().join(visited, "id", "anti"))
-        visited = checkpoint(visited.union(frontier))
-    return visited
+    return import_closure_each(graph, starts.select(F.lit("").alias("origin"), "id"), prefix).select("id")
+
+
+def start_ids_each(graph: Graph, places: DataFrame) -> DataFrame:
+    """origin and id of the starts of ``places(origin, path, symbol)``, by the rules of ``start_ids``."""
+    named = places.filter("symbol is not null").select("origin", F.concat(F.lit("symbol:"), "path", F.lit("#"), "symbol").alias("id"))
+    paths = places.filter("symbol is null").select("origin", "path")
+    ids = graph.nodes.select("id", "kind", F.col("file_path").alias("path"))
+    files = paths.withColumn("id", F.concat(F.lit("file:"), "path")).join(ids.select("id"), "id", "semi").select("origin", "path", "id")
+    at = paths.join(ids, "path")
+    under = at.filter("kind = 'symbol'").join(files.select("origin"), "origin", "semi").select("origin", "id")
+    rest = at.join(files.select("origin"), "origin", "anti").select("origin", "id")
+    return named.join(ids.select("id"), "id", "semi").select("origin", "id").unionByName(files.select("origin", "id")).unionByName(under).unionByName(rest).distinct()
 
 
 def tests_to_run(graph: Graph, visited: DataFrame, evidence_tests: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import stored
 from ..operators import canonical, evidence, findings, snapshot, traverse
 from . import projection as P
 
@@ -16,7 +17,7 @@ ORACLE: dict[str, str] = {}
 
 #: Starts of the impact queries: one in the thick of the imports, two at the edge.
 STARTS = ["file:src/o5.ts", "file:src/o2500.ts", "REQ-7"]
-STALE_SQL = ", stale AS (SELECT h.node_id AS id FROM hashes h LEFT JOIN nodes n ON n.id = h.node_id WHERE n.content_hash IS DISTINCT FROM h.hash)"
+STALE_SQL = ", stale AS MATERIALIZED (SELECT DISTINCT h.node_id AS id FROM hashes h LEFT JOIN nodes n ON n.id = h.node_id WHERE n.content_hash IS DISTINCT FROM h.hash)"
 
 
 def query(sql: str | None, extra: str = ""):
@@ -91,12 +92,12 @@ def annotation_targets(spark, d):
     return canonical.annotation_targets(refs, canonical.qualify(definitions(spark, d)))
 
 
-@query("SELECT source, target, kind, source || ' -> ' || target || ' (' || kind || ')' AS text FROM claims WHERE kind IN ('implements', 'verifies') AND target NOT IN (SELECT id FROM nodes)")
+@query("SELECT source, target, kind, source || ' -> ' || target || ' (' || kind || ')' AS text FROM claims WHERE kind IN ('implements', 'verifies') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = claims.target)")
 def orphan_edges(spark, d):
     return findings.orphans(P.graph(spark, d))
 
 
-@query("SELECT id AS req_id FROM nodes WHERE kind = 'req' AND id NOT IN (SELECT target FROM claims WHERE kind = 'implements')")
+@query("SELECT id AS req_id FROM nodes WHERE kind = 'req' AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.kind = 'implements' AND c.target = nodes.id)")
 def uncovered_reqs(spark, d):
     return findings.uncovered(P.graph(spark, d))
 
@@ -116,7 +117,7 @@ def covered(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT req_id, {STATUS.format(rescue='AND false', failed='OR NOT coalesce(ok, false)')}, {FILES} FROM cov")
 def coverage_status(spark, d):
-    return covered(findings.coverage(P.graph(spark, d), P.results(spark, d)))
+    return covered(findings.coverage(P.graph(spark, d).stored(), P.results(spark, d)))
 
 
 @query(f"SELECT req_id, {STATUS.format(rescue='AND false', failed='')}, {FILES} FROM cov")
@@ -134,31 +135,31 @@ def drift(spark, d):
     return findings.drift(P.graph(spark, d), P.lock(spark, d))
 
 
-@query("SELECT id FROM lock WHERE id NOT IN (SELECT id FROM nodes)")
+@query("SELECT id FROM lock WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = lock.id)")
 def stale_lock_keys(spark, d):
     return findings.stale_keys(P.graph(spark, d), P.lock(spark, d))
 
 
-ISSUES = """, cur AS (
+ISSUES = """, cur AS MATERIALIZED (
   SELECT 'drift' AS category, l.id AS id, 'drift:["' || l.id || '","' || n.content_hash || '"]' AS key FROM lock l JOIN nodes n USING (id) WHERE l.content_hash <> n.content_hash
-  UNION ALL SELECT 'orphan', source, 'orphan:' || source || ' -> ' || target || ' (' || kind || ')' FROM claims WHERE kind IN ('implements', 'verifies') AND target NOT IN (SELECT id FROM nodes)
+  UNION ALL SELECT 'orphan', source, 'orphan:' || source || ' -> ' || target || ' (' || kind || ')' FROM claims WHERE kind IN ('implements', 'verifies') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = claims.target)
   UNION ALL SELECT 'uncovered', req_id, 'uncovered:' || req_id FROM cov WHERE impl_files IS NULL
   UNION ALL SELECT 'testfail', req_id, 'testfail:' || req_id FROM cov WHERE impl_files IS NOT NULL AND test_files IS NOT NULL AND NOT coalesce(ok, false)
 ), bnodes AS (
   SELECT id, CASE WHEN kind = 'req' AND CAST(substr(id, 5) AS BIGINT) % 22 = 0 THEN 'older' ELSE '' END || content_hash AS content_hash, kind FROM nodes WHERE kind = 'req'
 ), bclaims AS (
-  SELECT * FROM claims WHERE NOT (kind = 'implements' AND CAST(regexp_extract(source, 'o([0-9]+)', 1) AS BIGINT) % 4 = 0)
-), base AS (
+  SELECT * FROM claims WHERE NOT (kind = 'implements' AND coalesce(TRY_CAST(regexp_extract(source, 'o([0-9]+)', 1) AS BIGINT) % 4 = 0, false))
+), base AS MATERIALIZED (
   SELECT 'drift:["' || l.id || '","' || n.content_hash || '"]' AS key FROM lock l JOIN bnodes n USING (id) WHERE l.content_hash <> n.content_hash
-  UNION SELECT 'orphan:' || source || ' -> ' || target || ' (' || kind || ')' FROM bclaims WHERE kind IN ('implements', 'verifies') AND target NOT IN (SELECT id FROM nodes)
-  UNION SELECT 'uncovered:' || req_id FROM cov WHERE req_id NOT IN (SELECT target FROM bclaims WHERE kind = 'implements')
-), checked AS (SELECT category, id, key, key NOT IN (SELECT key FROM base) AS is_new FROM cur)"""
+  UNION SELECT 'orphan:' || source || ' -> ' || target || ' (' || kind || ')' FROM bclaims WHERE kind IN ('implements', 'verifies') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = bclaims.target)
+  UNION SELECT 'uncovered:' || req_id FROM cov WHERE NOT EXISTS (SELECT 1 FROM bclaims b WHERE b.kind = 'implements' AND b.target = cov.req_id)
+), checked AS (SELECT category, id, cur.key AS key, base.key IS NULL AS is_new FROM cur LEFT JOIN base ON base.key = cur.key)"""
 
 
 def checked(spark, d):
-    lock = P.lock(spark, d)
-    current = findings.issues(P.graph(spark, d), lock, results=P.results(spark, d))
-    return findings.check(current, findings.issues(P.baseline(spark, d), lock))
+    lock, g = P.lock(spark, d), P.graph(spark, d).stored()
+    current = findings.issues(g, lock, results=P.results(spark, d))
+    return findings.check(current, findings.issues(P.baseline(g), lock))
 
 
 @query("SELECT category, id, key, is_new FROM checked", ISSUES)
@@ -176,23 +177,23 @@ REACH = f""", starts AS (SELECT unnest({STARTS!r}) AS id), origins AS (
 ), impl AS (SELECT DISTINCT target AS id FROM edges JOIN nodes n ON n.id = target WHERE edges.kind = 'implements' AND n.kind = 'req'
 ), hitting AS (SELECT DISTINCT source AS id FROM edges WHERE kind = 'exercises' AND target IN (SELECT id FROM origins)
 ), anyx AS (SELECT count(*) > 0 AS has FROM edges WHERE kind = 'exercises'
-), full_edges AS (SELECT e.*, coalesce(n.kind = 'test', false) AS from_test, target IN (SELECT id FROM impl) AS ti, source IN (SELECT id FROM impl) AS si, target IN (SELECT id FROM hitting) AS th, has FROM edges e LEFT JOIN nodes n ON n.id = e.source, anyx
-), steps AS (
+), full_edges AS MATERIALIZED (SELECT e.*, coalesce(n.kind = 'test', false) AS from_test, target IN (SELECT id FROM impl) AS ti, source IN (SELECT id FROM impl) AS si, target IN (SELECT id FROM hitting) AS th, has FROM edges e LEFT JOIN nodes n ON n.id = e.source, anyx
+), steps AS MATERIALIZED (
   SELECT source AS a, 2 AS s, target AS b, CASE WHEN kind = 'exercises' THEN 0 WHEN kind = 'depends_on' AND provenances = 'inline-link' THEN 0 ELSE 2 END AS t FROM full_edges
   UNION ALL SELECT source, 1, target, CASE WHEN kind IN ('exercises', 'verifies') OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 ELSE 2 END FROM full_edges WHERE kind <> 'imports' AND (kind <> 'verifies' OR NOT ti AND (th OR NOT has))
   UNION ALL SELECT target, s, source, CASE WHEN kind = 'exercises' OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 WHEN kind IN ('verifies', 'imports') AND from_test THEN 1 ELSE 2 END FROM full_edges, (VALUES (1), (2)) v(s) WHERE kind <> 'contains' AND (kind <> 'exercises' OR NOT si)
   UNION ALL SELECT f.id, s, x.id, 2 FROM nodes f JOIN nodes x USING (file_path), (VALUES (1), (2)) v(s) WHERE f.kind = 'file' AND x.kind = 'symbol'
 ), walk AS (
   SELECT id, 2 AS state FROM starts UNION SELECT steps.b, steps.t FROM walk JOIN steps ON steps.a = walk.id AND steps.s = walk.state AND walk.state > 0
-), visited AS (SELECT id, max(state) AS state FROM walk GROUP BY id
+), visited AS MATERIALIZED (SELECT id, max(state) AS state FROM walk GROUP BY id
 ), above AS (SELECT DISTINCT e.source AS id FROM edges e JOIN nodes t ON t.id = e.target JOIN visited v ON v.id = t.id WHERE e.kind = 'contains' AND t.kind IN ('req', 'task')
-), routed AS (
+), routed AS MATERIALIZED (
   SELECT DISTINCT CASE WHEN kind IN ('file', 'symbol', 'test') THEN 'file' ELSE kind END AS category, CASE WHEN kind IN ('file', 'symbol', 'test') THEN file_path ELSE id END AS value FROM nodes JOIN visited USING (id)
   UNION SELECT 'doc', id FROM above)"""
 
 
 def reached(spark, d):
-    g = P.graph(spark, d)
+    g = P.graph(spark, d).stored()
     return g, traverse.reach(g, starts(spark))
 
 
@@ -225,9 +226,10 @@ def impact_provenance(spark, d):
     return traverse.requirement_provenance(*reached(spark, d)).select("req_id", joined("provenance"))
 
 
-@query("SELECT DISTINCT n.id AS id FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'implements' AND n.kind = 'req' AND e.source IN (SELECT id FROM starts)", REACH)
+@query("SELECT DISTINCT n.id AS id FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'implements' AND n.kind = 'req' AND e.source IN (SELECT 'file:src/o' || range || '.ts' FROM range(40))")
 def origin_reqs(spark, d):
-    return traverse.origin_requirements(P.graph(spark, d), starts(spark))
+    first = spark.range(40).select(F.concat(F.lit("file:src/o"), F.col("id").cast("string"), F.lit(".ts")).alias("id"))
+    return traverse.origin_requirements(P.graph(spark, d), first)
 
 
 @query("SELECT DISTINCT file_path FROM nodes WHERE kind = 'test' AND (id IN (SELECT id FROM visited) OR id IN (SELECT source FROM edges WHERE kind = 'verifies' AND target IN (SELECT id FROM visited)))", REACH)
@@ -241,9 +243,10 @@ def check_scope(spark, d):
     return traverse.scope_ids(g, starts(spark), visited)
 
 
-@query("SELECT id FROM starts UNION SELECT b FROM hop", REACH + ", hop AS (SELECT target AS b FROM edges WHERE kind = 'imports' AND source IN (SELECT id FROM starts) UNION SELECT e.target FROM hop JOIN edges e ON e.source = hop.b AND e.kind = 'imports')")
+@query("SELECT 'symbol:src/o5.ts#l2' AS id UNION SELECT 'file:src/o6.ts' UNION SELECT b FROM hop", ", hop AS (SELECT target AS b FROM edges WHERE kind = 'imports' AND source IN ('symbol:src/o5.ts#l2', 'file:src/o6.ts') AND target LIKE 'symbol:%' UNION SELECT e.target FROM hop JOIN edges e ON e.source = hop.b AND e.kind = 'imports' AND e.target LIKE 'symbol:%')")
 def import_closure(spark, d):
-    return traverse.import_closure(P.graph(spark, d), starts(spark), prefix="")
+    first = spark.createDataFrame([("symbol:src/o5.ts#l2",), ("file:src/o6.ts",)], "id string")
+    return traverse.import_closure(P.graph(spark, d), first)
 
 
 @query("SELECT id FROM nodes WHERE file_path IN ('src/o5.ts', 'specs/n3.md') AND (kind <> 'test') UNION SELECT 'symbol:src/o7.ts#l1' WHERE 'symbol:src/o7.ts#l1' IN (SELECT id FROM nodes)")
@@ -262,7 +265,7 @@ def stale_nodes(spark, d):
     return evidence.stale_nodes(P.graph(spark, d), P.hashes(spark, d))
 
 
-@query("SELECT req_id, node_id FROM evidence WHERE node_id NOT IN (SELECT id FROM stale)", STALE_SQL)
+@query("SELECT req_id, node_id FROM evidence WHERE NOT EXISTS (SELECT 1 FROM stale s WHERE s.id = evidence.node_id)", STALE_SQL)
 def fresh_evidence(spark, d):
     return evidence.fresh(P.evidence(spark, d), evidence.stale_nodes(P.graph(spark, d), P.hashes(spark, d)))
 
@@ -282,15 +285,15 @@ def evidence_edges(spark, d):
 
 @query(
     "SELECT CASE WHEN v.req_id IS NULL THEN 'unexercised' ELSE 'corroborated' END AS class, c.target AS req_id, c.source AS node_id, CAST(NULL AS BIGINT) AS n_reqs FROM edges c LEFT JOIN evidence v ON v.req_id = c.target AND v.node_id = c.source WHERE c.kind = 'implements' "
-    "UNION ALL SELECT 'infrastructure', NULL, node_id, count(*) FROM evidence WHERE node_id NOT IN (SELECT source FROM edges WHERE kind = 'implements') GROUP BY node_id HAVING count(*) >= 5 "
-    "UNION ALL SELECT 'suggested', req_id, node_id, NULL FROM excl WHERE req_id NOT IN (SELECT target FROM claims WHERE kind = 'implements')"
+    "UNION ALL SELECT 'infrastructure', NULL, node_id, count(*) FROM evidence WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.kind = 'implements' AND c.source = evidence.node_id) GROUP BY node_id HAVING count(*) >= 5 "
+    "UNION ALL SELECT 'suggested', req_id, node_id, NULL FROM excl WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.kind = 'implements' AND c.target = excl.req_id)"
 )
 def evidence_classes(spark, d):
-    return evidence.classify(P.graph(spark, d), P.evidence(spark, d))
+    return evidence.classify(P.graph(spark, d).stored(), stored(P.evidence(spark, d)))
 
 
 LOCKED = """, deps AS (SELECT e.source, string_agg(e.target || '[' || e.provenances || ']', ';' ORDER BY e.target) AS depends_on FROM edges e JOIN nodes t ON t.id = e.target WHERE e.kind IN ('depends_on', 'derives_from') GROUP BY e.source
-), newlock AS (SELECT n.id AS id, CASE WHEN kind = 'symbol' THEN NULL ELSE file_path END AS spec_file, content_hash, i.f AS impl, t.f AS tests, x.f AS exercises, deps.depends_on AS depends_on FROM nodes n
+), newlock AS MATERIALIZED (SELECT n.id AS id, CASE WHEN kind = 'symbol' THEN NULL ELSE file_path END AS spec_file, content_hash, i.f AS impl, t.f AS tests, x.f AS exercises, deps.depends_on AS depends_on FROM nodes n
   LEFT JOIN (SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS f FROM claims WHERE kind = 'implements' GROUP BY target) i ON i.target = n.id AND n.kind <> 'symbol'
   LEFT JOIN (SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS f FROM claims WHERE kind = 'verifies' GROUP BY target) t ON t.target = n.id AND n.kind <> 'symbol'
   LEFT JOIN (SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS f FROM edges WHERE kind = 'exercises' GROUP BY source) x ON x.source = n.id AND n.kind <> 'symbol'
@@ -305,17 +308,17 @@ def lock_rows(lock: DataFrame) -> DataFrame:
 
 @query("SELECT * FROM newlock", LOCKED)
 def built_lock(spark, d):
-    return lock_rows(snapshot.build_lock(P.graph(spark, d), "now"))
+    return lock_rows(snapshot.build_lock(P.graph(spark, d).stored(), "now"))
 
 
 @query("SELECT * REPLACE (CASE WHEN id = 'REQ-9' THEN 'REQ-NINE' ELSE id END AS id) FROM newlock", LOCKED)
 def renamed_lock(spark, d):
-    return lock_rows(snapshot.rename_key(snapshot.build_lock(P.graph(spark, d), "now"), "REQ-9", "REQ-NINE"))
+    return lock_rows(snapshot.rename_key(snapshot.build_lock(P.graph(spark, d).stored(), "now"), "REQ-9", "REQ-NINE"))
 
 
 @query("SELECT * FROM newlock WHERE id <> 'REQ-9' UNION ALL SELECT * REPLACE ('REQ-' || s AS id, '' AS content_hash) FROM newlock, (VALUES ('9A'), ('9B')) v(s) WHERE id = 'REQ-9'".replace("SELECT * REPLACE ('REQ-' || s AS id, '' AS content_hash)", "SELECT 'REQ-' || s AS id, spec_file, '' AS content_hash, impl, tests, exercises, depends_on"), LOCKED)
 def split_lock(spark, d):
-    return lock_rows(snapshot.split_key(snapshot.build_lock(P.graph(spark, d), "now"), "REQ-9", ["REQ-9A", "REQ-9B"]))
+    return lock_rows(snapshot.split_key(snapshot.build_lock(P.graph(spark, d).stored(), "now"), "REQ-9", ["REQ-9A", "REQ-9B"]))
 
 
-from . import texts  # noqa: E402, F401  registers its queries here
+from . import more, texts  # noqa: E402, F401  register their queries here

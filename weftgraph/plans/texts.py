@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import mentions
-from ..operators import extract, plan, rewrite
+from ..operators import extract, plan
 from ..sources import results, shards
 from . import projection as P
 from .catalog import joined, query
@@ -44,11 +44,6 @@ def spec_annotations(spark, d):
     return extract.annotations(specs(spark, d))
 
 
-@query("SELECT count(DISTINCT file_path) AS files, count(*) FILTER (k = 10) + count(*) FILTER (k % 3 = 0 AND k + 1 = 10) AS changes FROM spec", SPEC)
-def renamed_specs(spark, d):
-    return rewrite.rename_in_text(specs(spark, d), "REQ-10", "REQ-TEN").agg(F.count("*").alias("files"), F.sum("n_changes").cast("long").alias("changes"))
-
-
 def code(spark, d) -> DataFrame:
     """A file an order: an import, a tag in the order's own comment, one in a string and one inside another comment, and a symbol."""
     o = P.table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -161,14 +156,15 @@ def plan_task_blocks(spark, d):
     return plan.task_blocks(plans(spark, d)).select("plan", "task_id", "has_files")
 
 
-@query("SELECT plan, 'unresolvedFilePath' AS kind, path, CAST(NULL AS VARCHAR) AS symbol FROM named WHERE path NOT IN (SELECT file_path FROM nodes) UNION ALL SELECT plan, 'unresolvedSymbol', path, symbol FROM named WHERE symbol IS NOT NULL AND path IN (SELECT file_path FROM nodes) AND 'symbol:' || path || '#' || symbol NOT IN (SELECT id FROM nodes)", PLANS)
+@query("SELECT plan, 'unresolvedFilePath' AS kind, path, CAST(NULL AS VARCHAR) AS symbol FROM named WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.file_path = named.path) UNION ALL SELECT plan, 'unresolvedSymbol', path, symbol FROM named WHERE symbol IS NOT NULL AND EXISTS (SELECT 1 FROM nodes n WHERE n.file_path = named.path) AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = 'symbol:' || path || '#' || symbol)", PLANS)
 def plan_diagnostics(spark, d):
-    return plan.unresolved(plan.entries(plans(spark, d), P.graph(spark, d)), P.graph(spark, d)).select("plan", "kind", "path", "symbol")
+    g = P.graph(spark, d).stored()
+    return plan.unresolved(plan.entries(plans(spark, d), g), g).select("plan", "kind", "path", "symbol")
 
 
 @query("SELECT plan, req_id, req_id = 'REQ-' || plan AS mentioned, string_agg(path, ',' ORDER BY path) AS locations FROM (SELECT DISTINCT plan, path, e.target AS req_id FROM named JOIN edges e ON e.kind = 'implements' AND e.source = 'file:' || path JOIN nodes r ON r.id = e.target AND r.kind = 'req' WHERE symbol IS NULL) x GROUP BY plan, req_id", PLANS)
 def plan_coverage(spark, d):
-    return plan.plan_coverage(plans(spark, d), P.graph(spark, d)).select("plan", "req_id", "mentioned", joined("locations"))
+    return plan.plan_coverage(plans(spark, d), P.graph(spark, d).stored()).select("plan", "req_id", "mentioned", joined("locations"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS plan, s_suppkey < 0 AS inside, true AS whole FROM supplier")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import inherited_tags, title_tags
@@ -19,28 +20,73 @@ def json_results(reports: DataFrame) -> DataFrame:
     return tests.select(F.explode(inherited_tags(name, F.col("t.ancestorTitles"))).alias("req_id"), name.alias("test_name"), passed.alias("passed"))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An XML attribute's value in either quote style, empty where absent."""
-    pattern = rf"\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    return F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+CASE = "array<struct<_name:string,failure:array<string>,error:array<string>,skipped:array<string>>>"
+DEPTH = 4  # suites inside suites that are read
+
+
+def suite_type(depth: int) -> str:
+    inner = f",testsuite:array<{suite_type(depth - 1)}>" if depth > 1 else ""
+    return f"struct<_name:string,testcase:{CASE}{inner}>"
 
 
 def junit_results(reports: DataFrame) -> DataFrame:
-    """Records of JUnit reports in ``text``.
+    """Records of JUnit reports in ``text``; malformed reports have none.
 
     A case with a failure, error or skipped child has not passed; a case without
-    tags has its suite's.  Nested suites and tags inside CDATA are not read.
+    tags has those of the nearest suite around it that has some.  Suites are read
+    ``DEPTH`` deep, and what CDATA holds is text.
     """
-    suite, case = r"<testsuite\b[^>]*>[\s\S]*?</testsuite>", r"<testcase\b[^>]*?(?:/>|>[\s\S]*?</testcase>)"
-    head = lambda c: F.regexp_extract(c, r"^<\w+\b([^>]*)>", 1)
-    suites = reports.select(F.explode(F.regexp_extract_all("text", F.lit(suite), F.lit(0))).alias("suite"))
-    cases = suites.select(title_tags(attribute(head(F.col("suite")), "name")).alias("suite_tags"), F.explode(F.regexp_extract_all("suite", F.lit(case), F.lit(0))).alias("case"))
-    name, bad = attribute(head(F.col("case")), "name"), F.col("case").rlike(r"<(?:failure|error|skipped)[\s/>]")
-    own = title_tags(name)
-    return cases.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.col("suite_tags"))).alias("req_id"), name.alias("test_name"), (~bad).alias("passed"))
+    # Blank text stands in for empty children, which would otherwise read as null.
+    text = F.regexp_replace(F.regexp_replace("text", r"<(failure|error|skipped)\b([^>]*?)/>", "<$1$2>-</$1>"), r"<(failure|error|skipped)\b([^>]*)></\1>", "<$1$2>-</$1>")
+    wrapped = F.concat(F.lit("<all>"), F.regexp_replace(text, r"<\?xml[^>]*\?>|<!DOCTYPE[^>]*>", ""), F.lit("</all>"))
+    top = f"testsuites array<struct<testsuite:array<{suite_type(DEPTH)}>>>, testsuite array<{suite_type(DEPTH)}>"
+    parsed = reports.select(F.from_xml(wrapped, top, {"nullValue": "", "ignoreSurroundingSpaces": "true"}).alias("r"))
+    none = F.array().cast(f"array<{suite_type(DEPTH)}>")
+    listed = F.flatten(F.transform(F.coalesce(F.col("r.testsuites"), F.array().cast(f"array<struct<testsuite:array<{suite_type(DEPTH)}>>>")), lambda s: F.coalesce(s["testsuite"], none)))
+    level = parsed.select(F.array().cast("array<string>").alias("above"), F.explode(F.concat(listed, F.coalesce(F.col("r.testsuite"), none))).alias("s"))
+    parts = []
+    for depth in range(DEPTH, 0, -1):
+        own = title_tags(F.col("s._name"))
+        level = level.withColumn("above", F.when(F.size(own) > 0, own).otherwise(F.col("above")))
+        parts.append(level.select("above", F.explode("s.testcase").alias("c")))
+        if depth > 1:
+            level = level.select("above", F.explode("s.testsuite").alias("s"))
+    cases = parts[0]
+    for part in parts[1:]:
+        cases = cases.unionByName(part)
+    name = F.coalesce("c._name", F.lit(""))
+    own, bad = title_tags(name), F.coalesce("c.failure", "c.error", "c.skipped").isNotNull()
+    return cases.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.col("above"))).alias("req_id"), name.alias("test_name"), (~bad).alias("passed"))
 
 
 def read_results(reports: DataFrame) -> DataFrame:
     """Records of reports in either format, told apart by the first character that is not blank; others have none."""
     first = F.substring(F.regexp_replace("text", r"^\s+", ""), 1, 1)
     return json_results(reports.filter(first.isin("{", "["))).unionByName(junit_results(reports.filter(first == "<")))
+
+
+def load_results(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records of every report that ``patterns`` name, and warnings: no-match, malformed or no-results, and the pattern or file."""
+    found, told = [], []
+    for pattern in patterns:
+        try:
+            files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        except AnalysisException:
+            told.append(pattern)
+        else:
+            found.append(files)
+    warnings = spark.createDataFrame([("no-match", p) for p in told], "type string, id string")
+    if not found:
+        return spark.createDataFrame([], "req_id string, test_name string, passed boolean"), warnings
+    files = found[0]
+    for more in found[1:]:
+        files = files.unionByName(more)
+    files = files.distinct()
+    shown = F.regexp_replace("text", r"^\s+", "")
+    broken = F.substring(shown, 1, 1).isin("{", "[") & F.try_parse_json("text").isNull()
+    records = files.select("file", F.struct("text").alias("r")).select("file", "r.text")
+    fine = records.filter(~broken)
+    some = fine.filter(F.col("text").rlike(r"\[(?:[^\]/]+/)?[A-Z][A-Za-z]*-\d+\]"))
+    warnings = warnings.unionByName(files.filter(broken).select(F.lit("malformed").alias("type"), F.col("file").alias("id")))
+    warnings = warnings.unionByName(fine.join(some.select("file"), "file", "anti").select(F.lit("no-results").alias("type"), F.col("file").alias("id")))
+    return read_results(fine), warnings

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import inherited_tags
@@ -100,3 +101,24 @@ def ingest(tests: DataFrame, symbols: DataFrame, files: DataFrame, existing: Dat
         "hashes": traced.groupBy("node_id").agg(F.max_by(F.col("entry")[0]["value"], order).alias("hash")),
         "dangling": gone.agg(F.count("*").alias("dangling")),
     }
+
+
+def has_shards(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether any shard is there; nothing of it is read."""
+    try:
+        return bool(spark.read.text(paths).inputFiles())
+    except AnalysisException:
+        return False
+
+
+def is_excluded(path: Column) -> Column:
+    """Paths that a trace leaves out: outside the root, installed packages and tests."""
+    # Fixed value: names of test files.
+    test = r"\.(?:test|spec)\.[cm]?[jt]sx?$"
+    return path.startswith("..") | path.startswith("/") | F.array_contains(F.split(path, "/"), "node_modules") | path.rlike(test)
+
+
+def empty_trace(spark: SparkSession) -> dict[str, DataFrame]:
+    """What ``ingest`` returns where there is no shard."""
+    schemas = {"evidence": "req_id string, node_id string, grain string", "tests": "req_id string, test_file string, test_name string", "hashes": "node_id string, hash string"}
+    return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()} | {"dangling": spark.createDataFrame([(0,)], "dangling long")}
