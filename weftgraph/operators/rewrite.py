@@ -55,7 +55,7 @@ def rename_in_text(files: DataFrame, old: str, new: str) -> DataFrame:
     own = F.regexp_replace(line, item, f"$1{to}")
     numbers = [re.fullmatch(r"Requirement-(\d+)", x) for x in (old, new)]
     if all(numbers):
-        own = F.regexp_replace(own, rf"^(#{{1,6}}\s+Requirement\s+){numbers[0][1]}(?=\s*(?::|$))", rf"${{1}}{numbers[1][1]}")
+        own = F.regexp_replace(own, rf"^(?<head>#{{1,6}}\s+Requirement\s+){numbers[0][1]}(?=\s*(?::|$))", f"${{head}}{numbers[1][1]}")
     spec = within(own, LISTED, [r"(`+)(?:(?!`).)+?\1(?!`)", "<!--.*?-->"], old, new)
     matter = F.when(line.rlike(r"^\s*(?:-\s|node_id:|derives_from:|depends_on:)"), swap(line, old, new)).otherwise(line)
     markdown = F.when(F.col("front"), matter).when(F.col("in_fence") | line.rlike(r"^\s{0,3}>"), line).otherwise(spec)
@@ -73,7 +73,7 @@ def expand_relations(files: DataFrame, old: str, new: list[str]) -> DataFrame:
     front = F.regexp_extract("text", block, 1)
     quoted = rf"[\"']?{re.escape(old)}[\"']?"
     rows = F.regexp_replace(front, rf"(?m)^([ \t]*-[ \t]+){quoted}[ \t]*$", "\n".join(f"$1{n}" for n in new))
-    flow = F.regexp_replace(rows, rf"(?<=[\[,])([ \t]*){quoted}(?=[ \t]*[,\]])", ",".join(f"$1{n}" for n in new))
+    flow = F.regexp_replace(rows, rf"(?<=[\[,])([ \t]*){quoted}(?=[ \t]*[,\]])", "$1" + ", ".join(new))
     rest = F.substring(F.col("text"), F.length(front) + 1, F.length("text"))
     return files.withColumn("text", F.concat(flow, rest))
 
