@@ -49,10 +49,21 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
 
 
+def set_fingerprint(own: set[bytes], words: int = 8) -> bytes:
+    """Fingerprint of ``words`` 64-bit words of distinct shingles; all zero if there is none."""
+    ones, parts, h = np.zeros(64 * words, np.int64), list(own), xxhash.xxh64_digest
+    for at in range(0, len(parts), 4096):
+        raw = b"".join([h(s, seed) for s in parts[at : at + 4096] for seed in range(words)])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(parts), bitorder="little").tobytes()
+
+
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of all values, 64 values to a word."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    padded = np.zeros((64, -(-len(values) // 64) * 64), np.uint8)
+    """Bit planes: row b holds bit b of all values (one row of 64-bit words each), 64 values to a word."""
+    count, words = values.shape
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(count, 8 * words), axis=1, bitorder="little").T
+    padded = np.zeros((64 * words, -(-count // 64) * 64), np.uint8)
     padded[:, : len(values)] = bits
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
@@ -60,12 +71,13 @@ def planes(values: np.ndarray) -> np.ndarray:
 def near(queries: np.ndarray, values: np.ndarray, radius: int = 3, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (query, value) at ``radius`` or fewer differing bits.
 
-    Values are compared 64 to a word, plane by plane.  A carry-save counter of a
+    Fingerprints are numbers of 64 bits, or rows of several such words.  Values are compared 64 to a word, plane by plane.  A carry-save counter of a
     few bit planes holds all distances of a block of queries; counts above
     2**planes - 1 stay in an overflow plane.  A query whose values all exceed the
     radius is abandoned between planes.
     """
     width = (radius + 1).bit_length()
+    queries, values = queries.reshape(len(queries), -1), values.reshape(len(values), -1)
     stored, found_q, found_v = planes(values), [], []
     lanes = np.zeros(stored.shape[1] * 64, np.uint8)
     lanes[: len(values)] = 1
@@ -75,12 +87,12 @@ def near(queries: np.ndarray, values: np.ndarray, radius: int = 3, rows: int = 1
         own = queries[live]
         counter = np.zeros((width, len(live), stored.shape[1]), np.uint64)
         over = np.zeros((len(live), stored.shape[1]), np.uint64)
-        for b in range(64):
-            carry = stored[b][None, :] ^ np.where((own >> np.uint64(b)) & np.uint64(1), ALL, np.uint64(0))[:, None]
+        for b in range(len(stored)):
+            carry = stored[b][None, :] ^ np.where((own[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), ALL, np.uint64(0))[:, None]
             for k in range(width):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
             over |= carry
-            if b % 8 == 7 and b < 63:
+            if b % 8 == 7 and radius <= b < len(stored) - 1:
                 open_ = (~(over | exceeds(counter, radius)) & valid).any(axis=1)
                 if not open_.all():
                     live, own, counter, over = live[open_], own[open_], counter[:, open_], over[open_]
