@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact_dedup, langid, line_dedup, lm_score, mixing, packing, sharding, simhash, token_counts
+from . import byte_bpe, embeddings, exact_dedup, filter_audit, langid, line_dedup, lm_score, mixing, packing, sharding, simhash, token_counts, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"), order=2, least=1)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_embedding_dedup,
         op10_lm_score,
+        op11_filter_audit,
+        op12_vector_codes,
+        op13_byte_bpe,
     )
 }
 
@@ -99,4 +114,6 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY keyed.doc_id
     """,
+    "op11_filter_audit": filter_audit.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
 }
