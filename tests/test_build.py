@@ -48,7 +48,7 @@ doc:a/plan.md derives_from doc:A convention
 file:src/a.test.ts verifies REQ-2 code-tag
 file:src/a.test.ts verifies a/REQ-1 code-tag
 file:src/a.test.ts verifies zz/REQ-4 code-tag
-file:src/a.test.ts imports symbol:src/a.ts#f ts-import
+file:src/a.test.ts imports file:src/a.ts ts-import
 file:src/a.ts imports file:src/b.ts ts-import
 file:src/a.ts imports file:src/c.ts ts-import
 file:src/a.ts imports symbol:src/b.ts#b ts-import

@@ -69,14 +69,28 @@ def test_rename(spark):
 
 
 def test_split_and_merge(spark):
-    files = spark.createDataFrame([("a.md", "---\ngraph:\n  depends_on: [A-1, B-2]\n---\n- A-1: x\n```\n- A-1: x\n```\n- B-2: y")], "path string, text string")
-    assert rewrite.split_definition(files, "A-1", ["A-3", "A-4"]).first().text == "---\ngraph:\n  depends_on: [A-3, A-4, B-2]\n---\n- A-3: x\n- A-4: x\n```\n- A-1: x\n```\n- B-2: y"
-    assert rewrite.merge_definitions(files, ["A-1", "B-2"], "C-1").first().text == "---\ngraph:\n  depends_on: [C-1, C-1]\n---\n- C-1: x\n```\n- A-1: x\n```"
-
-
-def test_checkboxes(spark):
-    rows = spark.createDataFrame([("- [x] a\r\n  * [X] b\n- [x]c\n1. [x] d\n[x] e",)], "t string")
-    assert rows.select(extract.unchecked(rows.t)).first()[0] == "- [ ] a\n  * [ ] b\n- [x]c\n1. [ ] d\n[x] e"
+    todo = "(TODO: describe this requirement)"
+    rows = [
+        ("a.md", "---\r\ngraph:\r\n  depends_on: [A-1, B-2]\r\n---\r\n- A-1: x\r\n```\r\n- A-1: x\r\n```\r\n- B-2: y"),
+        ("b.md", "- A-1: again\n"), ("c.md", "# none\r- A-10: z"), ("d.txt", "- A-1: text"), ("e.md", None), ("f.md", ""), ("g.md", "### Requirement 3: x ##\nbody"),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    out = {r.path: r.text for r in rewrite.split_definition(files, "A-1", ["A-3", "A-4"]).collect()}
+    assert out["a.md"] == f"---\r\ngraph:\r\n  depends_on: [A-3, A-4, B-2]\r\n---\r\n```\r\n- A-1: x\r\n```\r\n- B-2: y\r\n- A-3: {todo}\r\n- A-4: {todo}"
+    assert out["b.md"] == f"\n- A-3: {todo}\n- A-4: {todo}"
+    assert {p: out[p] for p in "c.md d.txt e.md f.md".split()} == {p: t for p, t in rows if p in "c.md d.txt e.md f.md".split()}
+    out = {r.path: r.text for r in rewrite.merge_definitions(files, ["A-1", "B-2", "Requirement-3"], "C-1").collect()}
+    assert out["a.md"] == f"---\r\ngraph:\r\n  depends_on: [C-1, C-1]\r\n---\r\n```\r\n- A-1: x\r\n```\r\n- C-1: {todo}"
+    assert out["b.md"] == f"\n- C-1: {todo}" and out["g.md"] == f"body\n- C-1: {todo}"
+    assert {r.path: r.text for r in rewrite.merge_definitions(files, ["A-1"], "B-2", exists=True).collect()}["b.md"] == ""
+
+
+def test_rename_keeps_every_other_byte(spark):
+    rows = [("a.md", "x\r\n- A-1: y\r\n\r\nz \r\n"), ("b.md", "- A-1: y\rz\n\n"), ("c.json", '"[A-1]"'), ("d.tsx", "// @impl A-1\r\n"), ("e.md", None)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    out = {r.path: (r.text, r.n_changes) for r in rewrite.rename_in_text(files, "A-1", "A-2").collect()}
+    assert out == {p: (t and (t if p == "c.json" else t.replace("A-1", "A-2")), int(p not in ("c.json", "e.md"))) for p, t in rows}
+    assert {tuple(r) for r in rewrite.rename_changes(files, "A-1", "A-2").collect()} == {("a.md", 2, "- A-1: y", "- A-2: y"), ("b.md", 1, "- A-1: y", "- A-2: y"), ("d.tsx", 1, "// @impl A-1", "// @impl A-2")}
 
 
 def test_lock_files(spark, tmp_path):

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import TOKEN
-from ..graph import Graph, Levels, short_hash, stored
+from ..graph import Graph, short_hash, stored
+from ..sources.fragments import Fragments
 from ..sources.text import code_files
 from . import extract
+from .blocks import blocks
 from .canonical import annotation_targets, collisions, contains_edges, convention_edges, dedup_edges, enclosing_symbols, last_nodes, suffixes
+from .declarations import declarations
+from .stars import providers
 
 
 @dataclass(frozen=True)
@@ -21,6 +25,8 @@ class Layout:
 
     ``token`` is the id grammar of list items, annotations and tags; ``ignored``
     are id prefixes that make no node and no claim; ``grain`` is symbol or file.
+    ``heading`` captures the number or id of headings that are requirements,
+    ``conventions`` say how tasks are written.
     """
 
     spec_dirs: tuple[str, ...] = ("specs",)
@@ -30,6 +36,8 @@ class Layout:
     grain: str = "symbol"
     token: str = TOKEN
     key: str = "graph"
+    heading: str = extract.HEADING
+    conventions: tuple[extract.Convention, ...] = extract.CONVENTIONS
 
 
 def spec_dir_of(path: Column, spec_dirs: tuple[str, ...]) -> Column:
@@ -48,8 +56,9 @@ def is_ignored(node_id: Column, prefixes: tuple[str, ...]) -> Column:
     return node_id.rlike(rf"(?:^|/)(?:{'|'.join(map(re.escape, prefixes))})-\d+$")
 
 
-def warning(df: DataFrame, kind: str, id_: Column, file: Column) -> DataFrame:
-    return df.select(F.lit(kind).alias("type"), id_.alias("id"), file.alias("file")).distinct()
+def warning(df: DataFrame, kind: str | Column, id_: Column, file: Column) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return df.select(kind.alias("type"), id_.alias("id"), file.alias("file")).distinct()
 
 
 def edge_rows(df: DataFrame, source: Column, target: Column, kind: Column | str, provenance: str, space: Column | None = None) -> DataFrame:
@@ -59,28 +68,8 @@ def edge_rows(df: DataFrame, source: Column, target: Column, kind: Column | str,
 
 
 def expand_stars(symbols: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and import edges of names that ``export *`` hands on: ``symbols(path, name)``, ``stars(path, target)``.
-
-    A file hands on a name that it does not declare itself, never ``default``, if
-    one path of star exports leads to a declaration: two paths are ambiguous and
-    give nothing, a cycle is cut.  Paths grow from the declaration outwards, one
-    file a round; of a file and name no more than two go on, which is enough to
-    see that a name is ambiguous.
-    """
-    spark = symbols.sparkSession
-    own = stored(symbols.select("path", "name").distinct())
-    steps = stored(stars.select("path", "target").distinct())
-    fresh = lambda df: df.join(own, ["path", "name"], "anti")
-    named = own.filter("name <> 'default'").withColumnRenamed("path", "target")
-    first = fresh(steps.join(named, "target")).select("path", "name", "target", F.array("path", "target").alias("trail"))
-    two = Window.partitionBy("path", "name").orderBy("trail")
-    levels = Levels(spark, first.schema)
-    found = levels.add(first)
-    while found:
-        last = levels.last().withColumn("r", F.row_number().over(two)).filter("r <= 2").select(F.col("path").alias("target"), "name", "trail")
-        onward = steps.join(last, "target").filter(~F.array_contains("trail", F.col("path")))
-        found = levels.add(fresh(onward).select("path", "name", "target", F.concat(F.array("path"), "trail").alias("trail")))
-    single = levels.all().groupBy("path", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
+    """Nodes and import edges of names that ``export *`` hands on: ``symbols(path, name)``, ``stars(path, target)``."""
+    single = stored(providers(symbols, stars))
     node, origin = (F.concat(F.lit("symbol:"), c, F.lit("#"), "name") for c in ("path", "target"))
     nodes = single.select(node.alias("id"), F.lit("symbol").alias("kind"), F.col("path").alias("file_path"), F.col("name").alias("label"), short_hash(F.concat_ws("\0", "target", "name", "name")).alias("content_hash"))
     return nodes, edge_rows(single, node, origin, "imports", "ts-import")
@@ -100,13 +89,14 @@ def repair_imports(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
     return repaired, told.distinct()
 
 
-def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame]:  # noqa: B008
+def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None = None) -> tuple[Graph, DataFrame]:  # noqa: B008
     """The graph of ``files(path, text)`` and its warnings (type, id, file).
 
     Specifications give documents, requirements and tasks, annotations, relations
     of the front matter and links; code gives files, tests, symbols, tags and
     imports.  Ids that two specification directories define are qualified by
-    theirs.  The order is: definitions, ids, relations, code, star exports,
+    theirs.  With ``kept`` only files that are not in that folder yet are parsed,
+    and what is read of them is kept there.  The order is: definitions, ids, relations, code, star exports,
     repair of imports, structure and conventions, links, canonical form.
     """
     in_spec = F.lit(False)
@@ -119,8 +109,9 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
     # Definitions and their ids.
     place = lambda df: df.withColumn("spec_dir", spec_dir_of(F.col("file_path"), layout.spec_dirs))
     keep = lambda df, c: df.filter(~is_ignored(F.col(c), layout.ignored))
-    reqs = place(keep(extract.requirements(specs, layout.token), "id"))
-    task_nodes, task_edges = extract.tasks(specs)
+    parts = kept.read(specs, "blocks", lambda f: blocks(f, layout.heading), layout.heading)[0] if kept else stored(blocks(specs, layout.heading))
+    reqs = place(keep(extract.requirements(parts, layout.token, layout.heading), "id"))
+    task_nodes, task_edges = extract.tasks(parts, layout.conventions, layout.heading)
     tasks = place(keep(task_nodes, "id"))
     defined = stored(reqs.select("id", "file_path", F.col("line").cast("long").alias("line"), "label", "content_hash", "spec_dir", F.lit("req").alias("kind")).unionByName(
         tasks.select("id", "file_path", F.col("line").cast("long").alias("line"), F.lit(None).cast("string").alias("label"), "content_hash", "spec_dir", F.lit("task").alias("kind"))
@@ -132,15 +123,16 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
 
     front = stored(extract.front_matter(specs, layout.key))
     rest = F.regexp_replace("path", rf"^(?:{'|'.join(map(re.escape, layout.spec_dirs))})/", "")
-    docs = specs.join(front, "path", "left").select(
-        F.coalesce("node_id", F.concat(F.lit("doc:"), rest)).alias("id"), F.lit("doc").alias("kind"), F.col("path").alias("file_path"), F.col("title").alias("label"), short_hash(extract.unchecked(F.col("text"))).alias("content_hash")
+    hashed = parts.filter("kind = 'document'").select("path", F.col("text").alias("doc_hash"))
+    docs = specs.join(front, "path", "left").join(hashed, "path", "left").select(
+        F.coalesce("node_id", F.concat(F.lit("doc:"), rest)).alias("id"), F.lit("doc").alias("kind"), F.col("path").alias("file_path"), F.col("title").alias("label"), F.coalesce("doc_hash", short_hash(F.col("text"))).alias("content_hash")
     )
     docs = stored(docs)
     spec_nodes = defined.select(F.col("qualified_id").alias("id"), "kind", "file_path", "label", "content_hash", F.col("line"))
 
     # Relations that specifications state.
-    own = ids.select(F.col("id").alias("source"), "spec_dir", F.col("qualified_id").alias("own"))
-    noted = stored(place(extract.annotations(specs, layout.token)).join(own, ["source", "spec_dir"]))
+    named = ids.select(F.col("id").alias("source"), "spec_dir", F.col("qualified_id").alias("own"))
+    noted = stored(place(extract.annotations(parts, layout.token, layout.heading)).join(named, ["source", "spec_dir"]))
     warnings.append(warning(noted.filter("status = 'invalid'"), "invalid-annotation-id", F.col("target"), F.col("file_path")))
     warnings.append(warning(noted.filter("status = 'empty'"), "empty-annotation", F.col("kind"), F.col("file_path")))
     valid = noted.filter("status = 'valid'").withColumnRenamed("target", "ref")
@@ -153,7 +145,7 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
     doc_at = docs.select(F.col("file_path").alias("path"), F.col("id").alias("source"))
     stated = front.join(doc_at, "path").select("source", F.col("path").alias("file_path"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("targets")) for k in ("derives_from", "depends_on")])))
     stated = stated.select("source", "file_path", "kind", F.explode("targets").alias("ref"))
-    tagged = place(task_edges).join(own, ["source", "spec_dir"]).select(F.col("own").alias("source"), "file_path", "kind", F.col("target").alias("ref"), "target_space").filter(~is_ignored(F.col("ref"), layout.ignored))
+    tagged = place(task_edges).join(named, ["source", "spec_dir"]).select(F.col("own").alias("source"), "file_path", "kind", F.col("target").alias("ref"), "target_space").filter(~is_ignored(F.col("ref"), layout.ignored))
     # A reference to a colliding id means the one qualified id that ends in it; if there are more, it stays and is warned of.
     tails = suffixes(ids.select("qualified_id").distinct(), "qualified_id").groupBy(F.col("suffix").alias("ref")).agg(F.min("qualified_id").alias("tail"), F.countDistinct("qualified_id").alias("n"))
     tails = tails.join(double.select(F.col("id").alias("ref")), "ref", "semi")
@@ -167,9 +159,11 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
     bare = F.regexp_replace("text", "^\ufeff", "")
     file_id = F.concat(F.lit("file:"), "path")
     code_nodes = code.select(file_id.alias("id"), F.when(F.col("is_test"), "test").otherwise("file").alias("kind"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("label"), short_hash(bare).alias("content_hash"))
-    sources = code.filter("not is_test").select("path", "text")
-    symbols = stored(extract.symbols(sources)) if layout.grain == "symbol" else None
-    tags = extract.implementation_tags(sources, layout.token)
+    declared = kept.read(code.select("path", "text"), "declarations", declarations)[0] if kept else stored(declarations(code.select("path", "text")))
+    tests = code.filter("is_test").select("path")
+    own = declared.join(tests, "path", "anti")
+    symbols = stored(extract.symbols(own)) if layout.grain == "symbol" else None
+    tags = extract.implementation_tags(own, layout.token)
     if symbols is not None:
         near = enclosing_symbols(tags.select("path", "line").distinct(), symbols)
         tags = tags.join(near, ["path", "line"], "left").withColumn("source", F.coalesce("symbol_id", file_id))
@@ -189,15 +183,17 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
         seen = Window.partitionBy("id").orderBy("seq")
         first = symbols.withColumn("r", F.row_number().over(seen)).filter("r = 1")
         node_parts.append(first.select("id", F.lit("symbol").alias("kind"), F.col("path").alias("file_path"), F.col("name").alias("label"), "content_hash"))
-        moved = edge_rows(extract.named_imports(code), F.col("source"), F.col("target"), "imports", "ts-import")
-        handed = stored(extract.reexports(sources))
+        # Tests are no symbols' home: what they import are files.
+        taken = extract.named_imports(code, own).union(extract.imports(code, declared.join(tests, "path", "semi")))
+        moved = edge_rows(taken, F.col("source"), F.col("target"), "imports", "ts-import")
+        handed = stored(extract.reexports(code, own))
         node_parts.append(handed.join(symbols.select("id"), "id", "anti").select("id", F.lit("symbol").alias("kind"), F.col("path").alias("file_path"), F.col("name").alias("label"), "content_hash"))
-        parts, inner = expand_stars(symbols.select("path", "name").union(handed.select("path", "name")), extract.star_exports(sources))
-        node_parts.append(parts)
+        handed_on, inner = expand_stars(symbols.select("path", "name").union(handed.select("path", "name")), extract.star_exports(code, own))
+        node_parts.append(handed_on)
         moved = moved.unionByName(inner)
         members = edge_rows(symbols.filter("owner is not null"), F.col("owner"), F.col("id"), "contains", "structural")
     else:
-        moved = edge_rows(extract.imports(code), F.col("source"), F.col("target"), "imports", "ts-import")
+        moved = edge_rows(extract.imports(code, declared), F.col("source"), F.col("target"), "imports", "ts-import")
         members = moved.limit(0)
 
     every = docs.withColumn("line", F.lit(0).cast("long")).unionByName(spec_nodes)
@@ -209,6 +205,8 @@ def build(files: DataFrame, layout: Layout = Layout()) -> tuple[Graph, DataFrame
     warnings.append(repeated.select("type", "id", F.explode("files").alias("file")))
     moved, told = repair_imports(moved, nodes.select("id"))
     warnings.append(told)
+    stray = extract.unresolved_specifiers(declared, code)
+    warnings.append(warning(stray, F.when(F.col("kind") == "import", "unresolved-import").otherwise("unresolved-reexport"), F.col("spec"), F.col("path")))
 
     # Structure, conventions and links.
     structure = contains_edges(nodes).unionByName(convention_edges(nodes)).withColumn("target_space", F.lit(None).cast("string"))

@@ -99,10 +99,15 @@ def convention_edges(nodes: DataFrame) -> DataFrame:
 
 
 def enclosing_symbols(tags: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Range join: each tag(path, line) with the smallest symbol(path, id, start, end, seq) around its line, or null."""
-    hit = tags.join(symbols, "path").filter(F.col("line").between(F.col("start"), F.col("end")))
-    near = Window.partitionBy("path", "line").orderBy(F.col("end") - F.col("start"), "seq")
-    best = hit.withColumn("__r", F.row_number().over(near)).filter("__r = 1").select("path", "line", F.col("id").alias("symbol_id"))
+    """Range join: each tag(path, line) with the smallest symbol(path, id, start, end, seq) around its line, or null.
+
+    Symbols with a ``grp`` in common are one declaration: all of them that hold the
+    line are found.
+    """
+    own = symbols.select("path", "id", "start", "end", "seq", F.col("grp" if "grp" in symbols.columns else "id").cast("string").alias("grp"))
+    hit = tags.join(own, "path").filter(F.col("line").between(F.col("start"), F.col("end")))
+    near = Window.partitionBy("path", "line").orderBy(F.col("end") - F.col("start"), "seq", "grp")
+    best = hit.withColumn("__best", F.first("grp").over(near)).filter("grp = __best").select("path", "line", F.col("id").alias("symbol_id")).distinct()
     return tags.join(best, ["path", "line"], "left")
 
 

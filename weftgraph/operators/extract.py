@@ -1,18 +1,23 @@
 """Rows from specification and code text: requirements, annotations, tasks, tags, symbols and imports.
 
-Everything works on lines, so it stays in built-in functions.  The Markdown and
-code understood are subsets: list items of one line, ATX headings, fenced code;
-declarations that start a line.
+Specifications are read from their blocks, code from its declarations; both are
+folded once from text, and what they mean is told by built-in functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import NAMESPACED, TOKEN, plain_path
 from ..graph import short_hash
+from .blocks import blocks
+from .declarations import declarations
 
+# The input format of annotations and of headings that are requirements.
+HEADING = r"^Requirement\s+(\d+)\s*(?::|$)"
 ANNOTATION = r"\(\s*(depends_on|derives_from)\s*:\s*([^()]*?)\)"
 # Code spans and comments: what they hold is no markup.
 MASKED = r"(`+)(?:(?!`).)+?\1(?!`)|<!--.*?-->"
@@ -32,68 +37,51 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def stripped(text):
-    """Text without annotations: gone at a line's edge, one blank inside."""
-    edge = F.regexp_replace(text, rf"(?:^|[ \t]*){ANNOTATION}[ \t]*$", "")
-    return F.regexp_replace(F.regexp_replace(edge, ANNOTATION, " "), r"[ \t]+$", "")
-
-
-def unchecked(text):
-    """A document's text as it is hashed: line ends normalised and every checked box of a list item unchecked."""
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)\[[xX]\](?=\s|$)", "$1[ ]")
-
-
-def unmasked(line):
-    """A line without its code spans and comments."""
-    return F.regexp_replace(line, MASKED, "")
-
-
-def list_items(lines: DataFrame) -> DataFrame:
-    """List items outside fences, with their text."""
-    item = F.regexp_extract("line", r"^\s*[-*+]\s+(.*)$", 1)
-    return lines.filter(~F.col("in_fence") & F.col("line").rlike(r"^\s*[-*+]\s+\S")).withColumn("item", item)
+    """Text without annotations and the blanks around them: gone at a line's edge, one blank inside; lines lose their last blanks."""
+    edge = F.regexp_replace(text, rf"(?m)(?:^[ \t]*{ANNOTATION}[ \t]*|[ \t]*{ANNOTATION}[ \t]*$)", "")
+    return F.regexp_replace(F.regexp_replace(edge, rf"[ \t]*{ANNOTATION}[ \t]*", " "), r"(?m)[ \t]+$", "")
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """ATX headings outside fences: path, n, level, text and last (the last line of the section)."""
-    marked = lines.withColumn("hashes", F.when(~F.col("in_fence"), F.regexp_extract("line", r"^(#{1,6})\s", 1)))
-    level = F.length("hashes")
-    after = Window.partitionBy("path").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.min(F.when((level > 0) & (level <= k), F.col("n"))).over(after) for k in range(1, 7)]
-    end = F.element_at(F.array(*ends), F.greatest(level, F.lit(1)))
-    total = F.max("n").over(Window.partitionBy("path"))
-    # A closing run of # counts only where a blank or nothing stands before it.
-    text = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)), r"(?<![^ \t])#+$", ""))
-    return marked.withColumn("last", F.coalesce(end - 1, total)).filter(level > 0).select("path", "n", level.alias("level"), text.alias("text"), "last")
+def requirements(files: DataFrame, token: str = TOKEN, heading: str = HEADING) -> DataFrame:
+    """id, file_path, line, label and content_hash of requirements in list items and headings, of files or their blocks.
 
-
-def requirements(files: DataFrame, token: str = TOKEN) -> DataFrame:
-    """id, file_path, line, label and content_hash of requirements in list items and ``Requirement N`` headings.
-
-    ``token`` is the id grammar of list items.
+    ``token`` is the id grammar of list items; what ``heading`` captures of a
+    heading is the id, behind ``Requirement-`` if it is a number.  An item's hash
+    is of all that it holds, a heading's of its section; annotations count in
+    neither.
     """
-    lines = lines_of(files)
-    item = list_items(lines).withColumn("id", F.regexp_extract("item", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)).filter("id <> ''")
-    items = item.select("id", F.col("path").alias("file_path"), F.col("n").alias("line"), F.col("item").alias("label"), short_hash(stripped(F.col("item"))).alias("content_hash"))
-    number = F.regexp_extract("text", r"^Requirement\s+(\d+)\s*(?::|$)", 1)
-    head = headings(lines).withColumn("number", number).filter("number <> ''")
-    inside = head.select(F.col("path").alias("p"), F.col("n").alias("start"), "last", "text", F.concat(F.lit("Requirement-"), "number").alias("id"))
-    # A line lies in one section of requirement level at most: the latest that starts above it.
-    near = Window.partitionBy("path").orderBy("n")
-    starts = inside.select(F.col("p").alias("path"), F.col("start").alias("n"), F.struct("id", "start", "last", "text").alias("own"))
-    held = lines.join(starts, ["path", "n"], "left").withColumn("own", F.last("own", True).over(near)).filter(F.col("n").between(F.col("own.start"), F.col("own.last")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: stripped(x["line"])), "\n")
-    sections = held.groupBy("path", "own").agg(body.alias("body")).select(F.col("own.id").alias("id"), F.col("path").alias("file_path"), F.col("own.start").alias("line"), F.col("own.text").alias("label"), short_hash(F.col("body")).alias("content_hash"))
+    found = blocks(files, heading)
+    item = found.filter("kind = 'item'").withColumn("id", F.regexp_extract("text", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)).filter("id <> ''")
+    items = item.select("id", F.col("path").alias("file_path"), "line", F.col("text").alias("label"), short_hash(stripped(F.col("whole"))).alias("content_hash"))
+    head = found.filter("kind = 'heading' and section is not null")
+    # Of the first paragraph each line loses its annotations; lines that were nothing else go, and with all of them the blank line above.
+    cut = F.transform(F.slice("section", F.col("head") + 1, F.col("tail") - F.col("head") + 1), stripped)
+    gone = F.forall(cut, lambda x: F.trim(x) == "")
+    upper = F.slice("section", 1, F.col("head") - F.when(gone & (F.trim(F.get("section", F.col("head") - 1)) == ""), 1).otherwise(0))
+    lower = F.slice("section", F.col("tail") + 2, F.size("section"))
+    body = F.when(F.col("head").isNull(), F.col("section")).otherwise(F.concat(upper, F.filter(cut, lambda x: F.trim(x) != ""), lower))
+    sections = head.select(heading_id(heading).alias("id"), F.col("path").alias("file_path"), "line", F.col("text").alias("label"), short_hash(F.array_join(body, "\n")).alias("content_hash"))
     return items.unionByName(sections)
 
 
-def annotations(files: DataFrame, token: str = TOKEN) -> DataFrame:
-    """source, kind, target, file_path and status (valid, invalid or empty) of ``(depends_on: A, B)`` on requirement items.
+def heading_id(heading: str):
+    """The id that a heading's text names."""
+    own = F.regexp_extract("text", heading, 1)
+    return F.when(own.rlike(r"^\d+$"), F.concat(F.lit("Requirement-"), own)).otherwise(own)
+
 
-    Annotations inside code spans and comments are none.
+def annotations(files: DataFrame, token: str = TOKEN, heading: str = HEADING) -> DataFrame:
+    """source, kind, target, file_path and status (valid, invalid or empty) of ``(depends_on: A, B)`` on requirements.
+
+    Read are an item's first paragraph and the first and last line of a heading's;
+    code spans, comments and block quotes hold none.
     """
-    item = list_items(lines_of(files)).withColumn("source", F.regexp_extract("item", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)).filter("source <> ''")
-    found = item.withColumn("item", unmasked(F.col("item"))).select("source", F.col("path").alias("file_path"), F.explode(F.regexp_extract_all("item", F.lit(ANNOTATION), F.lit(0))).alias("a"))
-    named = F.filter(F.transform(F.split(F.regexp_extract("a", ANNOTATION, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
+    found = blocks(files, heading)
+    of_item = F.regexp_extract("text", rf"^(?:\*\*)?({token})(?:\*\*)?[:\s]", 1)
+    source = F.when(F.col("kind") == "item", of_item).when(F.col("section").isNotNull(), heading_id(heading)).otherwise("")
+    notes = found.filter(F.col("kind").isin("item", "heading")).select(source.alias("source"), F.col("path").alias("file_path"), F.explode("notes").alias("note")).filter("source <> ''")
+    found = notes.select("source", "file_path", F.explode(F.regexp_extract_all("note", F.lit(ANNOTATION), F.lit(0))).alias("a"))
+    named = F.filter(F.transform(F.split(F.regexp_extract("a", ANNOTATION, 2), ","), lambda x: F.trim(F.regexp_replace(x, r"\s", " "))), lambda x: x != "")
     bare = F.transform(named, lambda x: F.trim(F.regexp_replace(x, r"^\*\*(.+)\*\*$", "$1")))
     rows = found.select("source", F.regexp_extract("a", ANNOTATION, 1).alias("kind"), F.explode_outer(bare).alias("target"), "file_path")
     status = F.when(F.col("target").isNull(), "empty").when(F.col("target").rlike(rf"^(?:[\w-]+/)?(?:{token})$"), "valid").otherwise("invalid")
@@ -128,43 +116,71 @@ def unknown_relations(files: DataFrame, key: str = "graph") -> DataFrame:
     return files.select("path", F.explode(keys).alias("key")).filter(~F.col("key").isin("node_id", "derives_from", "depends_on"))
 
 
-# Task conventions as name, file stems, task id, implements tag, verifies tag and the space of its targets.
-CONVENTIONS = [
-    ("spec-kit", ["plan", "tasks"], r"^(?:\[[xX ]\][\s\u00A0]+)?(T\d+)\b", r"@impl\(([^)\n]+)\)", rf"\[((?:REQ-[\w/-]+)|(?:{NAMESPACED}))\]", None),
-    ("kiro", ["tasks"], r"^\[[xX ]\][\s\u00A0]+(\d+(?:\.\d+)*)\.?[\s\u00A0]", None, r"(?<=Requirements:[\s\d.,]{0,400})(\d+(?:\.\d+)*)", "requirement"),
-]
+@dataclass(frozen=True)
+class Convention:
+    """How tasks are written: the stems of their files, and what their id and tags look like.
+
+    ``verifies_list`` captures a whole list of which ``verifies`` captures the
+    entries; without it ``verifies`` is looked for anywhere.  Targets are in the
+    space of requirements if ``space`` says so.
+    """
+
+    name: str
+    stems: tuple[str, ...]
+    task_id: str
+    implements: str | None = None
+    verifies: str | None = None
+    verifies_list: str | None = None
+    space: str | None = None
+
+
+# The task conventions that are known without being told.
+CONVENTIONS = (
+    Convention("spec-kit", ("plan", "tasks"), r"^(?:\[[xX ]\][\s\u00A0]+)?(T\d+)\b", r"@impl\(([^)\n]+)\)", rf"\[((?:REQ-[\w/-]+)|(?:{NAMESPACED}))\]"),
+    Convention("kiro", ("tasks",), r"^\[[xX ]\][\s\u00A0]+(\d+(?:\.\d+)*)\.?[\s\u00A0]", None, r"(\d+(?:\.\d+)*)", r"Requirements:([\s\d.,]*)", "requirement"),
+)
+
 
+def captures(texts: Column, pattern: str) -> Column:
+    """What the pattern's first group captures, an array for each text."""
+    return F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
 
-def tasks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def tasks(files: DataFrame, conventions: tuple[Convention, ...] = CONVENTIONS, heading: str = HEADING) -> tuple[DataFrame, DataFrame]:
     """Tasks (id, file_path, line, convention, content_hash), and their edges to what they implement and verify.
 
-    The first convention of the file's stem that fits an item is used; a task's
-    tags are those of its lines up to the next task or heading.
+    ``conventions`` are tried in order for a file of their stems; the first whose
+    task id fits a list item is the item's.  A task's tags are those of its own
+    paragraphs, nested ones too, but for those of a nested task.
     """
     stem = F.lower(F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1))
-    lines = lines_of(files)
-    item = F.when(~F.col("in_fence"), F.regexp_extract("line", r"^\s*[-*+]\s+(.*)$", 1)).otherwise("")
-    found = F.lit(None).cast("struct<id:string,convention:string>")
-    for name, stems, task_id, *_ in reversed(CONVENTIONS):
-        got = F.regexp_extract(item, task_id, 1)
-        found = F.when(stem.isin(*stems) & (got != ""), F.struct(got.alias("id"), F.lit(name).alias("convention"))).otherwise(found)
-    near = Window.partitionBy("path").orderBy("n")
-    stop = F.col("task").isNotNull() | (~F.col("in_fence") & F.col("line").rlike(r"^#{1,6}\s"))
-    marked = lines.withColumn("task", found).withColumn("item", item)
-    held = marked.withColumn("own", F.last(F.when(stop, F.struct("n", "task")), True).over(near)).filter("own.task is not null")
-    nodes = marked.filter("task is not null").select("task.id", F.col("path").alias("file_path"), F.col("n").alias("line"), "task.convention", short_hash(F.col("item")).alias("content_hash"))
-    parts = []
-    for name, _, _, implements, verifies, space in CONVENTIONS:
-        rows = held.filter(F.col("own.task.convention") == name).withColumn("source", F.col("own.task.id"))
-        for kind, pattern in (("implements", implements), ("verifies", verifies)):
-            if pattern:
-                raw = F.explode(F.flatten(F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda x: F.split(x, r"\s*,\s*"))))
-                target = F.when(F.col("t").rlike(r"^\d+(\.|$)"), F.concat(F.lit("Requirement-"), F.regexp_extract("t", r"^(\d+)", 1))).otherwise(F.trim("t")) if space else F.trim("t")
-                parts.append(rows.select("source", raw.alias("t"), F.col("path").alias("file_path")).select("source", target.alias("target"), F.lit(kind).alias("kind"), F.lit(space).cast("string").alias("target_space"), "file_path"))
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.unionByName(p)
-    return nodes, edges.filter("target <> ''").distinct()
+    found = blocks(files, heading).filter(stem.isin(*{s for c in conventions for s in c.stems}) & F.col("kind").isin("item", "paragraph"))
+    task = F.lit(None).cast("struct<id:string,convention:string>")
+    for c in reversed(conventions):
+        got = F.regexp_extract("text", c.task_id, 1)
+        task = F.when((F.col("kind") == "item") & stem.isin(*c.stems) & (got != ""), F.struct(got.alias("id"), F.lit(c.name).alias("convention"))).otherwise(task)
+    marked = found.withColumn("task", task)
+    own = marked.filter("task is not null").select("path", F.element_at("items", -1).alias("item"), "line", "task", "whole")
+    nodes = own.select("task.id", F.col("path").alias("file_path"), "line", "task.convention", short_hash(F.col("whole")).alias("content_hash"))
+    # A paragraph belongs to the innermost task around it.
+    inside = found.filter("kind = 'paragraph'").select("path", "seq", "text", F.posexplode("items").alias("depth", "item"))
+    held = inside.join(own.select("path", "item", "task"), ["path", "item"]).groupBy("path", "seq").agg(F.max_by(F.struct("text", "task"), "depth").alias("own"))
+    held = held.select(F.col("path").alias("file_path"), "own.text", F.col("own.task.id").alias("source"), F.col("own.task.convention").alias("convention"))
+    edges = None
+    for c in conventions:
+        for kind, pattern in (("implements", c.implements), ("verifies", c.verifies)):
+            if pattern is None:
+                continue
+            space = c.space if kind == "verifies" else None
+            texts = F.array("text") if kind == "implements" or c.verifies_list is None else F.regexp_extract_all("text", F.lit(c.verifies_list), F.lit(1))
+            every = F.flatten(captures(texts, pattern))
+            tags = F.split(F.array_join(every, ","), ",")
+            major = F.regexp_extract("t", r"^(\d+)(?:\.|$)", 1)
+            target = F.when(major != "", F.concat(F.lit("Requirement-"), major)).otherwise(F.col("t")) if space == "requirement" else F.col("t")
+            rows = held.filter(F.col("convention") == c.name).select("source", F.explode(tags).alias("t"), "file_path").withColumn("t", F.trim("t"))
+            part = rows.filter("t <> ''").select("source", target.alias("target"), F.lit(kind).alias("kind"), F.lit(space).cast("string").alias("target_space"), "file_path")
+            edges = part if edges is None else edges.unionByName(part)
+    return nodes, edges.distinct()
 
 
 def inline_links(files: DataFrame) -> DataFrame:
@@ -179,11 +195,10 @@ def inline_links(files: DataFrame) -> DataFrame:
 
 
 def implementation_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
-    """path, line and req_id of ``// @impl A, B``, where the tag opens the line's comment."""
+    """path, line and req_id of ``// @impl A, B``, where the tag opens its line comment; of code files or their declarations."""
     named = rf"(?:[\w-]+/)?(?:{token})"
-    tag = rf"//{BLANK}*@impl{BLANK}+((?:{named}(?:{BLANK}|,)*)+)"
-    bare = F.regexp_replace("line", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`", "''")
-    rows = lines_of(files).select("path", F.col("n").alias("line"), F.regexp_extract(bare, rf"^(?:(?!//).)*?{tag}", 1).alias("ids")).filter("ids <> ''")
+    tag = rf"^//+{BLANK}*@impl{BLANK}+((?:{named}(?:{BLANK}|,)*)+)"
+    rows = declarations(files).filter("kind = 'tag'").select("path", F.col("start").alias("line"), F.regexp_extract("name", tag, 1).alias("ids")).filter("ids <> ''")
     return rows.select("path", "line", F.explode(F.regexp_extract_all("ids", F.lit(named), F.lit(0))).alias("req_id")).distinct()
 
 
@@ -194,50 +209,16 @@ def test_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(both)).alias("req_id"))
 
 
-def exported_symbols(files: DataFrame) -> DataFrame:
-    """path, name, id, start, end and seq of exported declarations that start a line; one ends where the next declaration starts."""
-    decl = r"^(export\s+)?(?:(default)\b\s*)?(?:declare\s+|abstract\s+|async\s+)*(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
-    rows = lines_of(files).withColumn("name", F.regexp_extract("line", decl, 3)).withColumn("default", F.regexp_extract("line", decl, 2) == "default")
-    rows = rows.filter("name <> '' or line rlike '^export default'")
-    after = Window.partitionBy("path").orderBy("n")
-    ends = rows.withColumn("end", F.coalesce(F.lead("n").over(after) - 1, F.lit(2_147_483_647))).filter("line rlike '^export'")
-    name = F.when(F.col("default") | F.col("line").rlike("^export default"), "default").otherwise(F.col("name"))
-    return ends.select("path", name.alias("name"), F.concat(F.lit("symbol:"), "path", F.lit("#"), name).alias("id"), F.col("n").alias("start"), "end", F.col("n").alias("seq"))
-
-
-def listed_exports(files: DataFrame) -> DataFrame:
-    """path, name (as exported) and line of ``export { a, b as c }`` without a source."""
-    rows = lines_of(files).select("path", "n", F.regexp_extract("line", r"^export\s*\{([^}]*)\}\s*;?\s*$", 1).alias("list")).filter("list <> ''")
-    each = rows.select("path", "n", F.explode(F.split("list", ",")).alias("e"))
-    name = F.regexp_extract("e", r"(?:\bas\s+)?([A-Za-z_$][\w$]*)\s*$", 1)
-    return each.select("path", name.alias("name"), "n").filter("name <> ''")
-
-
-def class_members(files: DataFrame, declared: DataFrame) -> DataFrame:
-    """path, owner (id), name (``Class.member``), start and end of methods one level inside the exported classes of ``declared``."""
-    lines = lines_of(files)
-    classes = declared.join(lines.filter(F.col("line").rlike(r"\bclass\b")).select("path", F.col("n").alias("start")), ["path", "start"], "semi")
-    method = r"^(?: {2}| {4}|\t)(?:(?:public|protected|static|async|override|get|set)\s+|\*\s*)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\("
-    found = lines.select("path", "n", F.regexp_extract("line", method, 1).alias("member")).filter("member <> '' and member not in ('if', 'for', 'while', 'switch', 'return', 'catch', 'function')")
-    inside = found.join(classes.select("path", "id", "name", "start", "end"), "path").filter("n > start and n <= end")
-    near = Window.partitionBy("path", "id").orderBy("n")
-    last = F.least(F.coalesce(F.lead("n").over(near) - 1, F.col("end")), F.col("end"))
-    return inside.select("path", F.col("id").alias("owner"), F.concat_ws(".", "name", "member").alias("name"), F.col("n").alias("start"), last.alias("end"))
-
-
 def symbols(files: DataFrame) -> DataFrame:
-    """path, name, id, start, end, seq, owner (a member's class) and content_hash of exported declarations, export lists and class members.
+    """path, name, id, start, end, seq, grp, owner (a member's class) and content_hash of exported symbols and class members."""
+    id_ = lambda c: F.concat(F.lit("symbol:"), "path", F.lit("#"), c)
+    found = declarations(files).filter("kind = 'symbol'")
+    return found.select("path", "name", id_("name").alias("id"), "start", "end", F.col("start").alias("seq"), "grp", F.when(F.col("owner").isNotNull(), id_("owner")).alias("owner"), "content_hash")
 
-    The hash is of the declaration's lines; of an export list, of its name.
-    """
-    declared = exported_symbols(files)
-    total = lines_of(files).groupBy("path").agg(F.max("n").alias("total"))
-    declared = declared.join(total, "path").withColumn("end", F.least("end", "total")).drop("total")
-    named = listed_exports(files).select("path", "name", F.concat(F.lit("symbol:"), "path", F.lit("#"), "name").alias("id"), F.col("n").alias("start"), F.col("n").alias("end"))
-    members = class_members(files, declared).withColumn("id", F.concat(F.lit("symbol:"), "path", F.lit("#"), "name"))
-    every = declared.drop("seq").unionByName(named).withColumn("owner", F.lit(None).cast("string")).unionByName(members).withColumn("seq", F.col("start"))
-    body = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), F.col("start"), F.col("end") - F.col("start") + 1), "\n")
-    return every.join(files.select("path", "text"), "path").withColumn("content_hash", short_hash(body)).drop("text")
+
+def exported_symbols(files: DataFrame) -> DataFrame:
+    """The ``symbols`` that are no members."""
+    return symbols(files).filter("owner is null")
 
 
 # What a relative specifier may stand for, best first.
@@ -258,53 +239,49 @@ def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
     return known.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
 
 
-def specifiers(files: DataFrame) -> DataFrame:
-    """path, clause and spec of every import or re-export from a relative path."""
-    pattern = r"(?m)^\s*(?:import|export)\b([^'\";]*?)(?:from\s*)?['\"](\.{1,2}/[^'\"]*|\.{1,2})['\"]"
-    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    rows = files.select("path", F.explode(F.array_distinct(whole)).alias("s"))
-    return rows.select("path", "s", F.regexp_extract("s", pattern, 1).alias("clause"), F.regexp_extract("s", pattern, 2).alias("spec"))
+def specifiers(declared: DataFrame, files: DataFrame) -> DataFrame:
+    """path, kind, name, given and target of the imports and re-exports among ``declared`` that lead from a relative path to a known file."""
+    rows = declared.filter(F.col("kind").isin("import", "reexport") & F.col("spec").startswith(".")).select("path", "kind", "name", "given", "spec")
+    return rows.join(resolved(rows, files), ["path", "spec"]).drop("spec")
+
+
+def unresolved_specifiers(declared: DataFrame, files: DataFrame) -> DataFrame:
+    """path, kind and spec of relative imports and re-exports that lead to no known file."""
+    rows = declared.filter(F.col("kind").isin("import", "reexport") & F.col("spec").startswith(".")).select("path", "kind", "spec").distinct()
+    return rows.join(resolved(rows, files), ["path", "spec"], "anti")
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """source and target file ids of relative imports and re-exports that lead to a known file."""
-    best = resolved(specifiers(files), files)
-    return best.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
+    found = specifiers(declarations(files) if declared is None else declared, files)
+    return found.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
-def named_imports(files: DataFrame) -> DataFrame:
+def named_imports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """source and target ids of imports at symbol grain.
 
     Named and default imports lead to symbols, namespace, bare and star forms to
-    the file.  A re-exported name leads from the symbol that it makes here.
+    the file.  A re-exported name leads from the symbol that it makes here; a
+    namespace that is handed on leads from the file and from its symbol.
     """
-    rows = specifiers(files)
-    rows = rows.join(resolved(rows, files), ["path", "spec"])
-    braces = F.regexp_extract("clause", r"\{([^}]*)\}", 1)
-    each = F.filter(F.transform(F.split(braces, ","), lambda e: F.trim(F.regexp_replace(e, r"^\s*type\s+", ""))), lambda e: e != "")
-    first = F.regexp_extract("clause", r"^\s*(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|$|\s+from)", 1)
-    onward = F.col("s").rlike(r"^\s*export\b")
-    default = F.when(~onward & (first != "") & ~first.isin("type"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
-    names = F.concat(each, default)
-    parts = rows.select("path", "target", onward.alias("onward"), F.explode_outer(F.when(F.size(names) > 0, names)).alias("e"))
-    name, given = F.regexp_extract("e", r"^([A-Za-z_$][\w$]*)", 1), F.regexp_extract("e", r"([A-Za-z_$][\w$]*)$", 1)
+    found = specifiers(declarations(files) if declared is None else declared, files)
     here, there = F.concat(F.lit("file:"), "path"), F.concat(F.lit("file:"), "target")
-    source = F.when(F.col("onward") & F.col("e").isNotNull(), F.concat(F.lit("symbol:"), "path", F.lit("#"), given)).otherwise(here)
-    target = F.when(F.col("e").isNotNull(), F.concat(F.lit("symbol:"), "target", F.lit("#"), name)).otherwise(there)
-    return parts.select(source.alias("source"), target.alias("target")).distinct()
+    symbol = lambda path, name: F.concat(F.lit("symbol:"), path, F.lit("#"), name)
+    onward, space = (F.col("kind") == "reexport") & F.col("given").isNotNull(), F.col("name").eqNullSafe("*")
+    source = F.when(onward, symbol("path", "given")).otherwise(here)
+    target = F.when(F.col("name").isNull() | space, there).otherwise(symbol("target", "name"))
+    return found.select(source.alias("source"), target.alias("target")).union(found.filter(onward & space).select(here, there)).distinct()
 
 
-def reexports(files: DataFrame) -> DataFrame:
-    """path, name, id and content_hash of the symbols that ``export { a as b } from`` makes: the hash is of target, origin and name."""
-    rows = specifiers(files).filter(F.col("s").rlike(r"^\s*export\b"))
-    rows = rows.join(resolved(rows, files), ["path", "spec"])
-    each = rows.select("path", "target", F.explode(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")).alias("e")).withColumn("e", F.trim(F.regexp_replace("e", r"^\s*type\s+", "")))
-    origin, name = F.regexp_extract("e", r"^([A-Za-z_$][\w$]*)", 1), F.regexp_extract("e", r"([A-Za-z_$][\w$]*)$", 1)
-    id_ = F.concat(F.lit("symbol:"), "path", F.lit("#"), name)
-    return each.filter("e <> ''").select("path", name.alias("name"), id_.alias("id"), short_hash(F.concat_ws("\0", "target", origin, name)).alias("content_hash")).distinct()
+def reexports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """path, name, id and content_hash of the symbols that re-exports make: the hash is of target, origin (``*`` for a namespace) and name."""
+    found = specifiers(declarations(files) if declared is None else declared, files).filter("kind = 'reexport' and given is not null")
+    id_ = F.concat(F.lit("symbol:"), "path", F.lit("#"), "given")
+    hashed = short_hash(F.concat_ws("\0", "target", "name", "given"))
+    # The first of a name by origin stays.
+    return found.groupBy("path", "given").agg(F.min(F.struct("target", "name")).alias("o")).select("path", "given", "o.*").select("path", F.col("given").alias("name"), id_.alias("id"), hashed.alias("content_hash"))
 
 
-def star_exports(files: DataFrame) -> DataFrame:
+def star_exports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """path and target of ``export * from``."""
-    rows = specifiers(files).filter(F.col("s").rlike(r"^\s*export\s*\*\s*from\b"))
-    return resolved(rows, files).select("path", "target")
+    return specifiers(declarations(files) if declared is None else declared, files).filter("kind = 'reexport' and name is null").select("path", "target").distinct()

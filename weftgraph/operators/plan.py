@@ -5,38 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import mentions, plain_path
+from ..functions.ids import index_mentions, plain_path
 from ..graph import Graph, stored
 from . import traverse
 
-# The input format's section header, checklist item and path with symbol.
+# The input format of section headers, headings, checklist items, list entries, the note behind an entry,
+# tasks, paths with a symbol and loose paths.
 HEADER = r"^Files:[ \t]*(.*)$"
+TITLE = r"^#+\s"
 CHECKBOX = r"^\s*[-*]\s+\[[ xX]\]"
+BULLET = r"^\s*[-*]\s+(.+?)\s*$"
+NOTE = r"\s*\([^)]*\)\s*$"
+TASK = r"^(?:#+|\s*[-*]\s+\[[ xX]\])\s+(T?\d+(?:\.\d+)*)\b"
 PATH_SYMBOL = r"^([^:\s]+\.\w+):([^\s,()]+)$"
+LOOSE = r"(?<![\w./-])[\w./-]+\.\w+(?![\w./-])"
 
 
 def _lines(plans: DataFrame) -> DataFrame:
     """plan, n, line and the Files: header (its line number) in whose scope the line lies, else null.
 
-    A scope ends at a heading, a checklist item or the second of two blank lines.
+    A scope ends at a heading, a checklist item or the second of two blank lines;
+    a header inside a scope is a line like others.
     """
     rows = plans.select("plan", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("plan", (F.col("i") + 1).alias("n"), "line")
     order = Window.partitionBy("plan").orderBy("n")
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
     blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
-    header = F.col("line").rlike(HEADER)
     twice = blank & F.coalesce(F.lag(blank).over(order), F.lit(False))
-    event = F.when(header, F.col("n")).when(F.col("line").rlike(r"^#+\s") | F.col("line").rlike(CHECKBOX) | twice, F.lit(0))
-    marked = rows.withColumn("event", event)
-    return marked.withColumn("scope", F.nullif(F.last("event", True).over(order), F.lit(0)))
+    event = F.when(F.col("line").rlike(HEADER), F.col("n")).when(F.col("line").rlike(TITLE) | F.col("line").rlike(CHECKBOX) | twice, F.lit(0))
+    marked = rows.withColumn("event", event).withColumn("before", F.last("event", True).over(above))
+    marked = marked.withColumn("event", F.when(~((F.col("event") > 0) & (F.coalesce("before", F.lit(0)) > 0)), F.col("event")))
+    return marked.withColumn("scope", F.nullif(F.last("event", True).over(order), F.lit(0))).drop("event", "before")
 
 
 def section_entries(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries (plan, path, symbol, line) of ``Files:`` sections of ``plans(plan, text)``, and paths that are absolute or leave the root."""
     lines = _lines(plans).filter("scope is not null")
     tail = F.regexp_replace(F.trim(F.regexp_extract("line", HEADER, 1)), r"[.;]\s*$", "")
-    bullet = F.array(F.when(F.ltrim("line").rlike("^[-*][ \t]"), F.trim(F.substring(F.ltrim("line"), 2, 1_000_000))).otherwise(""))
-    pieces = F.when(F.col("n") == F.col("scope"), F.split(tail, ",")).otherwise(bullet)
-    raw = F.explode(F.transform(pieces, lambda p: F.when(F.trim(p).endswith(")"), F.trim(F.regexp_extract(F.trim(p), "^([^(]*)", 1))).otherwise(F.trim(p))))
+    pieces = F.when(F.col("n") == F.col("scope"), F.split(tail, ",")).otherwise(F.array(F.regexp_extract("line", BULLET, 1)))
+    raw = F.explode(F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.trim(p), NOTE, ""))))
     found = lines.select("plan", F.col("n").alias("line"), raw.alias("raw")).filter("raw <> ''")
     symbol = F.nullif(F.regexp_extract("raw", PATH_SYMBOL, 2), F.lit(""))
     named = found.withColumn("symbol", symbol).withColumn("given", F.when(F.col("symbol").isNotNull(), F.regexp_extract("raw", PATH_SYMBOL, 1)).otherwise(F.col("raw")))
@@ -47,8 +54,7 @@ def section_entries(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def loose_entries(plans: DataFrame, known: DataFrame) -> DataFrame:
     """Path-shaped tokens anywhere in the text that are ``known(path)``: the fallback of plans without section entries."""
-    words = F.filter(F.split("line", r"[^A-Za-z0-9_./-]+"), lambda w: w.rlike(r"\.[A-Za-z0-9_]+$"))
-    rows = plans.select("plan", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("plan", (F.col("i") + 1).alias("line"), F.explode(words).alias("path"))
+    rows = plans.select("plan", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("plan", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("line", F.lit(LOOSE), F.lit(0))).alias("path"))
     first = rows.groupBy("plan", "path").agg(F.min("line").alias("line"))
     return first.join(known.select("path").distinct(), "path", "semi").select("plan", "path", F.lit(None).cast("string").alias("symbol"), "line")
 
@@ -64,12 +70,8 @@ def entries(plans: DataFrame, graph: Graph) -> DataFrame:
 def task_blocks(plans: DataFrame) -> DataFrame:
     """plan, task_id, line and has_files of task headings and checklist items; a block ends at the next task or heading."""
     lines = _lines(plans)
-    # A heading or checklist item whose first word is a number in dots, a T before it or not.
-    opened = F.regexp_replace("line", rf"^#+|{CHECKBOX}", "")
-    word = F.regexp_extract(opened, r"^\s+(\w[\w.]*)", 1)
-    plain = F.rtrim(word, F.lit("."))
-    task = F.when((opened != F.col("line")) & F.ltrim(plain, F.lit("T")).rlike(r"^\d+(\.\d+)*$") & ~plain.startswith("TT"), plain).otherwise("")
-    stop = (F.col("task") != "") | F.col("line").rlike(r"^#+\s")
+    task = F.regexp_extract("line", TASK, 1)
+    stop = (F.col("task") != "") | F.col("line").rlike(TITLE)
     order = Window.partitionBy("plan").orderBy("n")
     held = lines.withColumn("task", task).withColumn("own", F.last(F.when(stop, F.struct("n", "task")), True).over(order)).filter("own.task <> ''")
     return held.groupBy("plan", F.col("own.task").alias("task_id"), F.col("own.n").alias("line")).agg(F.max(F.col("line").rlike(HEADER) & (F.col("n") > F.col("own.n"))).alias("has_files"))
@@ -96,16 +98,23 @@ def touched(found: DataFrame, graph: Graph) -> DataFrame:
     return starts.join(claims, "source").join(reqs, "req_id", "semi").select("plan", "path", "symbol", "req_id").distinct()
 
 
+def with_mentions(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """``rows(plan, req_id)`` with mentioned: whether the plan's text names the requirement."""
+    rows = stored(rows)
+    said = index_mentions(plans, rows, "plan", "req_id").withColumn("mentioned", F.lit(True))
+    return rows.join(said, ["plan", "req_id"], "left").withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))
+
+
 def plan_coverage(plans: DataFrame, graph: Graph, ignored: DataFrame | None = None) -> DataFrame:
     """plan, req_id, mentioned and locations: every requirement that a plan's files implement, and whether its text mentions it.
 
-    ``ignored(req_id)`` are left out unless mentioned.  Only (plan, requirement)
-    rows meet the plan's text, by an equi-join on plan.
+    ``ignored(req_id)`` are left out unless mentioned.  Texts are cut into runs of
+    words once and met by the ids there; they are in no other join.
     """
     hits = touched(entries(plans, graph), graph)
     location = F.concat("path", F.coalesce(F.concat(F.lit(":"), "symbol"), F.lit("")))
     per = hits.groupBy("plan", "req_id").agg(F.array_sort(F.collect_set(location)).alias("locations"))
-    out = per.join(plans.select("plan", "text"), "plan").withColumn("mentioned", mentions(F.col("text"), F.col("req_id"))).drop("text")
+    out = with_mentions(per, plans)
     if ignored is not None:
         out = out.join(ignored.select("req_id", F.lit(True).alias("skip")), "req_id", "left").filter("skip is null or mentioned").drop("skip")
     return out.select("plan", "req_id", "mentioned", "locations")
@@ -144,9 +153,7 @@ def implicit_impacts(plans: DataFrame, impacts: DataFrame, ignored: DataFrame |
     neither mentions nor ignores, those that it implements, and the difference as
     drift; empty groups go.
     """
-    texts = plans.select("plan", "text")
-    affected = impacts.select("plan", F.explode("impact").alias("req_id")).distinct().join(texts, "plan")
-    affected = affected.select("plan", "req_id", mentions(F.col("text"), F.col("req_id")).alias("mentioned"))
+    affected = with_mentions(impacts.select("plan", F.explode("impact").alias("req_id")).distinct(), plans)
     if ignored is None:
         affected = affected.withColumn("ignored", F.lit(False))
     else:

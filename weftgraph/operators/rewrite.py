@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .extract import BLANK, lines_of
+from .extract import BLANK, FENCE
 
 
 def bounded(id_: str, free: str = "") -> str:
@@ -34,42 +34,85 @@ QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
 LISTED = r"\(\s*(?:depends_on|derives_from)\s*:[^()]*\)"
 
 
-def rename_in_text(files: DataFrame, old: str, new: str) -> DataFrame:
-    """``files(path, text)`` with text rewritten and n_changes, the number of lines that differ.
+# Extensions of code, and what stands for a requirement that is yet to be written.
+CODE = r"(?i)\.(?:tsx?|jsx?)$"
+SCAFFOLD = "(TODO: describe this requirement)"
+BREAK = r"(?<=\n)|(?<=\r)(?!\n)"
+
+
+def kept_lines(files: DataFrame) -> DataFrame:
+    """path, n, line, eol (its own line end) and in_fence of every file, null texts as one empty line with gone set."""
+    raw = F.split(F.coalesce("text", F.lit("")), BREAK)
+    rows = files.select("path", F.col("text").isNull().alias("gone"), F.posexplode(raw).alias("i", "raw"))
+    rows = rows.select("path", "gone", (F.col("i") + 1).alias("n"), F.regexp_replace("raw", r"\r?\n$|\r$", "").alias("line"), F.regexp_extract("raw", r"(\r?\n|\r)$", 1).alias("eol"))
+    fence = F.col("line").rlike(FENCE)
+    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("in_fence", fence | (F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1))
+
+
+def whole_text(rows: DataFrame, parts: Column, last: Column | None = None) -> DataFrame:
+    """path and text put together from lines: ``parts`` are what stands in place of a line, ``last`` what follows the file; between lines stand their own ends."""
+    listed = F.array_sort(F.collect_list(F.struct("n", parts.alias("new"), "eol")))
+    style = F.when(F.max(F.col("eol") == "\r\n"), "\r\n").otherwise("\n")
+    text = rows.groupBy("path").agg(listed.alias("rows"), style.alias("style"), F.max("gone").alias("gone"), *([] if last is None else [last.alias("last")]))
+    lines = F.flatten(F.transform("rows", lambda r: F.transform(r["new"], lambda x: F.struct(x.alias("line"), r["eol"].alias("eol")))))
+    if last is not None:
+        lines = F.concat(lines, F.transform("last", lambda x: F.struct(x.alias("line"), F.lit("").alias("eol"))))
+    text = text.withColumn("lines", lines)
+    ended = lambda x, i: F.concat(x["line"], F.when(i == F.size("lines") - 1, "").otherwise(F.coalesce(F.nullif(x["eol"], F.lit("")), "style")))
+    return text.select("path", F.when(~F.col("gone"), F.array_join(F.transform("lines", ended), "")).alias("text"))
+
+
+def renamed_lines(files: DataFrame, old: str, new: str) -> DataFrame:
+    """The lines of ``files(path, text)`` with new: each with its definitions, references and tags of ``old`` rewritten.
 
     In Markdown: definitions in list items and ``Requirement N`` headings, entries
     of annotations, and relations of the front matter; fenced code, block quotes,
-    code spans and comments stay.  In other files: ``// @impl`` lists outside
-    strings, ``[ID]`` and ``req: "ID"`` tags.  Prose is never touched, and every
-    entry of a list is, however long it is.
+    code spans and comments stay.  In code: ``// @impl`` lists outside strings,
+    ``[ID]`` and ``req: "ID"`` tags.  Other files and prose are never touched, and
+    every entry of a list is, however long it is.
     """
-    lines = lines_of(files)
+    lines = kept_lines(files)
     head = r"^---[ \t]*$"
     order = Window.partitionBy("path").orderBy("n")
     fences = F.sum(F.col("line").rlike(head).cast("int")).over(order)
     opens = F.first(F.col("line").rlike(head)).over(order)
-    lines = lines.withColumn("front", opens & (fences == 1)).withColumn("markdown", F.col("path").rlike(r"(?i)\.md$"))
+    lines = lines.withColumn("front", opens & (fences == 1))
     line = F.col("line")
-    item = rf"^(\s*[-*+]\s+(?:\*\*)?){bounded(old, ':')}(?=(?:\*\*)?[:\s]|$)"
+    item = rf"^(\s*[-*]\s+(?:\*\*)?){bounded(old, ':')}(?=(?:\*\*)?[:\s]|$)"
     to = new.replace("\\", r"\\").replace("$", r"\$")
     own = F.regexp_replace(line, item, f"$1{to}")
     numbers = [re.fullmatch(r"Requirement-(\d+)", x) for x in (old, new)]
     if all(numbers):
-        own = F.regexp_replace(own, rf"^(?<head>#{{1,6}}\s+Requirement\s+){numbers[0][1]}(?=\s*(?::|$))", f"${{head}}{numbers[1][1]}")
+        own = F.regexp_replace(own, rf"^(?<head>#{{1,6}}\s+Requirement\s+){numbers[0][1]}(?=\s*(?::|$|#+[ \t]*$))", f"${{head}}{numbers[1][1]}")
     spec = within(own, LISTED, [r"(`+)(?:(?!`).)+?\1(?!`)", "<!--.*?-->"], old, new)
     matter = F.when(line.rlike(r"^\s*(?:-\s|node_id:|derives_from:|depends_on:)"), swap(line, old, new)).otherwise(line)
     markdown = F.when(F.col("front"), matter).when(F.col("in_fence") | line.rlike(r"^\s{0,3}>"), line).otherwise(spec)
     tag = rf"//{BLANK}*@impl{BLANK}[^\n]*"
     code = within(line, tag, [QUOTED], old, new)
     code = F.regexp_replace(F.regexp_replace(code, rf"(\[){re.escape(old)}(?=\])", f"$1{to}"), rf"(req:\s*[\"']?)(?<![\w/-]){re.escape(old)}(?![\w/-])", f"$1{to}")
-    done = lines.withColumn("new", F.when(F.col("markdown"), markdown).otherwise(code))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]), "\n")
-    return done.groupBy("path").agg(body.alias("text"), F.count_if(F.col("new") != F.col("line")).alias("n_changes"))
+    return lines.withColumn("new", F.when(F.col("path").rlike(r"(?i)\.md$"), markdown).when(F.col("path").rlike(CODE), code).otherwise(line))
+
+
+def rename_in_text(files: DataFrame, old: str, new: str) -> DataFrame:
+    """``files(path, text)`` with text rewritten as ``renamed_lines`` says and n_changes, the number of lines that differ.
+
+    What is not rewritten stays byte for byte, line ends included; null texts stay
+    null.
+    """
+    done = renamed_lines(files, old, new)
+    count = done.groupBy("path").agg(F.count_if(F.col("new") != F.col("line")).alias("n_changes"))
+    return whole_text(done, F.array("new")).join(count, "path")
+
+
+def rename_changes(files: DataFrame, old: str, new: str) -> DataFrame:
+    """path, line, before and after of every line that a rename rewrites."""
+    return renamed_lines(files, old, new).filter("new <> line").select("path", F.col("n").alias("line"), F.col("line").alias("before"), F.col("new").alias("after"))
 
 
 def expand_relations(files: DataFrame, old: str, new: list[str]) -> DataFrame:
     """``files(path, text)`` with each entry ``old`` in the front matter's relations replaced by all of ``new``, as when an id is split."""
-    block = r"\A(---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|\z))"
+    block = r"\A(\uFEFF?---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|\z))"
     front = F.regexp_extract("text", block, 1)
     quoted = rf"[\"']?{re.escape(old)}[\"']?"
     rows = F.regexp_replace(front, rf"(?m)^([ \t]*-[ \t]+){quoted}[ \t]*$", "\n".join(f"$1{n}" for n in new))
@@ -79,30 +122,34 @@ def expand_relations(files: DataFrame, old: str, new: list[str]) -> DataFrame:
 
 
 def split_definition(files: DataFrame, old: str, new: list[str]) -> DataFrame:
-    """``files`` with the list item that defines ``old`` repeated for each of ``new``, relations fanned out; fenced code stays."""
-    return _definitions(expand_relations(files, old, new), [old], new)
+    """``files`` in which each file that defines ``old`` has an item to be written for each of ``new`` at its end instead; relations fan out."""
+    if not new:
+        raise ValueError("a definition is split into one id at least")
+    return expand_relations(_without_definitions(files, [old], new), old, new)
 
 
-def merge_definitions(files: DataFrame, old: list[str], new: str) -> DataFrame:
-    """``files`` with the items that define any of ``old`` gone but for the first, which defines ``new``; relations follow."""
-    out = _definitions(files, old, [new])
+def merge_definitions(files: DataFrame, old: list[str], new: str, exists: bool = False) -> DataFrame:
+    """``files`` without the definitions of ``old``; relations go to ``new``.
+
+    If ``new`` does not exist yet, each file that lost a definition has an item to
+    be written for it at its end.
+    """
+    out = _without_definitions(files, [x for x in old if x != new], [] if exists else [new])
     for id_ in old:
         out = expand_relations(out, id_, [new])
     return out
 
 
-def _definitions(files: DataFrame, old: list[str], new: list[str]) -> DataFrame:
-    """The first item that defines one of ``old`` becomes an item for each of ``new``; the others go."""
-    lines = lines_of(files)
+def _without_definitions(files: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    """Every file on its own: the lines outside fences that define one of ``old`` go, and if there were any, items of ``new`` come last."""
     any_ = "|".join(map(re.escape, old))
-    item = rf"^(\s*[-*+]\s+(?:\*\*)?)(?:{any_})(?=(?:\*\*)?[:\s])"
-    hit = ~F.col("in_fence") & F.col("line").rlike(item)
-    firsts = lines.filter(hit).groupBy().agg(F.min(F.struct("path", "n")).alias("first"))
-    marked = lines.withColumn("hit", hit).join(F.broadcast(firsts), F.lit(True), "left")  # one row
-    made = F.array(*[F.regexp_replace("line", item, f"$1{n}") for n in new])
-    out = F.when(~F.col("hit"), F.array("line")).when(F.struct("path", "n") == F.col("first"), made).otherwise(F.array().cast("array<string>"))
-    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", out.alias("new")))), lambda x: x["new"])), "\n")
-    return marked.groupBy("path").agg(body.alias("text"))
+    numbers = "|".join(m[1] for x in old if (m := re.fullmatch(r"Requirement-(\d+)", x)))
+    defines = rf"^\s*[-*]\s+(?:\*\*)?(?:{any_})(?:\*\*)?[:\s]" + (rf"|^#{{1,6}}\s+Requirement\s+(?:{numbers})\s*(?::|$|#+[ \t]*$)" if numbers else "")
+    hit = ~F.col("in_fence") & F.col("line").rlike(defines) & F.col("path").rlike(r"(?i)\.md$")
+    marked = kept_lines(files).withColumn("hit", hit)
+    none = F.array().cast("array<string>")
+    scaffold = F.array(*[F.lit(f"- {n}: {SCAFFOLD}") for n in new]) if new else none
+    return whole_text(marked, F.when(F.col("hit"), none).otherwise(F.array("line")), F.when(F.max("hit"), scaffold).otherwise(none))
 
 
 def rename_in_titles(tests: DataFrame, old: str, new: str) -> DataFrame:

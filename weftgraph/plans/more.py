@@ -29,7 +29,7 @@ def built(spark, d):
 @query(
     "SELECT 'doc:p' || (k // 20) || '.md' AS source, 'REQ-' || k AS target, 'contains' AS kind, 'structural' AS provenances FROM spec "
     "UNION ALL SELECT 'REQ-' || k, 'REQ-' || (k + 1), 'depends_on', 'annotation' FROM spec WHERE k % 3 = 0 "
-    "UNION SELECT 'file:src/o' || o_orderkey || '.ts', 'REQ-' || (o_custkey + i), 'implements', 'code-tag' FROM orders, (VALUES (0), (1)) v(i) "
+    "UNION SELECT 'symbol:src/o' || o_orderkey || '.ts#f' || o_orderkey, 'REQ-' || (o_custkey + i), 'implements', 'code-tag' FROM orders, (VALUES (0), (1)) v(i) "
     "UNION SELECT 'file:src/o' || a.o_orderkey || '.ts', 'file:src/o' || b.o_orderkey || '.ts', 'imports', 'ts-import' FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1",
     BUILT,
 )
@@ -38,7 +38,7 @@ def built_edges(spark, d):
 
 
 @query(
-    "SELECT 'REQ-' || k AS id, 'req' AS kind, file_path, substr(sha256(item), 1, 16) AS content_hash FROM spec "
+    "SELECT 'REQ-' || k AS id, 'req' AS kind, file_path, substr(sha256(label), 1, 16) AS content_hash FROM spec "
     "UNION ALL SELECT 'file:src/o' || o_orderkey || '.ts', 'file', 'src/o' || o_orderkey || '.ts', NULL FROM orders "
     "UNION ALL SELECT 'symbol:src/o' || o_orderkey || '.ts#f' || o_orderkey, 'symbol', 'src/o' || o_orderkey || '.ts', NULL FROM orders "
     "UNION ALL SELECT DISTINCT 'doc:p' || (k // 20) || '.md', 'doc', file_path, NULL FROM spec",
@@ -52,7 +52,8 @@ def built_nodes(spark, d):
 @query(
     "SELECT 'invalid-annotation-id' AS type, 'no id' AS id, file_path AS file FROM spec WHERE k % 3 = 0 "
     "UNION SELECT 'orphan-edge', 'REQ-' || (k + 1), file_path FROM spec WHERE k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM known WHERE known.id = 'REQ-' || (k + 1)) "
-    "UNION SELECT 'phantom-import-repaired', 'symbol:src/o' || b.o_orderkey || '.ts#a', 'src/o' || a.o_orderkey || '.ts' FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1",
+    "UNION SELECT 'phantom-import-repaired', 'symbol:src/o' || b.o_orderkey || '.ts#a', 'src/o' || a.o_orderkey || '.ts' FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 "
+    "UNION SELECT 'unresolved-import', './o' || (a.o_orderkey + 1), 'src/o' || a.o_orderkey || '.ts' FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = a.o_orderkey + 1)",
     BUILT,
 )
 def built_warnings(spark, d):

@@ -31,10 +31,10 @@ def specs(spark, d) -> DataFrame:
     return gathered(P.table(spark, d, "customer").select(path.alias("key"), k.alias("k"), line.alias("line")), "key", "# Part\n\n```\n- REQ-1: code\n```\n")
 
 
-SPEC = ", spec AS (SELECT c_custkey AS k, 'specs/p' || (c_custkey // 20) || '.md' AS file_path, '**REQ-' || c_custkey || '**: ' || c_name || ' ' || c_mktsegment AS item, row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) + 5 AS line FROM customer)"
+SPEC = ", spec AS (SELECT c_custkey AS k, 'specs/p' || (c_custkey // 20) || '.md' AS file_path, '**REQ-' || c_custkey || '**: ' || c_name || ' ' || c_mktsegment AS item, 'REQ-' || c_custkey || ': ' || c_name || ' ' || c_mktsegment AS label, row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) + 5 AS line FROM customer)"
 
 
-@query("SELECT 'REQ-' || k AS id, file_path, line, substr(sha256(item), 1, 16) AS content_hash FROM spec", SPEC)
+@query("SELECT 'REQ-' || k AS id, file_path, line, substr(sha256(label), 1, 16) AS content_hash FROM spec", SPEC)
 def spec_requirements(spark, d):
     return extract.requirements(specs(spark, d)).select("id", "file_path", F.col("line").cast("long").alias("line"), "content_hash")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from xml.etree.ElementTree import ParseError, XMLPullParser
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import inherited_tags, title_tags
 
+# Field names of JSON reports.
 JSON_REPORT = "testResults array<struct<name:string,assertionResults:array<struct<ancestorTitles:array<string>,title:string,status:string>>>>"
 
 
@@ -20,43 +26,43 @@ def json_results(reports: DataFrame) -> DataFrame:
     return tests.select(F.explode(inherited_tags(name, F.col("t.ancestorTitles"))).alias("req_id"), name.alias("test_name"), passed.alias("passed"))
 
 
-CASE = "array<struct<_name:string,failure:array<string>,error:array<string>,skipped:array<string>>>"
-DEPTH = 4  # suites inside suites that are read
-
-
-def suite_type(depth: int) -> str:
-    inner = f",testsuite:array<{suite_type(depth - 1)}>" if depth > 1 else ""
-    return f"struct<_name:string,testcase:{CASE}{inner}>"
+def junit_cases(text: str) -> list[tuple[list[str], str, bool]]:
+    """Cases of a JUnit report: names of the suites around it, outermost first, its name, and whether it passed; none if it is malformed."""
+    reader = XMLPullParser(("start", "end"))
+    suites, cases = [], []
+    try:
+        reader.feed(re.sub(r"^\s*<\?xml[^>]*\?>", "", text))
+        reader.close()
+        for event, e in reader.read_events():
+            if event == "start" and e.tag == "testsuite":
+                suites.append(e.get("name", ""))
+            elif event == "end" and e.tag == "testsuite":
+                suites.pop()
+            elif event == "end" and e.tag == "testcase" and suites:
+                cases.append((list(suites), e.get("name", ""), all(e.find(bad) is None for bad in ("failure", "error", "skipped"))))
+    except ParseError:
+        return []
+    return cases
 
 
 def junit_results(reports: DataFrame) -> DataFrame:
     """Records of JUnit reports in ``text``; malformed reports have none.
 
     A case with a failure, error or skipped child has not passed; a case without
-    tags has those of the nearest suite around it that has some.  Suites are read
-    ``DEPTH`` deep, and what CDATA holds is text.
+    tags has those of the nearest suite around it that has some, however deep
+    suites lie in suites.
     """
-    # Blank text stands in for empty children, which would otherwise read as null.
-    text = F.regexp_replace(F.regexp_replace("text", r"<(failure|error|skipped)\b([^>]*?)/>", "<$1$2>-</$1>"), r"<(failure|error|skipped)\b([^>]*)></\1>", "<$1$2>-</$1>")
-    wrapped = F.concat(F.lit("<all>"), F.regexp_replace(text, r"<\?xml[^>]*\?>|<!DOCTYPE[^>]*>", ""), F.lit("</all>"))
-    top = f"testsuites array<struct<testsuite:array<{suite_type(DEPTH)}>>>, testsuite array<{suite_type(DEPTH)}>"
-    parsed = reports.select(F.from_xml(wrapped, top, {"nullValue": "", "ignoreSurroundingSpaces": "true"}).alias("r"))
-    none = F.array().cast(f"array<{suite_type(DEPTH)}>")
-    listed = F.flatten(F.transform(F.coalesce(F.col("r.testsuites"), F.array().cast(f"array<struct<testsuite:array<{suite_type(DEPTH)}>>>")), lambda s: F.coalesce(s["testsuite"], none)))
-    level = parsed.select(F.array().cast("array<string>").alias("above"), F.explode(F.concat(listed, F.coalesce(F.col("r.testsuite"), none))).alias("s"))
-    parts = []
-    for depth in range(DEPTH, 0, -1):
-        own = title_tags(F.col("s._name"))
-        level = level.withColumn("above", F.when(F.size(own) > 0, own).otherwise(F.col("above")))
-        parts.append(level.select("above", F.explode("s.testcase").alias("c")))
-        if depth > 1:
-            level = level.select("above", F.explode("s.testsuite").alias("s"))
-    cases = parts[0]
-    for part in parts[1:]:
-        cases = cases.unionByName(part)
-    name = F.coalesce("c._name", F.lit(""))
-    own, bad = title_tags(name), F.coalesce("c.failure", "c.error", "c.skipped").isNotNull()
-    return cases.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.col("above"))).alias("req_id"), name.alias("test_name"), (~bad).alias("passed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c for text in batch.column("text").to_pylist() if text for c in junit_cases(text)]
+            above, names, passed = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(above, pa.list_(pa.string())), pa.array(names, pa.string()), pa.array(passed, pa.bool_())], ["above", "test_name", "passed"])
+
+    cases = reports.select("text").mapInArrow(run, "above array<string>, test_name string, passed boolean")
+    tagged = F.filter(F.transform("above", title_tags), lambda t: F.size(t) > 0)
+    own, near = title_tags(F.col("test_name")), F.coalesce(F.try_element_at(tagged, F.lit(-1)), F.array().cast("array<string>"))
+    return cases.select(F.explode(F.when(F.size(own) > 0, own).otherwise(near)).alias("req_id"), "test_name", "passed")
 
 
 def read_results(reports: DataFrame) -> DataFrame:
