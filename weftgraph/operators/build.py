@@ -16,6 +16,7 @@ from . import extract
 from .blocks import blocks
 from .canonical import annotation_targets, collisions, contains_edges, convention_edges, dedup_edges, enclosing_symbols, last_nodes, suffixes
 from .declarations import declarations
+from .evidence import evidence_edges
 from .stars import providers
 
 
@@ -40,6 +41,13 @@ class Layout:
     conventions: tuple[extract.Convention, ...] = extract.CONVENTIONS
 
 
+# Fields of the front matter that a document's node carries.
+METADATA = ("title", "status", "priority", "owner")
+# Prefixes of ids that the build makes itself, and how many paths a warning names.
+RESERVED = ("doc:", "file:", "test:", "symbol:")
+SAMPLES = 5
+
+
 def spec_dir_of(path: Column, spec_dirs: tuple[str, ...]) -> Column:
     """The directory below a specification root that a file lies in; for a file right in a root, its own directory's name."""
     own = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
@@ -89,14 +97,16 @@ def repair_imports(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
     return repaired, told.distinct()
 
 
-def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None = None) -> tuple[Graph, DataFrame]:  # noqa: B008
+def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None = None, evidence: DataFrame | None = None) -> tuple[Graph, DataFrame]:  # noqa: B008
     """The graph of ``files(path, text)`` and its warnings (type, id, file).
 
     Specifications give documents, requirements and tasks, annotations, relations
     of the front matter and links; code gives files, tests, symbols, tags and
     imports.  Ids that two specification directories define are qualified by
     theirs.  With ``kept`` only files that are not in that folder yet are parsed,
-    and what is read of them is kept there.  The order is: definitions, ids, relations, code, star exports,
+    and what is read of them is kept there.  ``evidence(req_id, node_id)`` is
+    merged in last: it confirms claims and else makes edges of its own.  Documents
+    carry title, status, priority and owner as metadata.  The order is: definitions, ids, relations, code, star exports,
     repair of imports, structure and conventions, links, canonical form.
     """
     in_spec = F.lit(False)
@@ -123,9 +133,11 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
 
     front = stored(extract.front_matter(specs, layout.key))
     rest = F.regexp_replace("path", rf"^(?:{'|'.join(map(re.escape, layout.spec_dirs))})/", "")
+    stated_fields = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in METADATA]), lambda e: e["value"].isNotNull())
+    metadata = F.when(F.size(stated_fields) > 0, F.map_from_entries(stated_fields))
     hashed = parts.filter("kind = 'document'").select("path", F.col("text").alias("doc_hash"))
     docs = specs.join(front, "path", "left").join(hashed, "path", "left").select(
-        F.coalesce("node_id", F.concat(F.lit("doc:"), rest)).alias("id"), F.lit("doc").alias("kind"), F.col("path").alias("file_path"), F.col("title").alias("label"), F.coalesce("doc_hash", short_hash(F.col("text"))).alias("content_hash")
+        F.coalesce("node_id", F.concat(F.lit("doc:"), rest)).alias("id"), F.lit("doc").alias("kind"), F.col("path").alias("file_path"), F.col("title").alias("label"), F.coalesce("doc_hash", short_hash(F.col("text"))).alias("content_hash"), metadata.alias("metadata")
     )
     docs = stored(docs)
     spec_nodes = defined.select(F.col("qualified_id").alias("id"), "kind", "file_path", "label", "content_hash", F.col("line"))
@@ -162,6 +174,14 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
     declared = kept.read(code.select("path", "text"), "declarations", declarations)[0] if kept else stored(declarations(code.select("path", "text")))
     tests = code.filter("is_test").select("path")
     own = declared.join(tests, "path", "anti")
+    # Installed packages are no sources: some of their paths are told, of each pool one at least.
+    packaged = code.filter(F.array_contains(F.split("path", "/"), "node_modules")).select("path", "is_test")
+    samples = packaged.groupBy("is_test").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("rank")).unionByName(packaged.select("path", F.lit(1).alias("rank")).orderBy("path").limit(SAMPLES))
+    samples = samples.groupBy("path").agg(F.min("rank").alias("rank")).orderBy("rank", "path").limit(SAMPLES)
+    warnings.append(warning(samples, "node-modules-in-scan", F.lit("node_modules"), F.col("path")))
+    reserved = F.col("id").rlike(rf"^(?:{'|'.join(RESERVED)})") | (F.col("id") == "_meta")
+    warnings.append(warning(defined.filter(reserved), "reserved-prefix", F.col("id"), F.col("file_path")))
+    warnings.append(warning(docs.filter("id = '_meta'"), "reserved-prefix", F.col("id"), F.col("file_path")))
     symbols = stored(extract.symbols(own)) if layout.grain == "symbol" else None
     tags = extract.implementation_tags(own, layout.token)
     if symbols is not None:
@@ -196,9 +216,9 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
         moved = edge_rows(extract.imports(code, declared), F.col("source"), F.col("target"), "imports", "ts-import")
         members = moved.limit(0)
 
-    every = docs.withColumn("line", F.lit(0).cast("long")).unionByName(spec_nodes)
+    every = docs.withColumn("line", F.lit(0).cast("long")).unionByName(spec_nodes, allowMissingColumns=True)
     for part in node_parts:
-        every = every.unionByName(part.withColumn("line", F.lit(0).cast("long")))
+        every = every.unionByName(part.withColumn("line", F.lit(0).cast("long")), allowMissingColumns=True)
     every = stored(every.withColumn("seq", F.struct("file_path", "line")).drop("line"))
     nodes, repeated = last_nodes(every)
     nodes = stored(nodes)
@@ -227,4 +247,7 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
     out = warnings[0]
     for more in warnings[1:]:
         out = out.unionByName(more)
-    return Graph(nodes, dedup_edges(plain.unionByName(linked))), out.distinct()
+    edges = plain.unionByName(linked)
+    if evidence is not None:
+        edges = edges.unionByName(evidence_edges(Graph(nodes, edges), evidence))
+    return Graph(nodes, dedup_edges(edges)), out.distinct()

@@ -111,18 +111,32 @@ def enclosing_symbols(tags: DataFrame, symbols: DataFrame) -> DataFrame:
     return tags.join(best, ["path", "line"], "left")
 
 
-# Viewer layer of each node kind.
-LAYERS = {"doc": "spec", "req": "spec", "file": "code", "symbol": "code", "test": "test"}
+# Viewer layer of each node kind; tasks are not shown.
+LAYERS = {"doc": "doc", "req": "req", "file": "code", "symbol": "code", "test": "test"}
 
 
-def viewer_rows(graph: Graph, coverage: DataFrame, drifted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (no tasks) with layer and state, and edges of which both ends are shown."""
+def viewer_rows(graph: Graph, drifted: DataFrame, orphaned: DataFrame, uncovered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (no tasks) with label, layer and state (drift, orphan, uncovered or ok, the first that fits), and edges of which both ends are shown.
+
+    The three tables have an id column each.  A node without a label is called by
+    its id (requirements), its name (symbols) or its file's name.
+    """
     layer = F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair])[F.col("kind")]
-    shown = graph.nodes.filter("kind <> 'task'").select("id", "kind", layer.alias("layer"))
-    state = shown.join(drifted.select(F.col("node_id").alias("id"), F.lit("drifted").alias("drift")).distinct(), "id", "left").join(
-        coverage.select(F.col("req_id").alias("id"), "status"), "id", "left"
-    )
-    nodes = state.select("id", "kind", "layer", F.coalesce("drift", "status", F.lit("ok")).alias("state"))
-    ids = shown.select("id")
+    name = F.when(F.startswith("id", F.concat(F.lit("symbol:"), "file_path", F.lit("#"))), F.substring(F.col("id"), F.length("file_path") + 9, F.length("id")))
+    file = F.regexp_extract("file_path", r"([^/]*)$", 1)
+    named = F.when(F.col("kind") == "req", F.col("id")).when(F.col("kind") == "symbol", F.when(name.rlike(r"[^\s\u200B-\u200D]"), name).otherwise(F.col("id"))).otherwise(F.coalesce(file, "id"))
+    shown = graph.nodes.filter("kind <> 'task'").select("id", F.coalesce(F.nullif(F.col("label"), F.lit("")), named).alias("label"), layer.alias("layer"), "kind", "file_path")
+    state = F.lit("ok")
+    for mark, ids in (("uncovered", uncovered), ("orphan", orphaned), ("drift", drifted)):
+        shown = shown.join(ids.select("id", F.lit(True).alias(mark)).distinct(), "id", "left")
+        state = F.when(F.col(mark), mark).otherwise(state)
+    nodes = shown.select("id", "label", "layer", "kind", state.alias("state"), "file_path")
+    ids = graph.nodes.filter("kind <> 'task'").select("id")
     edges = graph.edges.join(ids.withColumnRenamed("id", "source"), "source", "semi").join(ids.withColumnRenamed("id", "target"), "target", "semi")
-    return nodes, edges.select("source", "target", "kind")
+    return nodes, edges.select("source", "target", "kind", "provenances")
+
+
+def viewer_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: shown nodes and edges, and nodes in each state but ok."""
+    counts = nodes.agg(F.count("*").alias("nodes"), *[F.count_if(F.col("state") == s).alias(s) for s in ("drift", "orphan", "uncovered")])
+    return counts.crossJoin(edges.agg(F.count("*").alias("edges")))  # two single rows

@@ -38,6 +38,14 @@ def on_graph(graph: Graph, evidence: DataFrame) -> DataFrame:
     return here.union(gone.join(ids.withColumnRenamed("id", "node_id"), "node_id", "semi").select("req_id", "node_id")).distinct()
 
 
+def off_graph(graph: Graph, evidence: DataFrame) -> DataFrame:
+    """One row: pairs of ``evidence`` that were moved to their owning file, and pairs that are on no node at all."""
+    ids = graph.nodes.select("id")
+    gone = evidence.select("req_id", "node_id").distinct().join(ids.withColumnRenamed("id", "node_id"), "node_id", "anti").withColumn("owner", F.concat(F.lit("file:"), owner_path(F.col("node_id"))))
+    at = gone.join(ids.select(F.col("id").alias("owner"), F.lit(True).alias("there")), "owner", "left")
+    return at.agg(F.count_if(F.col("there")).alias("moved"), F.count_if(F.col("there").isNull()).alias("lost"))
+
+
 def evidence_edges(graph: Graph, evidence: DataFrame) -> DataFrame:
     """Edges to add: coverage provenance on a declared implements pair, else an exercises edge."""
     declared = graph.edges_of("implements").select(F.col("source").alias("node_id"), F.col("target").alias("req_id"), F.lit(True).alias("declared")).distinct()

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..sources import lock as locks
 from .canonical import union_dependencies
 
+# The hash of unreadable files, and the warning of an incomplete build.
 UNREADABLE = "unreadable"
+EXHAUSTED = "system-resource-exhausted"
 
 
 def build_lock(graph: Graph, now: str, previous: DataFrame | None = None) -> DataFrame:
@@ -41,6 +44,20 @@ def build_lock(graph: Graph, now: str, previous: DataFrame | None = None) -> Dat
     return out.join(old, "id", "left").select("id", *names, F.when(same, F.col("old_time")).otherwise(F.lit(now)).alias("last_reconciled"))
 
 
+def reconcile(graph: Graph, warnings: DataFrame, folder: str, now: str, force: bool = False) -> int:
+    """Write the lock of ``graph`` as the folder's next version, on top of the last one; returns its number.
+
+    Entries that did not change keep their time.  A graph whose build ran out of
+    resources is refused, as it may lack whole trees; the folder is not touched
+    then, nor if a later schema wrote it, unless ``force``.
+    """
+    if not warnings.filter(F.col("type") == EXHAUSTED).isEmpty():
+        raise ValueError("the build ran out of resources, so its graph may be incomplete: the lock is left as it is")
+    spark = graph.nodes.sparkSession
+    held = bool(locks.versions(spark, folder))
+    return locks.write_lock(build_lock(graph, now, locks.read_lock(spark, folder) if held else None), folder, force)
+
+
 def rename_key(lock: DataFrame, old: str, new: str) -> DataFrame:
     """``old`` becomes ``new`` as key and in dependencies."""
     swap = lambda x: F.when(x == old, new).otherwise(x)

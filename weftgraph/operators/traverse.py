@@ -77,23 +77,24 @@ def transitions(graph: Graph, stale: DataFrame | None = None) -> DataFrame:
 def reach_each(graph: Graph, starts: DataFrame, max_depth: int | None = None, stale: DataFrame | None = None) -> DataFrame:
     """origin, id and state of everything that each origin of ``starts(origin, id)`` reaches, dangling ids included.
 
-    All origins go level by level together: the frontier joins the transitions,
-    which stay partitioned by their start, the highest state per origin and id is
-    kept, and only ids that rise go on.  A round writes what rose, once; the
-    number of rounds is the depth of the reach, not its size.
+    All origins go level by level together: the frontier is dealt to the
+    transitions, which stay dealt by their start and its state, the highest state
+    per origin and id is kept, and only ids that rise go on.  A round writes what
+    rose, once; the number of rounds is the depth of the reach, not its size.
     """
     spark = graph.nodes.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = checkpoint(transitions(graph, stale).repartition(width, "from_id"))
+    table = checkpoint(transitions(graph, stale).repartition(width, "from_id", "from_state"))
     hit = stored(hits(graph, starts))
     first = starts.select("origin", "id", F.lit(2).alias("state")).distinct()
     levels = Levels(spark, first.schema)
+
     risen, depth = levels.add(first), 0
     while risen and (max_depth is None or depth < max_depth):
         seen = levels.all().select(F.col("origin").alias("o"), F.col("id").alias("i"), F.col("state").alias("s"))
-        frontier = levels.last().filter("state > 0")
-        moves = frontier.join(table, (F.col("id") == F.col("from_id")) & (F.col("state") == F.col("from_state"))).select("origin", "to_id", "to_state", "needs_hit")
-        open_ = moves.filter("not needs_hit").unionByName(moves.filter("needs_hit").join(hit, ["origin", "to_id"], "semi").select(moves.columns))
+        at = (F.col("id") == F.col("from_id")) & (F.col("state") == F.col("from_state"))
+        moves = levels.last().filter("state > 0").join(table, at).select("origin", "to_id", "to_state", "needs_hit")
+        open_ = moves.join(hit.withColumn("is_hit", F.lit(True)), ["origin", "to_id"], "left").filter("not needs_hit or is_hit")
         best = open_.groupBy("origin", F.col("to_id").alias("id")).agg(F.max("to_state").alias("state"))
         known = F.col("origin").eqNullSafe(F.col("o")) & (F.col("id") == F.col("i")) & (F.col("s") >= F.col("state"))
         risen, depth = levels.add(best.join(seen, known, "anti")), depth + 1

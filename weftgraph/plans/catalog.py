@@ -20,13 +20,17 @@ STARTS = ["file:src/o5.ts", "file:src/o2500.ts", "REQ-7"]
 STALE_SQL = ", stale AS MATERIALIZED (SELECT DISTINCT h.node_id AS id FROM hashes h LEFT JOIN nodes n ON n.id = h.node_id WHERE n.content_hash IS DISTINCT FROM h.hash)"
 
 
+#: Common tables that read themselves.
+LOOPS = ("walk", "deep", "hop", "pwalk", "closed")
+
+
 def query(sql: str | None, extra: str = ""):
-    """Register a query under its function's name; ``sql`` follows the projection's common tables and ``extra``."""
+    """Register a query under its function's name; ``sql`` follows those of the projection's tables that it reads, and ``extra``."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = f"{P.SQL.rstrip()}{extra} {sql}"
+            ORACLE[f.__name__] = P.with_tables(extra, sql, any(f" {name} AS " in extra for name in LOOPS))
         return f
 
     return add

@@ -166,7 +166,7 @@ def impact_without_stale(spark, d):
     return traverse.reach(g, starts(spark), stale=g.nodes.filter("id like '%3.ts'").select("id"))
 
 
-# Plan impact: a graph without imports, so that every entry's reach stays readable.
+# Plan impact over the whole graph, three steps deep.
 PLAN_REACH = PLANS + """, origins AS MATERIALIZED (SELECT DISTINCT path || coalesce(':' || symbol, '') AS origin, path, symbol FROM named
 ), pstarts AS MATERIALIZED (
   SELECT origin, n.id AS id FROM origins JOIN nodes n ON n.id = 'symbol:' || path || '#' || symbol
@@ -174,26 +174,27 @@ PLAN_REACH = PLANS + """, origins AS MATERIALIZED (SELECT DISTINCT path || coale
   UNION SELECT origin, s.id FROM origins JOIN nodes f ON f.id = 'file:' || path JOIN nodes s ON s.file_path = path AND s.kind = 'symbol' WHERE symbol IS NULL
 ), impl AS MATERIALIZED (SELECT DISTINCT target AS id FROM edges JOIN nodes n ON n.id = target WHERE edges.kind = 'implements' AND n.kind = 'req'
 ), hit AS MATERIALIZED (SELECT DISTINCT origin, e.source AS req FROM pstarts JOIN edges e ON e.kind = 'exercises' AND e.target = pstarts.id
-), fe AS MATERIALIZED (SELECT e.*, coalesce(n.kind = 'test', false) AS from_test, ti.id IS NOT NULL AS ti, si.id IS NOT NULL AS si FROM edges e LEFT JOIN nodes n ON n.id = e.source LEFT JOIN impl ti ON ti.id = e.target LEFT JOIN impl si ON si.id = e.source WHERE e.kind <> 'imports'
+), fe AS MATERIALIZED (SELECT e.*, coalesce(n.kind = 'test', false) AS from_test, ti.id IS NOT NULL AS ti, si.id IS NOT NULL AS si FROM edges e LEFT JOIN nodes n ON n.id = e.source LEFT JOIN impl ti ON ti.id = e.target LEFT JOIN impl si ON si.id = e.source
 ), steps AS MATERIALIZED (
   SELECT source AS a, 2 AS s, target AS b, CASE WHEN kind = 'exercises' OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 ELSE 2 END AS t, false AS nh FROM fe
-  UNION ALL SELECT source, 1, target, CASE WHEN kind IN ('exercises', 'verifies') OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 ELSE 2 END, kind = 'verifies' FROM fe WHERE kind <> 'verifies' OR NOT ti
-  UNION ALL SELECT target, s, source, CASE WHEN kind = 'exercises' OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 WHEN kind = 'verifies' AND from_test THEN 1 ELSE 2 END, false FROM fe, (VALUES (1), (2)) v(s) WHERE kind <> 'contains' AND (kind <> 'exercises' OR NOT si)
+  UNION ALL SELECT source, 1, target, CASE WHEN kind IN ('exercises', 'verifies') OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 ELSE 2 END, kind = 'verifies' FROM fe WHERE kind <> 'imports' AND (kind <> 'verifies' OR NOT ti)
+  UNION ALL SELECT target, s, source, CASE WHEN kind = 'exercises' OR kind = 'depends_on' AND provenances = 'inline-link' THEN 0 WHEN kind IN ('verifies', 'imports') AND from_test THEN 1 ELSE 2 END, false FROM fe, (VALUES (1), (2)) v(s) WHERE kind <> 'contains' AND (kind <> 'exercises' OR NOT si)
   UNION ALL SELECT f.id, s, x.id, 2, false FROM nodes f JOIN nodes x USING (file_path), (VALUES (1), (2)) v(s) WHERE f.kind = 'file' AND x.kind = 'symbol'
 ), pwalk AS (
-  SELECT origin, id, 2 AS state FROM pstarts UNION SELECT w.origin, st.b, st.t FROM pwalk w JOIN steps st ON st.a = w.id AND st.s = w.state AND w.state > 0 LEFT JOIN hit h ON h.origin = w.origin AND h.req = st.b WHERE NOT st.nh OR h.req IS NOT NULL
+  SELECT origin, id, 2 AS state, 0 AS depth FROM pstarts UNION SELECT w.origin, st.b, st.t, depth + 1 FROM pwalk w JOIN steps st ON st.a = w.id AND st.s = w.state AND w.state > 0 LEFT JOIN hit h ON h.origin = w.origin AND h.req = st.b WHERE depth < 3 AND (NOT st.nh OR h.req IS NOT NULL)
 ), pimpact AS MATERIALIZED (SELECT DISTINCT origin, w.id AS req FROM pwalk w JOIN nodes n ON n.id = w.id AND n.kind = 'req'
-), pown AS MATERIALIZED (SELECT DISTINCT origin, e.target AS req FROM pstarts JOIN edges e ON e.kind = 'implements' AND e.source = pstarts.id JOIN nodes n ON n.id = e.target AND n.kind = 'req'
+), closed AS (
+  SELECT origin, id FROM pstarts UNION SELECT c.origin, e.target FROM closed c JOIN edges e ON e.source = c.id AND e.kind = 'imports' AND e.target LIKE 'symbol:%'
+), pown AS MATERIALIZED (SELECT DISTINCT origin, e.target AS req FROM closed JOIN edges e ON e.kind = 'implements' AND e.source = closed.id JOIN nodes n ON n.id = e.target AND n.kind = 'req'
 ), entry AS MATERIALIZED (SELECT DISTINCT plan, path, symbol, path || coalesce(':' || symbol, '') AS origin FROM named WHERE path || coalesce(':' || symbol, '') IN (SELECT origin FROM pstarts)
 ), seen AS MATERIALIZED (SELECT plan, path, symbol, origin, req FROM entry JOIN pimpact USING (origin) WHERE req <> 'REQ-' || plan AND req NOT LIKE '%4')"""
 
 
 def planned(spark, d):
     g = P.graph(spark, d).stored()
-    g = Graph(g.nodes, g.edges.filter("kind <> 'imports'"))
     texts = plans(spark, d)
     found = stored(plan.entries(texts, g))
-    return g, texts, found, stored(plan.entry_impact(found, g))
+    return g, texts, found, stored(plan.entry_impact(found, g, max_depth=3))
 
 
 @query(
@@ -238,25 +239,35 @@ def plan_findings(spark, d):
 
 
 # Structure: viewer rows, enclosing symbols, conventions, last writers.
-STATES = ", drifted AS (SELECT DISTINCT l.id AS id FROM lock l JOIN nodes n USING (id) WHERE l.content_hash <> n.content_hash)"
+STATES = """, drifted AS (SELECT DISTINCT l.id AS id FROM lock l JOIN nodes n USING (id) WHERE l.content_hash <> n.content_hash
+), lost AS (SELECT DISTINCT source AS id FROM claims WHERE kind IN ('implements', 'verifies') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = claims.target)
+), bare AS (SELECT req_id AS id FROM cov WHERE impl_files IS NULL
+), shown AS MATERIALIZED (SELECT n.id AS id, CASE WHEN n.kind IN ('req') THEN n.id WHEN n.kind = 'symbol' THEN split_part(n.id, '#', 2) ELSE regexp_extract(file_path, '([^/]*)$', 1) END AS label,
+  CASE WHEN n.kind IN ('file', 'symbol') THEN 'code' ELSE n.kind END AS layer, n.kind AS kind, CASE WHEN d.id IS NOT NULL THEN 'drift' WHEN o.id IS NOT NULL THEN 'orphan' WHEN u.id IS NOT NULL THEN 'uncovered' ELSE 'ok' END AS state, file_path
+  FROM nodes n LEFT JOIN drifted d ON d.id = n.id LEFT JOIN lost o ON o.id = n.id LEFT JOIN bare u ON u.id = n.id WHERE n.kind <> 'task'
+), linked AS MATERIALIZED (SELECT e.source AS source, e.target AS target, e.kind AS kind, e.provenances AS provenances FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE s.kind <> 'task' AND t.kind <> 'task')"""
 
 
 def viewed(spark, d):
     g = P.graph(spark, d).stored()
-    return canonical.viewer_rows(g, findings.coverage(g), findings.drift(g, P.lock(spark, d)))
+    drifted = findings.drift(g, P.lock(spark, d)).select(F.col("node_id").alias("id"))
+    bare = findings.coverage(g).filter("status = 'untagged'").select(F.col("req_id").alias("id"))
+    return canonical.viewer_rows(g, drifted, findings.orphans(g).select(F.col("source").alias("id")), bare)
 
 
-@query(
-    "SELECT n.id AS id, n.kind AS kind, CASE WHEN n.kind IN ('doc', 'req') THEN 'spec' WHEN n.kind = 'test' THEN 'test' ELSE 'code' END AS layer, "
-    "CASE WHEN dr.id IS NOT NULL THEN 'drifted' WHEN n.kind <> 'req' THEN 'ok' WHEN c.impl_files IS NULL THEN 'untagged' WHEN c.test_files IS NULL THEN 'impl-only' ELSE 'verified' END AS state FROM nodes n LEFT JOIN drifted dr ON dr.id = n.id LEFT JOIN cov c ON c.req_id = n.id WHERE n.kind <> 'task'", STATES
-)
+@query("SELECT * FROM shown", STATES)
 def viewer_nodes(spark, d):
     return viewed(spark, d)[0]
 
 
-@query("SELECT e.source AS source, e.target AS target, e.kind AS kind FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE s.kind <> 'task' AND t.kind <> 'task'")
+@query("SELECT * FROM linked", STATES)
 def viewer_edges(spark, d):
-    return viewed(spark, d)[1]
+    return viewed(spark, d)[1].select("source", "target", "kind", joined("provenances"))
+
+
+@query("SELECT count(*) AS nodes, count(*) FILTER (state = 'drift') AS drift, count(*) FILTER (state = 'orphan') AS orphan, count(*) FILTER (state = 'uncovered') AS uncovered, (SELECT count(*) FROM linked) AS edges FROM shown", STATES)
+def viewer_totals(spark, d):
+    return canonical.viewer_counts(*viewed(spark, d))
 
 
 @query("SELECT 'src/o' || o_orderkey || '.ts' AS path, line, CASE WHEN line = 40 THEN NULL WHEN line = 7 THEN 'B' || o_orderkey ELSE 'A' || o_orderkey END AS symbol_id FROM orders, (VALUES (3), (7), (40)) v(line)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,9 +123,9 @@ def baseline(full: Graph) -> Graph:
     return Graph(full.nodes.withColumn("content_hash", F.when(changed, F.concat(F.lit("older"), "content_hash")).otherwise(F.col("content_hash"))), edges)
 
 
-#: The same projection as common table expressions for DuckDB.
-SQL = """
-WITH RECURSIVE nodes AS MATERIALIZED (
+#: The same projection for DuckDB: each table and its text, which may read earlier ones.
+TABLES = {
+    "nodes": """
   SELECT 'doc:n' || n_nationkey AS id, 'doc' AS kind, 'specs/n' || n_nationkey || '.md' AS file_path, substr(sha256(n_name), 1, 16) AS content_hash FROM nation
   UNION ALL SELECT 'doc:r' || r_regionkey, 'doc', 'specs/r' || r_regionkey || '.md', substr(sha256(r_name), 1, 16) FROM region
   UNION ALL SELECT 'REQ-' || c_custkey, 'req', 'specs/n' || c_nationkey || '.md', substr(sha256(c_name || '|' || c_mktsegment), 1, 16) FROM customer
@@ -132,12 +134,15 @@ WITH RECURSIVE nodes AS MATERIALIZED (
   UNION ALL SELECT sid, 'symbol', path, substr(sha256(sid), 1, 16) FROM (
     SELECT DISTINCT 'symbol:src/o' || l_orderkey || '.ts#l' || l_linenumber AS sid, 'src/o' || l_orderkey || '.ts' AS path FROM lineitem
     WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 < 8))
-), ev AS (
+""",
+    "ev": """
   SELECT 'REQ-' || user_id AS req_id, 'file:src/o' || CASE WHEN user_id % 4 = 0 THEN 100 + user_id * 5 + k % 5 ELSE k END || '.ts' AS node_id, event_type <> 'error' AS passed
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)
-), evidence AS MATERIALIZED (
+""",
+    "evidence": """
   SELECT DISTINCT req_id, node_id FROM ev WHERE passed
-), raw AS (
+""",
+    "raw": """
   SELECT 'doc:n' || c_nationkey AS source, 'REQ-' || c_custkey AS target, 'contains' AS kind, 'structural' AS p FROM customer
   UNION ALL SELECT 'doc:n' || s_nationkey, 'T' || s_suppkey, 'contains', 'structural' FROM supplier
   UNION ALL SELECT 'file:src/o' || o_orderkey || '.ts', 'REQ-' || o_custkey, 'implements', 'code-tag' FROM orders WHERE o_orderkey % 10 < 8 AND o_orderstatus = 'F' AND o_orderkey % 97 <> 0
@@ -149,22 +154,40 @@ WITH RECURSIVE nodes AS MATERIALIZED (
   UNION ALL SELECT 'doc:n' || a.n_nationkey, 'doc:n' || b.n_nationkey, 'depends_on', p FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey,
     (VALUES ('frontmatter'), ('inline-link')) v(p) WHERE p = 'inline-link' OR (a.n_nationkey + b.n_nationkey) % 2 = 0
   UNION ALL SELECT req_id, node_id, 'exercises', 'coverage' FROM evidence
-), edges AS MATERIALIZED (
+""",
+    "edges": """
   SELECT source, target, kind, string_agg(DISTINCT p, ',' ORDER BY p) AS provenances FROM raw GROUP BY source, target, kind
-), claims AS MATERIALIZED (
+""",
+    "claims": """
   SELECT e.* FROM edges e LEFT JOIN nodes n ON n.id = e.source WHERE n.kind IS DISTINCT FROM 'task'
-), hashes AS (
+""",
+    "hashes": """
   SELECT 'file:src/o' || o_orderkey || '.ts' AS node_id, substr(sha256(o_orderstatus || '|' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '|old' ELSE '' END), 1, 16) AS hash FROM orders
-), lock AS (
+""",
+    "lock": """
   SELECT 'REQ-' || c_custkey AS id, substr(sha256(c_name || '|' || c_mktsegment || CASE WHEN c_custkey % 11 = 0 THEN '|old' ELSE '' END), 1, 16) AS content_hash FROM customer WHERE c_custkey % 13 <> 0
   UNION ALL SELECT 'REQ-OLD-' || c_custkey, substr(sha256(c_name || '|' || c_mktsegment), 1, 16) FROM customer WHERE c_custkey % 50 = 0
-), excl AS (
+""",
+    "excl": """
   SELECT node_id, min(req_id) AS req_id FROM evidence GROUP BY node_id HAVING count(DISTINCT req_id) = 1
-), cov AS (
+""",
+    "cov": """
   SELECT r.id AS req_id, i.f AS impl_files, t.f AS test_files, res.ok AS ok, x.req_id IS NOT NULL AS alone FROM nodes r
   LEFT JOIN (SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS f FROM claims WHERE kind = 'implements' GROUP BY target) i ON i.target = r.id
   LEFT JOIN (SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS f FROM claims WHERE kind = 'verifies' GROUP BY target) t ON t.target = r.id
   LEFT JOIN (SELECT req_id, bool_and(passed) AS ok FROM ev GROUP BY req_id) res ON res.req_id = r.id
   LEFT JOIN (SELECT DISTINCT req_id FROM excl) x ON x.req_id = r.id WHERE r.kind = 'req'
-)
-"""
+""",
+}
+
+
+def with_tables(extra: str, sql: str, loops: bool = False) -> str:
+    """``sql`` behind the tables that it and ``extra``, its own common tables, read; ``loops`` if one of those reads itself."""
+    text, needed = extra + " " + sql, []
+    for name, body in reversed(TABLES.items()):
+        if re.search(rf"\b{name}\b", text):
+            needed.append(f"{name} AS MATERIALIZED ({body})")
+            text += body
+    own = [", ".join(reversed(needed))] if needed else []
+    own += [extra.strip().removeprefix(",").strip()] if extra.strip() else []
+    return f"WITH {'RECURSIVE ' if loops else ''}{', '.join(own)} {sql}" if own else sql
