@@ -325,4 +325,4 @@ def split_lock(spark, d):
     return lock_rows(snapshot.split_key(snapshot.build_lock(P.graph(spark, d).stored(), "now"), "REQ-9", ["REQ-9A", "REQ-9B"]))
 
 
-from . import more, texts  # noqa: E402, F401  register their queries here
+from . import more, structure, texts  # noqa: E402, F401  register their queries here

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +17,10 @@ class Fragments:
 
     def table(self, spark: SparkSession, name: str) -> DataFrame | None:
         """All kept rows of a table with path, key and generation; null if there are none."""
-        try:
-            return spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "generation=*/_SUCCESS")):
+            return None
+        return spark.read.parquet(f"{self.folder}/{name}")
 
     def read(self, files: DataFrame, name: str, parse: Callable[[DataFrame], DataFrame], options: str = "") -> tuple[DataFrame, int]:
         """The rows of ``parse(files)`` for ``files(path, text)``, and how many files had to be parsed.
