@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches, stored
@@ -42,17 +42,18 @@ def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray
     return own, out
 
 
-def token_ids(docs: DataFrame, path: str) -> DataFrame:
-    """row (unique), doc_id and ids, the text's token ids as little-endian unsigned 16-bit numbers: each text is tokenized once."""
+def token_ids(docs: DataFrame, path: str, learn: Column | None = None) -> DataFrame:
+    """row (unique), doc_id, learned (whether the model counts it: ``learn``, null as true) and ids, the text's token ids as little-endian unsigned 16-bit numbers: each text is tokenized once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path)
         for batch in batches:
             ids = [made.ids(t).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["row", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("learned"), pa.array(ids, pa.binary())], ["row", "doc_id", "learned", "ids"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(make, "row long, doc_id long, ids binary")
+    learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(True))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), learned.alias("learned"), "text")
+    return rows.mapInArrow(make, "row long, doc_id long, learned boolean, ids binary")
 
 
 def unpacked(ids: bytes) -> np.ndarray:
@@ -110,18 +111,19 @@ def score_tables(counts: DataFrame, order: int, least: int) -> list[DataFrame]:
     return tables[::-1]
 
 
-def score_grams(counts: DataFrame, order: int, least: int) -> DataFrame:
-    """gram, n and score of every n-gram that the texts hold, backed off by joins to the tables of lower orders.
+def score_grams(counts: DataFrame, learned: DataFrame, order: int, least: int) -> DataFrame:
+    """gram, n and score of every n-gram of ``counts``, by the model of ``learned``; backed off by joins to the tables of lower orders.
 
-    With a ``least`` of 1 none backs off, as all are counted.
+    A token that the model has never seen counts as seen once.  Where both are
+    one table and ``least`` is 1 none backs off, as all are counted.
     """
-    if least <= 1:
+    if learned is counts and least <= 1:
         context = F.shiftright("gram", BITS) if order > 1 else F.lit(0).cast("long")
         known = counts.withColumn("context", context)
         whole = checkpoint(known.groupBy("context").agg(F.sum("n").alias("all")))
         scored = known.join(F.broadcast(whole) if order <= 2 else whole, "context")
         return scored.select("gram", "n", F.round(F.log(F.col("n") / F.col("all")) * SCALE).cast("long").alias("score"))
-    tables = score_tables(counts, order, least)
+    tables = score_tables(learned, order, least)
     penalty = round(math.log(BACKOFF) * SCALE)
     scored, score = counts, None
     for k in range(order, 0, -1):
@@ -130,7 +132,9 @@ def score_grams(counts: DataFrame, order: int, least: int) -> DataFrame:
         scored = scored.join(table, F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)) == F.col(f"g{k}"), "left")
         own = F.col(f"s{k}") + penalty * (order - k)
         score = own if score is None else F.coalesce(score, own)
-    return scored.select("gram", "n", score.alias("score"))
+    total = learned.agg(F.sum("n")).first()[0] or 1
+    unseen = round(math.log(1 / total) * SCALE) + penalty * (order - 1)
+    return scored.select("gram", "n", F.coalesce(score, F.lit(unseen)).cast("long").alias("score"))
 
 
 def binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -255,12 +259,14 @@ def sum_scores(joined: DataFrame) -> DataFrame:
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "row long, total long")
 
 
-def score_documents(docs: DataFrame, order: int = 2, least: int = 1, tokenizer_path: str | None = None, hot_share: int = 4096) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2, least: int = 1, tokenizer_path: str | None = None, hot_share: int = 4096, learn: Column | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score (sum of natural logs) and mean_score.
 
-    The model is counted over all documents themselves: S(w | context) is
+    The model is counted over the documents for which ``learn``, a condition on
+    their columns, is true or null, by default over all: S(w | context) is
     count / context count where the n-gram was seen ``least`` times or more, else
-    0.4 times the score one order lower; unigrams always count.  Null and empty
+    0.4 times the score one order lower; unigrams always count, a token that the
+    model has not seen as if seen once.  All documents are scored.  Null and empty
     texts have no tokens, a log_score of 0 and a null mean_score.  Repeated rows
     are scored alike, each in a row of its own; a null doc_id stays null; an empty
     table gives an empty one; other columns are not looked at.
@@ -273,9 +279,10 @@ def score_documents(docs: DataFrame, order: int = 2, least: int = 1, tokenizer_p
     """
     spark = docs.sparkSession
     small_batches(spark)
-    tokens = stored(token_ids(docs, tokenizer_path or default_path()))
+    tokens = stored(token_ids(docs, tokenizer_path or default_path(), learn))
     counts = stored(gram_counts(tokens, order))
-    model = stored(score_grams(counts, order, least))
+    learned = counts if learn is None else stored(gram_counts(tokens.filter("learned"), order))
+    model = stored(score_grams(counts, learned, order, least))
     everything = counts.agg(F.sum("n")).first()[0] or 0
     hot = model.filter(F.col("n") * hot_share > everything).select("gram", "score").toPandas()
     known = model.select(F.col("gram").alias("known"), "score")
