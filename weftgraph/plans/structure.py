@@ -132,13 +132,13 @@ def code_reexports(spark, d):
 # Star exports: a tree with short cuts and cycles; the nine first files declare a name each.
 @query(
     "SELECT 'b' || origin AS path, 'n' || pos AS name, 'b' || min(trail[2]) AS target FROM ways WHERE pos < 10 AND pos <> origin GROUP BY origin, pos HAVING count(*) = 1",
-    """, star AS (SELECT o_orderkey AS a, o_orderkey // 16 AS b FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey, o_orderkey // 17 FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT o_orderkey // 16, o_orderkey FROM orders WHERE o_orderkey % 11 = 0
+    """, star AS (SELECT o_orderkey AS a, o_orderkey // 64 AS b FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey, o_orderkey // 65 FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT o_orderkey // 64, o_orderkey FROM orders WHERE o_orderkey % 11 = 0
     ), walk AS (SELECT DISTINCT a AS origin, a AS pos, [a] AS trail FROM star UNION ALL SELECT w.origin, s.b, list_append(trail, s.b) FROM walk w JOIN star s ON s.a = w.pos WHERE NOT list_contains(trail, s.b)
     ), ways AS (SELECT * FROM walk)""",
 )
 def star_exports(spark, d):
     o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    near, far = F.floor(F.col("k") / 16), F.floor(F.col("k") / 17)
+    near, far = F.floor(F.col("k") / 64), F.floor(F.col("k") / 65)
     steps = o.filter("k > 1").select(F.col("k").alias("a"), near.alias("b")).union(o.filter("k % 7 = 0").select("k", far)).union(o.filter("k % 11 = 0").select(near, "k"))
     b = lambda c: F.concat(F.lit("b"), F.col(c).cast("string"))
     own = spark.range(10).select(b("id").alias("path"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
