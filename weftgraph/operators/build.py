@@ -17,6 +17,7 @@ from .blocks import blocks
 from .canonical import annotation_targets, collisions, contains_edges, convention_edges, dedup_edges, enclosing_symbols, last_nodes, suffixes
 from .declarations import declarations
 from .evidence import evidence_edges
+from .resolve import project_options
 from .stars import providers
 
 
@@ -172,8 +173,13 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
     file_id = F.concat(F.lit("file:"), "path")
     code_nodes = code.select(file_id.alias("id"), F.when(F.col("is_test"), "test").otherwise("file").alias("kind"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("label"), short_hash(bare).alias("content_hash"))
     declared = kept.read(code.select("path", "text"), "declarations", declarations)[0] if kept else stored(declarations(code.select("path", "text")))
+    # What specifiers may stand for: the files of both pools, manifests and other JSON, as far as the project's configuration allows.
+    known = stored(code.select("path", "text").unionByName(files.filter(F.col("path").endswith(".json")).select("path", "text")))
+    how = project_options(known), declared.filter("kind = 'file' and name = 'module'").select("path")
     tests = code.filter("is_test").select("path")
     own = declared.join(tests, "path", "anti")
+    links = stored(extract.specifiers(declared, known, *how))
+    inner = links.join(tests, "path", "anti")
     # Installed packages are no sources: some of their paths are told, of each pool one at least.
     packaged = code.filter(F.array_contains(F.split("path", "/"), "node_modules")).select("path", "is_test")
     samples = packaged.groupBy("is_test").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("rank")).unionByName(packaged.select("path", F.lit(1).alias("rank")).orderBy("path").limit(SAMPLES))
@@ -204,16 +210,16 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
         first = symbols.withColumn("r", F.row_number().over(seen)).filter("r = 1")
         node_parts.append(first.select("id", F.lit("symbol").alias("kind"), F.col("path").alias("file_path"), F.col("name").alias("label"), "content_hash"))
         # Tests are no symbols' home: what they import are files.
-        taken = extract.named_imports(code, own).union(extract.imports(code, declared.join(tests, "path", "semi")))
+        taken = extract.named_imports(known, inner).union(extract.imports(known, links.join(tests, "path", "semi")))
         moved = edge_rows(taken, F.col("source"), F.col("target"), "imports", "ts-import")
-        handed = stored(extract.reexports(code, own))
+        handed = stored(extract.reexports(known, inner))
         node_parts.append(handed.join(symbols.select("id"), "id", "anti").select("id", F.lit("symbol").alias("kind"), F.col("path").alias("file_path"), F.col("name").alias("label"), "content_hash"))
-        handed_on, inner = expand_stars(symbols.select("path", "name").union(handed.select("path", "name")), extract.star_exports(code, own))
+        handed_on, led_on = expand_stars(symbols.select("path", "name").union(handed.select("path", "name")), extract.star_exports(known, inner))
         node_parts.append(handed_on)
-        moved = moved.unionByName(inner)
+        moved = moved.unionByName(led_on)
         members = edge_rows(symbols.filter("owner is not null"), F.col("owner"), F.col("id"), "contains", "structural")
     else:
-        moved = edge_rows(extract.imports(code, declared), F.col("source"), F.col("target"), "imports", "ts-import")
+        moved = edge_rows(extract.imports(known, links), F.col("source"), F.col("target"), "imports", "ts-import")
         members = moved.limit(0)
 
     every = docs.withColumn("line", F.lit(0).cast("long")).unionByName(spec_nodes, allowMissingColumns=True)
@@ -225,7 +231,7 @@ def build(files: DataFrame, layout: Layout = Layout(), kept: Fragments | None =
     warnings.append(repeated.select("type", "id", F.explode("files").alias("file")))
     moved, told = repair_imports(moved, nodes.select("id"))
     warnings.append(told)
-    stray = extract.unresolved_specifiers(declared, code)
+    stray = extract.unresolved_specifiers(declared, links)
     warnings.append(warning(stray, F.when(F.col("kind") == "import", "unresolved-import").otherwise("unresolved-reexport"), F.col("spec"), F.col("path")))
 
     # Structure, conventions and links.

@@ -63,7 +63,7 @@ class Reader:
         self.listed: list[tuple[str, str]] = []
         self.names: set[str] = set()
         self.imported: dict[str, tuple[str, str]] = {}
-        self.groups = 0
+        self.groups, self.module = 0, False
         self.ambient = re.search(r"\.d\.[mc]?ts$", path) is not None
         self.lex()
         self.starts = [0, *(m.end() for m in re.finditer("\n", self.text))]
@@ -435,6 +435,7 @@ class Reader:
         while self.is_(i, "@"):
             i = self.expression_of_decorator(i)
         exported = self.is_(i, "export")
+        self.module = self.module or exported or self.is_(i, "import") and not self.is_(i + 1, "(")
         if exported:
             start = i if start == i else start
             i += 1
@@ -523,7 +524,7 @@ class Reader:
         for start, end in self.comments:
             if re.match(r"//+\s*@impl\b", self.text[start:end]):
                 self.rows.append({"path": self.path, "kind": "tag", "start": self.line(start), "name": self.text[start:end]})
-        self.rows.append({"path": self.path, "kind": "file", "start": 1, "end": len(self.starts)})
+        self.rows.append({"path": self.path, "kind": "file", "name": "module" if self.module else None, "start": 1, "end": len(self.starts)})
         return self.rows
 
 

@@ -15,6 +15,7 @@ from ..functions.ids import NAMESPACED, TOKEN, plain_path
 from ..graph import short_hash
 from .blocks import blocks
 from .declarations import declarations
+from .resolve import Options, targets
 
 # The input format of annotations and of headings that are requirements.
 HEADING = r"^Requirement\s+(\d+)\s*(?::|$)"
@@ -221,50 +222,34 @@ def exported_symbols(files: DataFrame) -> DataFrame:
     return symbols(files).filter("owner is null")
 
 
-# What a relative specifier may stand for, best first.
-CANDIDATES = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-
-
-def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """``specs(path, spec)`` with target: the best known file that a relative specifier may stand for.
-
-    A specifier's candidates are exploded with a rank and joined to the files, so
-    nothing is probed one by one.
-    """
-    full = plain_path(F.concat(F.regexp_extract("path", r"^(.*?)[^/]*$", 1), "spec"))
-    tries = [F.struct(F.lit(i).alias("rank"), F.concat(full, F.lit(c)).alias("target")) for i, c in enumerate(CANDIDATES)]
-    swapped = [F.struct(F.lit(len(CANDIDATES) + i).alias("rank"), F.regexp_replace(full, r"\.m?jsx?$", c).alias("target")) for i, c in enumerate((".ts", ".tsx"))]
-    ranked = specs.select("path", "spec").distinct().select("path", "spec", F.inline(F.array(*tries, *swapped)))
-    known = ranked.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    return known.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
-
-
-def specifiers(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """path, kind, name, given and target of the imports and re-exports among ``declared`` that lead from a relative path to a known file."""
+def specifiers(declared: DataFrame, files: DataFrame, options: Options = Options(), modules: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """path, kind, name, given, spec and target of the imports and re-exports among ``declared`` that lead from a relative path to a known file; rows that have targets are returned as they are."""
+    if "target" in declared.columns:
+        return declared
     rows = declared.filter(F.col("kind").isin("import", "reexport") & F.col("spec").startswith(".")).select("path", "kind", "name", "given", "spec")
-    return rows.join(resolved(rows, files), ["path", "spec"]).drop("spec")
+    return rows.join(targets(rows, files, options, modules), ["path", "spec"])
 
 
-def unresolved_specifiers(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """path, kind and spec of relative imports and re-exports that lead to no known file."""
+def unresolved_specifiers(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """path, kind and spec of relative imports and re-exports among ``declared`` that are not ``found(path, spec)``."""
     rows = declared.filter(F.col("kind").isin("import", "reexport") & F.col("spec").startswith(".")).select("path", "kind", "spec").distinct()
-    return rows.join(resolved(rows, files), ["path", "spec"], "anti")
+    return rows.join(found.select("path", "spec").distinct(), ["path", "spec"], "anti")
 
 
-def imports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def imports(files: DataFrame, declared: DataFrame | None = None, *how) -> DataFrame:
     """source and target file ids of relative imports and re-exports that lead to a known file."""
-    found = specifiers(declarations(files) if declared is None else declared, files)
+    found = specifiers(declarations(files) if declared is None else declared, files, *how)
     return found.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
-def named_imports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def named_imports(files: DataFrame, declared: DataFrame | None = None, *how) -> DataFrame:
     """source and target ids of imports at symbol grain.
 
     Named and default imports lead to symbols, namespace, bare and star forms to
     the file.  A re-exported name leads from the symbol that it makes here; a
     namespace that is handed on leads from the file and from its symbol.
     """
-    found = specifiers(declarations(files) if declared is None else declared, files)
+    found = specifiers(declarations(files) if declared is None else declared, files, *how)
     here, there = F.concat(F.lit("file:"), "path"), F.concat(F.lit("file:"), "target")
     symbol = lambda path, name: F.concat(F.lit("symbol:"), path, F.lit("#"), name)
     onward, space = (F.col("kind") == "reexport") & F.col("given").isNotNull(), F.col("name").eqNullSafe("*")
@@ -273,15 +258,15 @@ def named_imports(files: DataFrame, declared: DataFrame | None = None) -> DataFr
     return found.select(source.alias("source"), target.alias("target")).union(found.filter(onward & space).select(here, there)).distinct()
 
 
-def reexports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def reexports(files: DataFrame, declared: DataFrame | None = None, *how) -> DataFrame:
     """path, name, id and content_hash of the symbols that re-exports make: the hash is of target, origin (``*`` for a namespace) and name."""
-    found = specifiers(declarations(files) if declared is None else declared, files).filter("kind = 'reexport' and given is not null")
+    found = specifiers(declarations(files) if declared is None else declared, files, *how).filter("kind = 'reexport' and given is not null")
     id_ = F.concat(F.lit("symbol:"), "path", F.lit("#"), "given")
     hashed = short_hash(F.concat_ws("\0", "target", "name", "given"))
     # The first of a name by origin stays.
     return found.groupBy("path", "given").agg(F.min(F.struct("target", "name")).alias("o")).select("path", "given", "o.*").select("path", F.col("given").alias("name"), id_.alias("id"), hashed.alias("content_hash"))
 
 
-def star_exports(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def star_exports(files: DataFrame, declared: DataFrame | None = None, *how) -> DataFrame:
     """path and target of ``export * from``."""
-    return specifiers(declarations(files) if declared is None else declared, files).filter("kind = 'reexport' and name is null").select("path", "target").distinct()
+    return specifiers(declarations(files) if declared is None else declared, files, *how).filter("kind = 'reexport' and name is null").select("path", "target").distinct()

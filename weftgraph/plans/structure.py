@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
 from ..graph import Graph, shared_folder
-from ..operators import canonical, evidence, extract, plan, rewrite, snapshot
+from ..operators import canonical, evidence, extract, plan, resolve, rewrite, snapshot
 from ..operators.build import build
 from ..operators.stars import providers
 from ..sources import lock as locks
 from ..sources import ordered, results
 from ..sources.fragments import Fragments
+from ..streaming import classes
 from . import projection as P
 from .catalog import query
 from .more import num
-from .texts import code, gathered, specs
+from .texts import SHARDS, code, gathered, shard_lines, specs
 
 SHORT = "substr(sha256({}), 1, 16)".format
 
@@ -283,6 +284,22 @@ def ordered_edges(spark, d):
     return ordered.read_ordered(spark, folder).select("source", "target", "kind", "place")
 
 
+# Counts kept up over a stream of shards.
+@query(
+    "SELECT 'g1' AS generation, node_id, count(*) AS n_reqs, CASE WHEN count(*) = 1 THEN 'exclusive' WHEN count(*) >= 5 THEN 'infrastructure' ELSE 'shared' END AS class, CASE WHEN count(*) = 1 THEN min(req_id) END AS req_id FROM ("
+    "SELECT DISTINCT 'REQ-' || user_id AS req_id, CASE WHEN o_orderkey % 2 = 0 THEN 'symbol:src/o' || k || '.ts#f' ELSE 'file:src/o' || k || '.ts' END AS node_id FROM good JOIN orders ON o_orderkey = k AND o_orderkey % 10 < 8 WHERE passed) x GROUP BY node_id",
+    SHARDS,
+)
+def streamed_classes(spark, d):
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    shard_lines(spark, d).repartition("shard").write.partitionBy("shard").text(f"{folder}/in")
+    orders = P.table(spark, d, "orders").select("o_orderkey", P.path_of("o_orderkey", "src/o", ".ts").alias("path"))
+    symbols = orders.filter("o_orderkey % 2 = 0").select("path", F.lit("f").alias("name"), F.concat(F.lit("symbol:"), "path", F.lit("#f")).alias("id"))
+    counts = classes.count_requirements(classes.stream_whole_shards(spark, f"{folder}/in", 4), symbols, orders.filter("o_orderkey % 10 < 8"), "g1")
+    classes.write_counts(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return classes.node_classes(classes.read_counts(spark, f"{folder}/out"))
+
+
 # The same from SQL, with patterns of one's own.
 @query("SELECT 'STORY-' || s_suppkey AS id, 'Story STORY-' || s_suppkey || ': ' || s_name AS label FROM supplier")
 def sql_headings(spark, d):
@@ -303,3 +320,35 @@ def sql_ids(spark, d):
     sql_functions.register(spark)
     titles = P.table(spark, d, "orders").select(lines("[REQ-", num("o_custkey"), "] t").alias("title"))
     return spark.sql("SELECT title, title_tags(title)[0] AS tag, mentions(title, title_tags(title)[0]) AS said FROM {titles}", titles=titles)
+
+
+# Resolution through manifests and configurations: a package a customer, a chain of configurations over all suppliers.
+def packages(spark, d) -> DataFrame:
+    k, c = num("c_custkey"), F.col("c_custkey") % 5
+    base = lines("src/p", k)
+    manifest = F.when(c == 0, '{"types": "./lib/t.d.ts", "main": "m.js"}').when(c == 1, '{"main": "./m.js"}').when(c == 2, '{"types": "gone.d.ts"}').when(c == 3, "{broken")
+    file = lambda end, text="export {}": F.struct(F.concat(base, F.lit(end)).alias("path"), F.lit(text).alias("text"))
+    rows = F.array(file("/lib/t.d.ts"), file("/m.ts"), file("/m.tsx"), file("/index.ts"), file("/ui.tsx"), file("/data.json", "{}"), F.struct(F.concat(base, F.lit("/package.json")).alias("path"), manifest.alias("text")))
+    return P.table(spark, d, "customer").select(F.inline(rows)).filter("text is not null")
+
+
+@query(
+    "SELECT 'src/main.ts' AS path, './p' || c_custkey || s AS spec, 'src/p' || c_custkey || CASE WHEN s = '/ui.js' THEN '/ui.tsx' WHEN c_custkey % 5 = 0 THEN '/lib/t.d.ts' WHEN c_custkey % 5 = 1 THEN '/m.ts' ELSE '/index.ts' END AS target FROM customer, (VALUES (''), ('/'), ('/ui.js')) v(s)"
+)
+def package_imports(spark, d):
+    ends = F.explode(F.array(F.lit(""), F.lit("/"), F.lit("/ui.js"), F.lit("/data.json"), F.lit("/none"))).alias("s")
+    specs_ = P.table(spark, d, "customer").select("c_custkey", ends).select(F.lit("src/main.ts").alias("path"), lines("./p", num("c_custkey"), F.col("s")).alias("spec"))
+    return resolve.targets(specs_, packages(spark, d), resolve.Options(jsx=True))
+
+
+@query(
+    "SELECT 'c/' || s_suppkey || '.json' AS path, (SELECT max(b.s_suppkey) FROM supplier b WHERE b.s_suppkey <= a.s_suppkey AND b.s_suppkey % 10 IN (3, 5)) % 10 IS NOT DISTINCT FROM 3 AS jsx, "
+    "(SELECT count(*) FROM supplier b WHERE b.s_suppkey <= a.s_suppkey AND b.s_suppkey % 7 = 2) > 0 AS allow_js, false AS resolve_json FROM supplier a"
+)
+def config_options(spark, d):
+    """Each configuration extends the one before: jsx is set by every third of ten and taken back by every fifth."""
+    s = F.col("s_suppkey")
+    own = F.when(s % 10 == 3, '"jsx": "React",').when(s % 10 == 5, '"jsx": "no",').otherwise("")
+    more = F.when(s % 7 == 2, '"allowJs": true,').otherwise("")
+    body = lines("// c\n{ \"extends\": \"./", (s - 1).cast("string"), "\", /* x */ \"compilerOptions\": {", own, more, "}, }")
+    return resolve.effective_options(P.table(spark, d, "supplier").select(lines("c/", num("s_suppkey"), ".json").alias("path"), body.alias("text")))

@@ -75,6 +75,14 @@ def symbol_names(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("path", "name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").select("path", "name", "id")
 
 
+def hit_pairs(tests: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """req_id and node_id of what passed, tagged tests hit, repeats included; works on a stream of tests too, the other tables at rest."""
+    tagged = tests.filter("passed").withColumn("req_ids", inherited_tags(F.col("test_name"), F.col("suite_path"))).filter(F.size("req_ids") > 0)
+    hits = tagged.select("req_ids", F.explode("hits").alias("hit")).select("req_ids", F.col("hit.file").alias("path"), F.col("hit.fn").alias("name"))
+    known = hits.join(files.select("path").distinct(), "path").join(symbol_names(symbols), ["path", "name"], "left")
+    return known.select(F.explode("req_ids").alias("req_id"), F.coalesce("id", F.concat(F.lit("file:"), "path")).alias("node_id"))
+
+
 def ingest(tests: DataFrame, symbols: DataFrame, files: DataFrame, existing: DataFrame | None = None) -> dict[str, DataFrame]:
     """Evidence of passed, tagged tests.
 
