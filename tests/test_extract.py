@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 from weftgraph.operators import extract, rewrite
 from weftgraph.sources import shards, text
+from weftgraph.streaming import classes
 from weftgraph.streaming import shards as streaming
 
 SPEC = """---
@@ -91,3 +92,21 @@ def test_shard_stream(spark, tmp_path):
     out = shards.ingest(tests, frame(spark, [("a", "f", "symbol:a#f"), ("a", "g", "1"), ("a", "g", "2")], "path string, name string, id string"), frame(spark, [("a",)], "path string"))
     assert [tuple(r) for r in out["evidence"].collect()] == [("A-1", "symbol:a#f", "symbol")]
     assert [tuple(r) for r in out["hashes"].collect()] == [("symbol:a#f", "h")] and out["dangling"].first()[0] == 0
+
+
+def test_counts_over_two_runs(spark, tmp_path):
+    """Copies of a shard, and shards that come later, change the counts as a batch over all of them would."""
+    line = lambda req, fn: json.dumps({"kind": "test", "testName": f"[{req}] t", "testFile": "t", "passed": True, "hits": [{"file": "a", "fn": fn}], "hashes": {}})
+    meta = json.dumps({"kind": "meta", "schemaVersion": 1})
+    other = json.dumps({"kind": "meta", "schemaVersion": 2})
+    symbols = frame(spark, [("a", "f", "symbol:a#f")], "path string, name string, id string")
+    files = frame(spark, [("a",)], "path string")
+    (tmp_path / "in").mkdir()
+    runs = [[(meta, line("A-1", "f")), (meta, line("A-1", "f"))], [(meta, line("A-2", "f")), (meta, line("A-1", "g")), (other, line("A-9", "f"))]]
+    for n, (shards_, want) in enumerate(zip(runs, [{("symbol:a#f", 1, "exclusive", "A-1")}, {("symbol:a#f", 2, "shared", None), ("file:a", 1, "exclusive", "A-1")}], strict=True)):
+        for i, text_ in enumerate(shards_):
+            (tmp_path / f"in/{n}{i}.jsonl").write_text("\n".join(text_))
+        counts = classes.count_requirements(classes.stream_whole_shards(spark, f"{tmp_path}/in", 1), symbols, files, "g")
+        classes.write_counts(counts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        got = classes.node_classes(classes.read_counts(spark, f"{tmp_path}/out")).collect()
+        assert {(r.node_id, r.n_reqs, r["class"], r.req_id) for r in got} == want

@@ -11,7 +11,7 @@ from ..sources.shards import VERSION, hit_pairs, parse
 
 def stream_whole_shards(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Parsed records of shards as they arrive; a shard is read as one row, so that one of another schema version is left out as a whole."""
-    shards = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder).select(F.col("_metadata.file_path").alias("shard"), F.split("value", "\n").alias("lines"))
+    shards = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("shard"), F.split("value", "\n").alias("lines"))
     version = lambda x: F.try_variant_get(F.try_parse_json(x), "$.schemaVersion", "int")
     is_meta = lambda x: F.try_variant_get(F.try_parse_json(x), "$.kind", "string") == "meta"
     other = F.exists("lines", lambda x: F.coalesce(is_meta(x) & (version(x) != VERSION), F.lit(False)))
