@@ -113,3 +113,23 @@ def test_star_exports(spark):
 def test_spec_dirs(spark):
     rows = spark.createDataFrame([("specs/a/b/c.md",), ("specs/c.md",), ("docs/x/y.md",), ("other/z/y.md",)], "p string")
     assert [r[0] for r in rows.select(spec_dir_of(rows.p, ("specs", "docs"))).collect()] == ["a", "specs", "x", "z"]
+
+
+def test_evidence_and_metadata(spark):
+    files = spark.createDataFrame(
+        [
+            ("specs/a/spec.md", "---\ntitle: A\nstatus: draft\nowner: ann\n---\n- REQ-1: one\n- REQ-2: two\n"),
+            ("src/a.ts", "// @impl REQ-1\nexport const a = 1\n"), ("src/p/package.json", '{"main": "m.js"}'), ("src/p/m.ts", "export const m = 1\n"),
+            ("src/b.ts", "import { m } from './p'\nimport './plain'\n"), ("src/plain.ts", "let x\n"), ("src/node_modules/q/i.ts", "export {}"),
+        ],
+        "path string, text string",
+    )
+    seen = spark.createDataFrame([("REQ-1", "symbol:src/a.ts#a"), ("REQ-2", "symbol:src/a.ts#gone"), ("REQ-2", "symbol:src/none.ts#x")], "req_id string, node_id string")
+    graph, warnings = build(files, evidence=seen)
+    edges = {(r.source, r.target, r.kind): r.provenances for r in graph.edges.collect()}
+    assert edges["symbol:src/a.ts#a", "REQ-1", "implements"] == ["code-tag", "coverage"] and edges["REQ-2", "file:src/a.ts", "exercises"] == ["coverage"]
+    assert [e for e in edges if e[2] == "imports"] == [("file:src/b.ts", "symbol:src/p/m.ts#m", "imports")]
+    doc = graph.kinds("doc").first()
+    assert doc.metadata == {"title": "A", "status": "draft", "owner": "ann"} and doc.label == "A"
+    told = {(r.type, r.id, r.file) for r in warnings.collect()}
+    assert ("unresolved-import", "./plain", "src/b.ts") in told and ("node-modules-in-scan", "node_modules", "src/node_modules/q/i.ts") in told

@@ -65,6 +65,7 @@ def is_ignored(node_id: Column, prefixes: tuple[str, ...]) -> Column:
     return node_id.rlike(rf"(?:^|/)(?:{'|'.join(map(re.escape, prefixes))})-\d+$")
 
 
+# The types of warnings, wherever they are named below, are fixed values of the data model.
 def warning(df: DataFrame, kind: str | Column, id_: Column, file: Column) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     return df.select(kind.alias("type"), id_.alias("id"), file.alias("file")).distinct()

@@ -197,6 +197,7 @@ def inline_links(files: DataFrame) -> DataFrame:
 
 def implementation_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
     """path, line and req_id of ``// @impl A, B``, where the tag opens its line comment; of code files or their declarations."""
+    # Fixed value: the input format of tags in line comments.
     named = rf"(?:[\w-]+/)?(?:{token})"
     tag = rf"^//+{BLANK}*@impl{BLANK}+((?:{named}(?:{BLANK}|,)*)+)"
     rows = declarations(files).filter("kind = 'tag'").select("path", F.col("start").alias("line"), F.regexp_extract("name", tag, 1).alias("ids")).filter("ids <> ''")
@@ -205,6 +206,7 @@ def implementation_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
 
 def test_tags(files: DataFrame, token: str = TOKEN) -> DataFrame:
     """path and req_id of ``[ID]`` and ``req: "ID"`` anywhere in a test file."""
+    # The input format of tags in tests.
     named = rf"(?:[\w-]+/)?(?:{token})"
     both = F.concat(F.regexp_extract_all("text", F.lit(rf"\[({named})\]"), F.lit(1)), F.regexp_extract_all("text", F.lit(rf"req:\s*[\"']?({named})[\"']?"), F.lit(1)))
     return files.select("path", F.explode(F.array_distinct(both)).alias("req_id"))
