@@ -175,7 +175,7 @@ def test_declarations():
     assert [r["start"] for r in rows if r["kind"] == "tag"] == [7, 12, 19]
 
 
-@pytest.mark.parametrize("text", ["", "`${", "export", "export {", "export default", "class {", "export class", "import", "@", "export const {", "((((", "}}}", "export const a = <", "function", "export function (", "type x", "/* ", "'", "export *", "export * as", "import {a", "interface", "@a.b(", "export const enum"])
+@pytest.mark.parametrize("text", ["", "`${", "export", "export {", "export default", "class {", "export class", "import", "@", "export const {", "((((", "}}}", "export const a = <", "function", "export function (", "type x", "/* ", "'", "export *", "export * as", "import {a", "interface", "@a.b(", "export const enum", "const {...${*/:", "const {a:", "const [...", "export const {...}", "type extends <"])
 def test_broken_code_is_no_error(text):
     assert Reader("a.ts", text).run()[-1]["kind"] == "file"
 

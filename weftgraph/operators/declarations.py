@@ -183,7 +183,11 @@ class Reader:
         """Where the text ends that goes up to token ``i``, a semicolon there included."""
         if self.is_(i, ";"):
             return self.tokens[i].end
-        return self.tokens[i - 1].end if i else 0
+        return self.last(i)
+
+    def last(self, i: int) -> int:
+        """Where the token before ``i`` ends."""
+        return self.tokens[min(i, len(self.tokens)) - 1].end if i else 0
 
     # Declarations.
     def function_end(self, i: int) -> int:
@@ -220,14 +224,14 @@ class Reader:
             while stop < end and not self.is_(stop, ","):
                 stop = self.skip(stop)
             if stop > first:
-                j = first + self.is_(first, "...")
+                j = min(first + self.is_(first, "..."), stop - 1)
                 colon = next((k for k in range(j + 1, stop) if self.is_(k, ":")), None) if self.tokens[j].close < 0 else None
                 if self.is_(j, "[") and self.is_(self.skip(j), ":"):  # a computed key
                     colon = self.skip(j)
                 target = colon + 1 if colon is not None and not any(self.is_(k, "=") for k in range(j, colon)) else j
                 if self.is_(target, "{", "["):
                     yield from self.bindings(target, self.tokens[target].close)
-                elif self.tokens[target].kind == "word":
+                elif target < stop and self.tokens[target].kind == "word":
                     yield Declared(self.tokens[target].text, self.tokens[first].start, self.tokens[stop - 1].end)
             i = stop + 1
 
@@ -245,7 +249,7 @@ class Reader:
                 target = self.expression(target + 1, ",;")
             elif self.is_(target, "of", "in"):
                 return found, target
-            last = self.tokens[min(target, len(self.tokens)) - 1].end
+            last = self.last(target)
             if self.is_(first, "{", "["):
                 found += self.bindings(first, self.tokens[first].close)
             elif self.tokens[first].kind == "word":
@@ -281,7 +285,7 @@ class Reader:
                 i += 1
             if self.is_(i, "(", "<"):
                 i = self.function_end(i)
-                last = self.end_of(i) if self.is_(i, ";") else self.tokens[i - 1].end
+                last = self.end_of(i)
             else:
                 if self.is_(i, ":"):
                     i = self.expression(i + 1, "=;")
@@ -465,14 +469,14 @@ class Reader:
             body = self.body(i + 1)
             members = self.members(body) if self.is_(body, "{") and not (declared or self.ambient) else {}
             end = self.skip(body) if self.is_(body, "{") else body
-            self.declare(name, at, self.tokens[end - 1].end, exported, default, members=members)
+            self.declare(name, at, self.last(end), exported, default, members=members)
             return end
         if self.is_(i, "const") and self.is_(i + 1, "enum"):
             i, named = i + 1, self.word(i + 2)
         if self.is_(i, "interface", "enum", "namespace", "module") and named:
             body = self.body(i + 1)
             end = self.skip(body) if self.is_(body, "{") else body
-            self.declare(named, at, self.tokens[end - 1].end, exported, default)
+            self.declare(named, at, self.last(end), exported, default)
             return end
         if self.is_(i, "type") and named and self.is_(i + 2, "=", "<"):
             j = self.angles(i + 2) if self.is_(i + 2, "<") else i + 2
@@ -492,7 +496,7 @@ class Reader:
             if end == i + 1 and self.tokens[i].kind == "word":
                 self.listed.append((self.tokens[i].text, "default"))
             elif end > i:
-                self.later.append((True, "default", self.tokens[i].start, self.tokens[end - 1].end, None))
+                self.later.append((True, "default", self.tokens[i].start, self.last(end), None))
             return end
         i = max(i, first + 1) if i > first else self.skip(i)
         while i < len(self.tokens) and not self.is_(i, ";"):
