@@ -28,27 +28,51 @@ def letter_table() -> np.ndarray:
     return table
 
 
-def grams(text: str, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def tallied(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of their counts (one each where there are none)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    if counts is None:
+        return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def grams(text: str, longest: int = 3, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams (1 to ``longest`` of at most 3) of the whole text and their counts.
 
     The text is lower-cased; a run of other characters than letters, and either
     end, is one boundary.  Single boundaries are no n-gram, and no n-gram
-    spans a boundary in its middle.
+    spans a boundary in its middle.  ``block`` characters are counted at a time and
+    the last two are carried on, so beside the text memory holds one block and the
+    distinct n-grams, whatever the text's length.
     """
-    codes = letter_table()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    codes = np.concatenate([[EDGE], codes, [EDGE]])
-    codes = codes[np.concatenate([[True], (codes[1:] != EDGE) | (codes[:-1] != EDGE)])]
-    parts = [codes[codes != EDGE]]
-    if not len(parts[0]):
-        return parts[0], parts[0]
-    if longest >= 2:
-        parts.append((codes[:-1] << BITS) | codes[1:])
-    if longest >= 3 and len(codes) > 2:
-        three = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
-        parts.append(three[codes[1:-1] != EDGE])
-    found = np.sort(np.concatenate(parts))
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    return found[first], np.diff(np.append(first, len(found)))
+    lowered, carried = text.lower(), np.array([EDGE], np.int64)
+    held = waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at in range(0, len(lowered), block):
+        codes = letter_table()[np.frombuffer(lowered[at : at + block].encode("utf-32-le", "replace"), np.uint32)]
+        codes = np.concatenate([carried, codes, [EDGE]] if at + block >= len(lowered) else [carried, codes])
+        codes = codes[np.concatenate([[True], (codes[1:] != EDGE) | (codes[:-1] != EDGE)])]
+        new = codes[len(carried) :]
+        parts = [new[new != EDGE]]
+        if longest >= 2:
+            two = (codes[:-1] << BITS) | codes[1:]
+            parts.append(two[len(carried) - 1 :])
+        if longest >= 3 and len(codes) > 2:
+            three = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
+            parts.append(three[codes[1:-1] != EDGE])
+        carried = codes[-2:]
+        found = tallied(np.concatenate(parts))
+        if at == 0 and block >= len(lowered):
+            return found
+        waiting = (np.concatenate([waiting[0], found[0]]), np.concatenate([waiting[1], found[1]]))
+        if len(waiting[0]) > max(block, len(held[0])) or at + block >= len(lowered):
+            held = tallied(np.concatenate([held[0], waiting[0]]), np.concatenate([held[1], waiting[1]]))
+            waiting = (waiting[0][:0], waiting[1][:0])
+    return held
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def block_pairs(df: DataFrame, key: str, item: str, tile: int, spread: str) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, item: str, tile: int, spread: str, sizes: DataFrame | None = None) -> DataFrame:
     """All within-key pairs as pairs of tiles: key, a (array of items) and b (null for a tile with itself).
 
     A key with more than ``tile`` rows is split by hash of ``spread`` into tiles
     of about that many; each pair of its tiles is one row, so no task sees a
     whole key and no pair is emitted.  Keys with one row have no pair and are
-    left out.
+    left out, and so are keys that ``sizes`` (key and __n), where it is given, lacks.
     """
-    sizes = checkpoint(df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1"))
+    if sizes is None:
+        sizes = checkpoint(df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1"))
     parts = df.join(sizes, key).withColumn("__parts", F.ceil(F.col("__n") / tile).cast("int"))
     parts = parts.withColumn("__part", F.pmod(F.xxhash64(F.lit("tile"), spread), F.col("__parts")).cast("int"))
     tiles = checkpoint(parts.groupBy(key, "__part", "__parts").agg(F.collect_list(item).alias("a")))

@@ -12,25 +12,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, unused
+from .common import WHITE, checkpoint, small_batches, unused
 from .links import block_pairs, components, forest
 from .tokenizer import release
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Per byte: whether it is white space.
+IS_WHITE = np.isin(np.arange(256), list(WHITE))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Signed 64-bit fingerprint of the whole text's shingles, 0 if it has no word."""
-    norm = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-    if not norm:
+def spaced(text: str | None) -> np.ndarray:
+    """Bytes of the text's words, A-Z lower-cased, with one space between two words."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    white = IS_WHITE[raw]
+    keep = ~white
+    keep[1:] |= ~white[:-1]
+    norm = np.where(white, np.uint8(32), raw)[keep]
+    return norm[: len(norm) - 1] if len(norm) and norm[-1] == 32 else norm
+
+
+def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
+    """Signed 64-bit fingerprint of the whole text's shingles, 0 if it has no word.
+
+    ``block`` shingles are hashed at a time; beside the text and its places of
+    spaces (8 bytes a word) no more is held, whatever the text's length.
+    """
+    norm = spaced(text)
+    if not len(norm):
         return 0
-    spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    spaces = np.flatnonzero(norm == 32)
     n = max(1, len(spaces) + 2 - words)
-    starts = [0, *(spaces[: n - 1] + 1).tolist()]
-    ends = [*spaces[words - 1 :].tolist(), len(norm)] if len(spaces) >= words - 1 else [len(norm)]
-    ones, h = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([h(norm[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
+    raw, ones, h = norm.tobytes(), np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    for at in range(0, n, block):
+        # Shingle i runs from behind space i - 1 to space i + words - 1; the ends of the text stand for the missing ones.
+        last = min(at + block, n)
+        starts = (spaces[max(at - 1, 0) : last - 1] + 1).tolist()
+        ends = spaces[at + words - 1 : last + words - 1].tolist()
+        if at == 0:
+            starts.insert(0, 0)
+        if last == n:
+            ends.append(len(norm))
+        hashes = np.array([h(raw[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
@@ -129,15 +151,15 @@ def bands(blocks: int, shared: int) -> list[int]:
     return [sum(runs[i] for i in pick) for pick in combinations(range(blocks), shared)]
 
 
-def links(prints: DataFrame, radius: int = 3, shared: int = 2, tile: int = 1024) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, shared: tuple[int, ...] = (2, 4, 6), tile: int = 1024) -> DataFrame:
     """A spanning set of the links between distinct fingerprints, as a, b.
 
-    Fingerprints meet where they agree on one of the choices of ``shared`` of
-    radius + ``shared`` runs of bits, which every link does.
+    Fingerprints meet where they agree on one of the choices of s of radius + s runs
+    of bits, s the first of ``shared``, which every link does.  Those of a band with
+    more than 4 x ``tile`` rows meet anew by the next s, whose bands have more bits
+    and are smaller; the bands left aside have nothing but such fingerprints, so no
+    link is lost.  Bands that stay hot to the last are compared tile by tile.
     """
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bands(radius + shared, shared)]
-    choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(choices).alias("key"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +177,21 @@ def links(prints: DataFrame, radius: int = 3, shared: int = 2, tile: int = 1024)
                 if len(q):
                     yield pd.DataFrame(forest(a[q], b[v]), columns=["a", "b"])
 
-    return block_pairs(keyed, "key", "fp", tile, "fp").select("a", "b").mapInPandas(compare, "a long, b long").distinct()
+    pool, found = prints.select("fp"), None
+    for s in shared:
+        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bands(radius + s, s)]
+        choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+        keyed = pool.select("fp", F.explode(choices).alias("key"))
+        sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1"))
+        hot = sizes.filter(F.col("__n") > 4 * tile).select("key")
+        split = s != shared[-1] and not hot.isEmpty()
+        near_by = sizes.filter(F.col("__n") <= 4 * tile) if split else sizes
+        own = block_pairs(keyed, "key", "fp", tile, "fp", near_by).select("a", "b").mapInPandas(compare, "a long, b long")
+        found = own if found is None else found.unionByName(own)
+        if not split:
+            break
+        pool = checkpoint(keyed.join(hot, "key", "semi").select("fp").distinct())
+    return found.distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
