@@ -80,24 +80,44 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 class Levels:
-    """What the rounds of a loop have found: a Parquet folder a round, read one by one or as one table."""
+    """What the rounds of a loop have found: a Parquet folder a round, read one by one or as one table.
 
-    def __init__(self, spark: SparkSession, schema: T.StructType):
-        self.spark, self.schema = spark, schema
+    Once ``most`` folders wait, the later ones become one, up to the first that holds
+    more than half of all rows: a row is written again a logarithmic number of times.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, most: int = 8):
+        self.spark, self.schema, self.most = spark, schema, most
         self.folder, self.rounds = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}", 0
+        self.parts: list[tuple[str, int]] = []
 
     def add(self, df: DataFrame) -> int:
         """Write one more round; the number of its rows is counted as they are written."""
-        seen = Observation()
-        df.select(self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.folder}/{self.rounds}")
+        seen, path = Observation(), f"{self.folder}/{self.rounds}"
+        df.select(self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         self.rounds += 1
-        return seen.get["n"]
+        rows = seen.get["n"]
+        self.parts.append((path, rows))
+        if len(self.parts) > self.most:
+            self.merge()
+        return rows
+
+    def merge(self) -> None:
+        """Make one folder of the later rounds."""
+        total = sum(n for _, n in self.parts)
+        keep = 1 if 2 * self.parts[0][1] > total else 0
+        late, path = self.parts[keep:], f"{self.folder}/to-{self.rounds}"
+        self.read(late).write.parquet(path)
+        self.parts = [*self.parts[:keep], (path, sum(n for _, n in late))]
+
+    def read(self, parts: list[tuple[str, int]]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[path for path, _ in parts])
 
     def last(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.rounds - 1}")
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{i}" for i in range(self.rounds)])
+        return self.read(self.parts)
 
 
 def owner_path(node_id: Column) -> Column:
