@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
-from ..graph import Graph, shared_folder
+from ..graph import Graph, dealt, shared_folder, stored
 from ..operators import canonical, evidence, extract, plan, resolve, rewrite, snapshot
 from ..operators.build import build
+from ..operators.declarations import declarations
 from ..operators.stars import providers
 from ..sources import lock as locks
 from ..sources import ordered, results
@@ -119,8 +120,8 @@ def code_declarations(spark, d):
 
 @query("SELECT 'src/o' || o_orderkey || '.ts' AS path, CASE WHEN i = 0 THEN 'REQ-' || o_orderkey ELSE 'REQ-7' END AS req_id, CASE WHEN name IN ('default.run') THEN name ELSE name || o_orderkey END AS symbol FROM orders, (VALUES (0, 'a'), (0, 'c'), (0, 'd'), (0, 'e'), (1, 'default.run')) v(i, name)")
 def declared_tags(spark, d):
-    files = sources(spark, d)
-    tags, symbols = extract.implementation_tags(files), extract.symbols(files)
+    declared = stored(declarations(sources(spark, d)))
+    tags, symbols = extract.implementation_tags(declared), extract.symbols(declared)
     held = canonical.enclosing_symbols(tags.select("path", "line").distinct(), symbols)
     return tags.join(held, ["path", "line"]).select("path", "req_id", F.element_at(F.split("symbol_id", "#"), -1).alias("symbol"))
 
@@ -312,7 +313,7 @@ def sql_headings(spark, d):
 @query("SELECT 'src/o' || k || '.ts' AS path, name FROM named WHERE name NOT LIKE 'default.%'", NAMES)
 def sql_declarations(spark, d):
     sql_functions.register(spark)
-    return spark.sql("SELECT c.path AS path, c.name AS name FROM {files} f, LATERAL code_declarations(f.path, f.text) c WHERE c.kind = 'symbol' AND c.owner IS NULL", files=sources(spark, d))
+    return spark.sql("SELECT c.path AS path, c.name AS name FROM {files} f, LATERAL code_declarations(f.path, f.text) c WHERE c.kind = 'symbol' AND c.owner IS NULL", files=dealt(sources(spark, d)))
 
 
 @query("SELECT '[REQ-' || o_custkey || '] t' AS title, 'REQ-' || o_custkey AS tag, true AS said FROM orders")
