@@ -1,8 +1,12 @@
 """What keeps the work spread out and done once, whatever the tables' files look like."""
 
+from weftgraph.graph import Graph
 from weftgraph.operators import extract
 from weftgraph.operators.blocks import blocks
 from weftgraph.operators.declarations import declarations
+from weftgraph.operators.evidence import classify
+from weftgraph.plans import catalog
+from weftgraph.streaming import classes
 
 
 def plan(df):
@@ -22,3 +26,18 @@ def test_code_is_read_once_where_its_imports_are_resolved(spark):
     found = extract.reexports(files)
     assert "MapInArrow" not in plan(found)  # parsed and stored before it is joined
     assert [(r.path, r.name) for r in found.collect()] == [("src/a.ts", "n")]
+
+
+def test_classes_of_evidence_broadcast_nothing(spark):
+    nodes = spark.createDataFrame([("c", "symbol"), ("c.m", "symbol"), ("R", "req")], "id string, kind string")
+    edges = spark.createDataFrame([("c", "c.m", "contains"), ("c", "R", "implements")], "source string, target string, kind string")
+    found = classify(Graph(nodes, edges), spark.createDataFrame([("R", "c.m")], "req_id string, node_id string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("corroborated", "R", "c", None)]
+
+
+def test_shards_are_not_streamed_four_at_a_time(spark, monkeypatch):
+    tables, read = [], classes.read_counts
+    monkeypatch.setattr(classes, "read_counts", lambda s, table: tables.append(table) or read(s, table))
+    catalog.QUERIES["streamed_classes"](spark, "/root/testdata/sf0.01").count()
+    assert spark.read.parquet(tables[0]).select("batch").distinct().count() == 1  # ten shards

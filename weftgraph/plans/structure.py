@@ -296,7 +296,7 @@ def streamed_classes(spark, d):
     shard_lines(spark, d).repartition("shard").write.partitionBy("shard").text(f"{folder}/in")
     orders = P.table(spark, d, "orders").select("o_orderkey", P.path_of("o_orderkey", "src/o", ".ts").alias("path"))
     symbols = orders.filter("o_orderkey % 2 = 0").select("path", F.lit("f").alias("name"), F.concat(F.lit("symbol:"), "path", F.lit("#f")).alias("id"))
-    counts = classes.count_requirements(classes.stream_whole_shards(spark, f"{folder}/in", 4), symbols, orders.filter("o_orderkey % 10 < 8"), "g1")
+    counts = classes.count_requirements(classes.stream_whole_shards(spark, f"{folder}/in"), symbols, orders.filter("o_orderkey % 10 < 8"), "g1")
     classes.write_counts(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
     return classes.node_classes(classes.read_counts(spark, f"{folder}/out"))
 
