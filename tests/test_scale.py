@@ -1,6 +1,6 @@
 """What keeps the work spread out and done once, whatever the tables' files look like."""
 
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, large, placed
 from weftgraph.operators import extract
 from weftgraph.operators.blocks import blocks
 from weftgraph.operators.declarations import declarations
@@ -41,3 +41,14 @@ def test_shards_are_not_streamed_four_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(classes, "read_counts", lambda s, table: tables.append(table) or read(s, table))
     catalog.QUERIES["streamed_classes"](spark, "/root/testdata/sf0.01").count()
     assert spark.read.parquet(tables[0]).select("batch").distinct().count() == 1  # ten shards
+
+
+def test_levels_are_joined_where_they_lie(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = placed(spark.range(9).selectExpr("id", "id + 1 AS next").repartition(width, "id"))
+    level = placed(spark.range(5).repartition(width, "id"))
+    seen = level.union(placed(spark.range(5, 7).repartition(width, "id")))
+    found = large(steps).join(large(seen), "id", "anti")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert sorted(r.id for r in found.collect()) == [7, 8]
