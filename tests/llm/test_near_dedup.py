@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from weftgraph.llm import near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,3 +42,12 @@ def test_stage_drops_near_copies(spark):
     assert not [p for p in near if p[0] in ids and p[1] in ids]
     assert {j for _, j in near} >= set(texts) - set(ids)  # whatever went has a smaller near copy
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), None).count() == 0
+
+
+def test_simhash_components_go_first(spark):
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(3000)}" for _ in range(3000)]
+    near = [*words[:-1], "other"]  # one shingle of some thousand: its fingerprint lies within 3 bits
+    far = [f"v{draw.randrange(3000)}" for _ in range(3000)]
+    texts = spark.createDataFrame([(4, " ".join(words)), (9, " ".join(near)), (2, " ".join(far))], "doc_id long, text string")
+    assert [r.hi for r in near_dedup.component_copies(texts, 5, 0.8).collect()] == [9]

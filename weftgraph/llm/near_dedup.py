@@ -1,4 +1,4 @@
-"""Near-dedup at an exact shingle Jaccard: bands of minima bring texts together, bit-sliced SimHashes part them, texts decide."""
+"""Near-dedup at an exact shingle Jaccard: op8's SimHash components first, then bands of minima for what lies further apart; texts decide."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches, unused
-from .simhash import near, set_fingerprint
+from .simhash import near, near_groups, set_fingerprint
 from .tokenizer import release
 
 
@@ -171,11 +171,20 @@ def close_pairs(live: DataFrame, centres: DataFrame, made: DataFrame, least: flo
     return met.mapInArrow(compare, "lo long, hi long").distinct()
 
 
+def component_copies(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """hi: the documents of ``texts(doc_id, text)`` whose SimHash component (op8's: 64 bits, links of 3 or fewer) has a smaller one that they are ``alike``."""
+    groups = near_groups(texts).filter("doc_id <> component_id").select(F.col("component_id").alias("lo"), F.col("doc_id").alias("hi"))
+    # The member's text first, so that the one text of a large component's head is not carried along.
+    full = checkpoint(groups).join(texts.toDF("j", "b"), F.col("hi") == F.col("j")).drop("j").join(texts.toDF("i", "a"), F.col("lo") == F.col("i"))
+    return checkpoint(alike(full, words, least).distinct())
+
+
 def near_copies(named: DataFrame, words: int, least: float, bands: int, rows: int) -> DataFrame:
     """doc_id of the documents that go; ``named`` has each doc_id once and none null.
 
-    Texts of one normal form leave the smallest doc_id.  Of those, two that meet
-    in a band are compared, and the larger doc_id goes.  Each round compares some
+    Texts of one normal form leave the smallest doc_id.  Of those, the members of a
+    SimHash component that are alike its smallest one go first: op8's method, with
+    the exact check behind it.  Of the rest, two that meet in a band are compared, and the larger doc_id goes.  Each round compares some
     documents of every band with all others in it, takes these and all that go out
     of the bands, and takes more in the next round, until no band has two.  So no
     two that stay meet in a band and are alike.  The first round has one document
@@ -184,8 +193,10 @@ def near_copies(named: DataFrame, words: int, least: float, bands: int, rows: in
     sketched = checkpoint(sketches(named, words, bands, rows))
     firsts = checkpoint(sketched.groupBy("digest").agg(F.min("doc_id").alias("node")))
     copies = sketched.select("doc_id", "digest").join(firsts, "digest").filter("doc_id <> node").select("doc_id")
-    gone = [checkpoint(copies)]
-    keyed = sketched.join(firsts.select(F.col("node").alias("doc_id")), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    alone = firsts.select(F.col("node").alias("doc_id"))
+    linked = component_copies(named.select("doc_id", "text").join(alone, "doc_id", "semi"), words, least).toDF("doc_id")
+    gone = [checkpoint(copies), linked]
+    keyed = sketched.join(alone, "doc_id").join(linked, "doc_id", "anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     live = shared_keys(checkpoint(keyed))
     texts = checkpoint(named.select("doc_id", "text").join(live.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
     parts, made = 1, None
