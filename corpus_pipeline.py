@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import langid, line_dedup, mixing, near_dedup, packing
-from weftgraph.llm.common import shared_folder
+from weftgraph.llm.common import shared_folder, shuffles_removed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
+        with shuffles_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
     return docs
