@@ -7,6 +7,7 @@ import time
 
 import pytest
 from weftgraph.functions.ids import index_mentions
+from weftgraph.graph import Levels
 from weftgraph.operators import extract
 from weftgraph.operators.blocks import Fold, plain
 from weftgraph.operators.build import build
@@ -208,6 +209,34 @@ def test_star_exports_equal_brute_force(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_cut_chains_of_star_exports_equal_brute_force(spark):
+    """Names that several files declare, ways longer than the chains that are kept, and files that nobody exports."""
+    draw = random.Random(3)
+    symbols, stars, want = [], [], set()
+    for g in range(30):
+        n = draw.randrange(4, 9)
+        files = [f"g{g}/f{i}" for i in range(n)]
+        own = {f: {"a"} if i == 0 else {x for x in ("a", "b") if draw.random() < 0.1} for i, f in enumerate(files)}
+        steps = {f: {files[j] for j in {i - 1, *(draw.randrange(i, n) for _ in range(draw.randrange(3)))} if 0 <= j} for i, f in enumerate(files)}
+        symbols += [(f, x) for f in files for x in own[f]]
+        stars += [(f, t) for f in files for t in steps[f]]
+        want |= {(f, x, next(t for t in steps[f] if t != f and ways(x, t, own, steps, (f,)) == 1)) for f in files for x in ("a", "b") if x not in own[f] and ways(x, f, own, steps) == 1}
+    given = frame(spark, symbols, "path string, name string"), frame(spark, stars, "path string, target string")
+    assert len(want) > 60
+    for most in (2, 3):
+        assert sorted(tuple(r) for r in providers(*given, most=most).collect()) == sorted(want)
+
+
+def test_star_exports_are_settled_in_as_many_rounds_as_they_are_deep(spark, monkeypatch):
+    """Ten files that export each other both ways: each is the only way out of all that follow it."""
+    rounds, add = [], Levels.add
+    monkeypatch.setattr(Levels, "add", lambda self, df: rounds.append(1) or add(self, df))
+    stars = [(f"f{i}", f"f{j}") for i in range(10) for j in (i - 1, i + 1) if 0 <= j < 10]
+    got = providers(frame(spark, [("f0", "a")], "path string, name string"), frame(spark, stars, "path string, target string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(f"f{i}", "a", f"f{i - 1}") for i in range(1, 10)]
+    assert len(rounds) <= 14
+
+
 def test_mentions_by_index(spark):
     draw = random.Random(2)
     ids = ["REQ-1", "REQ-10", "a/REQ-1", "ns/A-2", "-X-1", "X-1-", "(Y)", "é-1", "doc:a.md", "_Z", "...", "A b"]
