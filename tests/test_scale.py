@@ -5,7 +5,9 @@ from weftgraph.operators import extract
 from weftgraph.operators.blocks import blocks
 from weftgraph.operators.declarations import declarations
 from weftgraph.operators.evidence import classify
+from weftgraph.operators.resolve import targets
 from weftgraph.plans import catalog
+from weftgraph.sources.fragments import Fragments
 from weftgraph.streaming import classes
 
 
@@ -52,3 +54,23 @@ def test_levels_are_joined_where_they_lie(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert sorted(r.id for r in found.collect()) == [7, 8]
+
+
+def test_kept_fragments_are_matched_once(spark, tmp_path):
+    """What a build reads of kept fragments is a table, in the first build as in the next: its many readers join nothing."""
+    kept, files = Fragments(str(tmp_path / "kept")), spark.createDataFrame([("src/a.ts", "export const a = 1"), ("src/b.ts", "let b")], "path string, text string")
+    first = kept.read(files, "declarations", declarations)
+    second = kept.read(files.replace("let b", "let c"), "declarations", declarations)
+    assert [first[1], second[1]] == [2, 1]
+    for rows, _ in (first, second):
+        assert "Join" not in plan(rows)
+        assert sorted(r.path for r in rows.filter("kind = 'file'").collect()) == ["src/a.ts", "src/b.ts"]
+
+
+def test_candidates_of_a_specifier_are_made_once(spark):
+    specs = spark.createDataFrame([("src/a.ts", "./b"), ("src/a.ts", "./c/"), ("src/a.ts", "./none"), ("src/a.ts", "./v")], "path string, spec string")
+    # The best candidate of a stage counts: v.tsx is not allowed, so the folder's index is taken.
+    files = spark.createDataFrame([(f"src/{p}", "export {}") for p in ("b.ts", "b/index.ts", "c/index.d.ts", "v.tsx", "v/index.ts")], "path string, text string")
+    found = targets(specs, files)
+    assert plan(found).count("Generate") == 1
+    assert {r.spec: r.target for r in found.collect()} == {"./b": "src/b.ts", "./c/": "src/c/index.d.ts", "./v": "src/v/index.ts"}
