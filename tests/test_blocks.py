@@ -181,6 +181,14 @@ def test_broken_code_is_no_error(text):
     assert Reader("a.ts", text).run()[-1]["kind"] == "file"
 
 
+def test_tokens_lie_where_their_text_is():
+    read = Reader("a.ts", "const t = `x${ {a: 1} }y` / 2 // c\nconst r = /[/]{/g, f = (a, [b]) => 'z'\n")
+    assert len({len(x) for x in (read.kinds, read.texts, read.begins, read.ends, read.fresh, read.closes)}) == 1 and read.count == len(read.kinds)
+    assert all(read.text[a:b] == t for k, t, a, b in zip(read.kinds, read.texts, read.begins, read.ends, strict=True) if k != "string" or t != "`")
+    assert [read.texts[i] + read.texts[j] for i, j in enumerate(read.closes) if j >= 0] == ["{}", "()", "[]"]
+    assert [t for t, fresh in zip(read.texts, read.fresh, strict=True) if fresh] == ["const", "const"] and read.codes[read.texts.index("/[/]{/g")] == ""
+
+
 def ways(name, at, own, steps, seen=()):
     """All ways without repeats from a file to a declaration, for tests."""
     if name in own.get(at, ()):
