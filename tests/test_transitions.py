@@ -1,5 +1,6 @@
 """Steps of a reach: which edges are joined at all."""
 
+from pyspark.sql import functions as F
 from weftgraph.graph import EDGE_SCHEMA, Graph
 from weftgraph.operators import traverse
 
@@ -23,3 +24,38 @@ def test_what_an_edge_meets(spark):
         ("file:a", "REQ-1", False): (2, 2), ("REQ-1", "file:a", False): (2, 2), ("file:t", "file:a", False): (2, None), ("file:a", "file:t", False): (1, 1),
         ("REQ-2", "file:a", False): (0, 0), ("file:a", "REQ-2", False): (0, 0),
     }
+
+
+def test_symbols_that_no_edge_touches_are_in_no_round(spark, monkeypatch):
+    rows = [("file:a", "file", "a"), ("symbol:a#x", "symbol", "a"), ("symbol:a#y", "symbol", "a"), ("odd", "symbol", "a"), ("file:b", "file", "b"), ("symbol:b#z", "symbol", "b"), ("symbol:b#w", "symbol", "b")]
+    edges = spark.createDataFrame([("symbol:a#y", "symbol:b#z", "imports", ["ts-import"], None)], EDGE_SCHEMA)
+    graph, made, bucketed = Graph(spark.createDataFrame(rows, "id string, kind string, file_path string"), edges), [], traverse.bucketed
+    monkeypatch.setattr(traverse, "bucketed", lambda df, *by: made.append(bucketed(df, *by)) or made[-1])
+
+    def reach(start, depth=None):
+        return {(r.id, r.state) for r in traverse.reach(graph, spark.createDataFrame([(start,)], "id string"), depth).collect()}
+
+    inside = {("file:a", 2), ("symbol:a#x", 2), ("symbol:a#y", 2), ("odd", 2)}
+    assert reach("file:a") == inside | {("symbol:b#z", 2)}
+    assert {r.to_id for r in made[0].rows.collect()} == {"symbol:a#y", "symbol:b#z", "odd"}
+    assert [reach("file:a", 0), reach("file:a", 1), reach("symbol:a#x")] == [{("file:a", 2)}, inside, {("symbol:a#x", 2)}]
+
+
+def test_a_round_shuffles_and_sorts_no_steps(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = traverse.bucketed(spark.range(9).selectExpr("id AS k", "id + 1 AS next").repartition(width, "k"), width, "k")
+    level = traverse.bucketed(spark.range(3).repartition(width, "id"), width, "id")
+    found = level.table.hint("shuffle_hash").join(steps.table, F.col("id") == F.col("k"), "left")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert steps.n == 9 and "Exchange" not in text and "Sort " not in text
+    assert sorted(r.next for r in found.collect()) == [1, 2, 3]
+
+
+def test_levels_that_are_joined_keep_the_highest_state(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = lambda *rows: traverse.bucketed(spark.createDataFrame(rows, "origin string, id string, state byte").repartition(width, "id"), width, "id")
+    parts = [part(("", "a", 2), ("", "b", 1)), part(("", "c", 0)), part(("", "b", 2))]
+    assert traverse.joined(parts, width, ("id",)) is parts
+    first, rest = traverse.joined(parts, width, ("id",), most=2), traverse.joined([parts[1], parts[0], parts[2]], width, ("id",), most=2)
+    assert [b.n for b in first] == [3] and [b.n for b in rest] == [3]
+    assert {tuple(r) for r in first[0].table.collect()} == {("", "a", 2), ("", "b", 2), ("", "c", 0)}
