@@ -1,7 +1,7 @@
 """What keeps the work spread out and done once, whatever the tables' files look like."""
 
 from weftgraph.graph import Graph, large, placed
-from weftgraph.operators import extract
+from weftgraph.operators import build, extract
 from weftgraph.operators.blocks import blocks
 from weftgraph.operators.declarations import declarations
 from weftgraph.operators.evidence import classify
@@ -74,3 +74,12 @@ def test_candidates_of_a_specifier_are_made_once(spark):
     found = targets(specs, files)
     assert plan(found).count("Generate") == 1
     assert {r.spec: r.target for r in found.collect()} == {"./b": "src/b.ts", "./c/": "src/c/index.d.ts", "./v": "src/v/index.ts"}
+
+
+def test_a_build_broadcasts_no_large_files(spark, monkeypatch):
+    setting, seen, stored = "spark.sql.autoBroadcastJoinThreshold", [], build.stored
+    monkeypatch.setattr(build, "stored", lambda df: seen.append(spark.conf.get(setting)) or stored(df))
+    before = spark.conf.get(setting)
+    build.build(spark.createDataFrame([("src/a.ts", "export const a = 1")], "path string, text string"))
+    assert set(seen) == {"1m"}
+    assert spark.conf.get(setting) == before
