@@ -1,8 +1,11 @@
 """Steps of a reach: which edges are joined at all."""
 
+import random
+
 from pyspark.sql import functions as F
 from weftgraph.graph import EDGE_SCHEMA, Graph
 from weftgraph.operators import traverse
+from weftgraph.plans import catalog
 
 
 def test_structure_and_claims_meet_no_node(spark):
@@ -59,3 +62,27 @@ def test_levels_that_are_joined_keep_the_highest_state(spark):
     first, rest = traverse.joined(parts, width, ("id",), most=2), traverse.joined([parts[1], parts[0], parts[2]], width, ("id",), most=2)
     assert [b.n for b in first] == [3] and [b.n for b in rest] == [3]
     assert {tuple(r) for r in first[0].table.collect()} == {("", "a", 2), ("", "b", 2), ("", "c", 0)}
+
+
+def test_shared_reach_tells_what_each_origin_reaches(spark):
+    rng = random.Random(5)
+    files = [(f"file:{i}", "test" if i % 3 == 2 else "file", f"{i}") for i in range(24)]
+    nodes = spark.createDataFrame([*files, *[(f"REQ-{i}", "req", "s") for i in range(20)]], "id string, kind string, file_path string")
+    edges = set()
+    for _ in range(26):
+        i = rng.randrange(24)
+        edges.add((f"file:{i}", f"REQ-{rng.randrange(20)}", "verifies" if i % 3 == 2 else "implements"))
+        edges.add((f"file:{rng.randrange(24)}", f"file:{rng.randrange(12)}", "imports"))
+        edges.add((f"REQ-{rng.randrange(20)}", f"file:{rng.randrange(24)}", "exercises"))
+    graph = Graph(nodes, spark.createDataFrame([(*e, ["x"], None) for e in sorted(edges)], EDGE_SCHEMA))
+    starts = spark.createDataFrame([(f"o{i}", f"file:{i}") for i in range(24)] + [("o1", "REQ-3"), ("gone", "file:99")], "origin string, id string")
+    own, taken, held = traverse.shared_reach(graph, starts)
+    got = {tuple(r) for r in own.union(taken.join(held, "hub").select("origin", "id")).collect()}
+    assert got == {(r.origin, r.id) for r in traverse.reach_each(graph, starts).collect()}
+    assert 1 < taken.count() < 25  # origins of both kinds
+    deep = max(len({i for o, i in got if o == f"o{n}"}) for n in range(24))
+    assert deep > 3
+
+
+def test_plan_impact_has_no_depth():
+    assert [name for name, sql in catalog.ORACLE.items() if "depth < 3" in sql and name in ("plan_impact", "plan_groups")] == []
